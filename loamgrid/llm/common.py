@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = [0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()]
+        sizes = [0 if x is None else x for x in pc.binary_length(col).to_pylist()]
         first, held = 0, 0
         for i, n in enumerate(sizes):
             if i > first and held + n > limit:

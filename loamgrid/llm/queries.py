@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, token_files
+from . import chat, minmax, packing, sharding, token_files
 from .common import slim
 
 
@@ -43,11 +43,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(slim(table(spark, sf_dir, "documents")), n_shards=40)
 
 
+def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_chat": op6_chat,
     "op7_sharding": op7_sharding,
+    "op9_minmax": op9_minmax,
 }
 
 SQL: dict[str, str] = {
