@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minmax, packing, sharding, token_files
+from . import chat, decontaminate, minmax, packing, sharding, token_files
 from .common import slim
 
 
@@ -47,12 +47,17 @@ def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_chat": op6_chat,
     "op7_sharding": op7_sharding,
     "op9_minmax": op9_minmax,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
