@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slim, stored
-from .tokens import encoder
+from .tokens import encoded
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 #: Sequence ids: the round and the task in the high bits, a count in the low.
@@ -129,16 +129,13 @@ def pack(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         part = TaskContext.get().partitionId()
         packer = Packer(length, open_windows, part << TASK_BITS, keep_ids)
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                packer.add(doc, 0, ids, len(ids) // 4)
-                if len(packer.out) >= 20_000:
-                    yield _table(packer.out, NAMES)
-                    packer.out = []
+        for doc, ids in encoded(batches, tokenizer, end):
+            packer.add(doc, 0, ids, len(ids) // 4)
+            if len(packer.out) >= 20_000:
+                yield _table(packer.out, NAMES)
+                packer.out = []
         yield _table(packer.out, NAMES)
         packer.keep_ids = True
         rows = [(doc, start, len(ids) // 4, None, total, -1 - part, k, ids) for k, (doc, start, ids, total) in enumerate(packer.leftovers())]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, slim, stored
-from .tokens import encoder
+from .tokens import encoded
 
 MAGIC = b"LGPLANE1"
 FOOTER = struct.Struct("<QQQQII8s")
@@ -172,17 +172,15 @@ def write_token_files(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         part, writer, out, name = TaskContext.get().partitionId(), None, None, ""
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    where, base = pafs.FileSystem.from_uri(path)
-                    where.create_dir(base, recursive=True)
-                    name = f"tokens-{part:06d}-{uuid.uuid4().hex}.bin"
-                    out = where.open_output_stream(f"{base}/{name}")
-                    writer = Writer(out, chunk_ids, bits)
-                writer.add(doc, encode(text.as_py() or "") + end)
+        for doc, ids in encoded(batches, tokenizer, end):
+            if writer is None:
+                where, base = pafs.FileSystem.from_uri(path)
+                where.create_dir(base, recursive=True)
+                name = f"tokens-{part:06d}-{uuid.uuid4().hex}.bin"
+                out = where.open_output_stream(f"{base}/{name}")
+                writer = Writer(out, chunk_ids, bits)
+            writer.add(doc, ids)
         if writer is not None:
             writer.close()
             out.close()

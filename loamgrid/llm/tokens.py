@@ -1,28 +1,46 @@
-"""Token ids by the tokenizers library, a piece of text at a time.
-
-A pre-tokenizer that cuts at white space never lets a token reach over the
-start of a blank that follows a visible character.  A text is therefore cut
-there, and the ids of each piece are taken from the library once per process
-and kept in a bounded dictionary; natural text repeats its words, so nearly
-every piece is found there.  ``tests/llm`` compares this with encoding whole
-texts.
+"""Token ids by the tokenizers library, a word at a time.
+
+A vocabulary file says how a text is cut before merges.  For texts of plain
+characters (printable ASCII, white space and Latin letters with marks) the
+same cut is made here with a regular expression; each distinct piece then
+goes through the library once per process and is kept in a bounded
+dictionary.  A text with any other character goes through the library whole.
+``tests/llm`` compares this with encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
-
-from .common import process_cache
+from .common import blocks, process_cache
 
-#: Entries kept per process; beyond it the dictionary starts anew.
-CACHE_ENTRIES = 300_000
-#: Longer pieces are encoded each time they occur.
+#: Entries kept per process; beyond it only the block's own pieces stay.
+CACHE_ENTRIES = 400_000
+#: Longer pieces aren't kept.
 CACHE_CHARS = 48
-_CUT = re.compile(r"(?<=\S) ")
-_ODD = re.compile(r"\s ")
+#: Characters whose classes are the same here and in the library, and that normal forms leave alone.
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*")
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
+_SHORT = r"'(?:[stmd]|re|ve|ll)"
+#: The cuts that the vocabulary files state, for plain characters.
+BYTE_LEVEL = re.compile(rf"{_SHORT}| ?{_LETTERS}+| ?[0-9]+| ?{_MARKS}+|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(rf"{_SHORT}|{_LETTERS}+|[0-9]|{_MARKS}+")
+
+
+class Signs(dict):
+    """The model's signs for a character's bytes, as the library's byte-level step makes them."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(p for p, _ in self.step.pre_tokenize_str(chr(code)))
+        return self[code]
 
 
 class PieceEncoder:
@@ -34,29 +52,51 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.signs = self.tokenizer.model, Signs()
+        cuts = {("ByteLevel", False): (BYTE_LEVEL, False), ("Sequence", True): (WORD_LEVEL, True)}
+        # a file of another kind is used through whole texts alone
+        self.cut, self.lower = cuts.get(self._kind(), (None, False))
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(pieces, got)}
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        if not text:
-            return b""
-        pieces = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        # each piece after the first starts with its blank
-        pieces = [pieces[0], *[" " + p for p in pieces[1:]]]
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-        out = b"".join([known.get(p) or new.get(p, b"") for p in pieces])
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-        known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
+    def _kind(self) -> tuple[str, bool]:
+        probe = "Ab c'll d1,2  e_éf\n"
+        pre, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        text = norm.normalize_str(probe) if norm else probe
+        pieces = [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+        kind = (type(pre).__name__, norm is not None)
+        ours = {False: BYTE_LEVEL.findall(probe), True: WORD_LEVEL.findall(probe.lower())}[kind[1]]
+        return kind if pieces == ours else ("", False)
+
+    def whole(self, text: str) -> bytes:
+        """The library's ids of one text."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, p: str) -> bytes:
+        """The model's ids of one piece."""
+        return array("I", [t.id for t in self.model.tokenize(p.translate(self.signs))]).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text."""
+        out: list = [b""] * len(texts)
+        cut: dict[int, list[str]] = {}
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.cut is None or not _PLAIN.fullmatch(t):
+                out[k] = self.whole(t)
+            else:
+                cut[k] = self.cut.findall(t.lower() if self.lower else t)
+        pieces = set().union(*cut.values())
+        new = {p: self.piece(p) for p in pieces - self.known.keys()}
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known = {p: v for p in pieces if (v := self.known.get(p)) is not None}
+        self.known.update(new)
+        get = self.known.__getitem__
+        for k, own in cut.items():
+            out[k] = b"".join(map(get, own))
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del self.known[p]
         return out
 
 
@@ -66,3 +106,11 @@ def encoder(path: str) -> PieceEncoder:
     if path not in kept:
         kept[path] = PieceEncoder(path)
     return kept[path]
+
+
+def encoded(batches, path: str, end: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """``(doc_id, ids)`` of each row of (doc_id, text) batches; a null text is empty."""
+    many = encoder(path).encode_many
+    for b in blocks(batches):
+        texts = b.column(1).to_pylist()
+        yield from zip(b.column(0).to_pylist(), (ids + end for ids in many([t or "" for t in texts])))
