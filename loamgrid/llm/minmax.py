@@ -178,57 +178,55 @@ def groups_of(hooks: DataFrame, members: DataFrame, group_nodes: int = GROUP_NOD
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, percent: int = 75) -> DataFrame:
-    """Confirmed links ``(a, b)`` between nodes: a spanning forest of each group."""
+    """Confirmed links ``(a, b)`` between nodes: a spanning forest of each group.
+
+    ``docs`` has a row per group and node: ``gid, node, key, text``.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: dict[bytes, bytes]) -> pa.RecordBatch:
-            texts = list(held.values())
-            sets, names = [], []
-            for node, s in zip(held, kernels.document_shingles(texts, WIDTH)):
-                if len(s) and set_key(s) == node:
-                    sets.append(s)
-                    names.append(node)
-            links = resolve(sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], names=["a", "b"])
+        def done(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            names, links = list(held), resolve(list(held.values()), percent)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
 
         gid, held = None, {}
-        for b in batches:
-            for g, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_as_bytes(b)):
+        for b in blocks(batches):
+            sets = kernels.document_shingles(texts_as_bytes(b), WIDTH)
+            for g, node, key, s in zip(*[b.column(k).to_pylist() for k in range(3)], sets):
                 if g != gid:
                     if len(held) > 1:
                         yield done(held)
                     gid, held = g, {}
-                s = held.get(node)
                 # rows of an id that repeats with other texts are not this node's
-                if s is None or set_key(kernels.document_shingles([s], WIDTH)[0]) != node:
-                    held[node] = text
+                if set_key(s) == key:
+                    held[node] = s
         if len(held) > 1:
             yield done(held)
 
     together = docs.repartition("gid").sortWithinPartitions("gid", "node")
-    return together.select("gid", "node", "text").mapInArrow(run, "a binary, b binary")
+    return together.select("gid", "node", "key", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, group_nodes: int = GROUP_NODES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     docs = slim(docs)
     base = stored(sketch(docs), "sketches")
-    nodes = stored(base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "nodes")
-    members = nodes.select(F.explode("bands").alias("band"), "node")
+    folded = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"))
+    # from here on a node goes by a number, fixed once the table is written
+    nodes = stored(folded.withColumn("number", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select(F.explode("bands").alias("band"), F.col("number").alias("node"))
     shared = members.groupBy("band").agg(F.min("node").alias("hook"), F.max("node").alias("_top")).filter("hook <> _top").select("band", "hook")
     hooked = stored(members.join(shared, "band"), "hooked")
     groups = stored(groups_of(hooked.filter("node <> hook").select("node", "hook").distinct(), hooked, group_nodes), "groups")
-    wanted = groups.join(nodes.select("node", "least"), "node").select("gid", "node", F.col("least").alias("doc_id"))
-    wanted = stored(wanted, "wanted")
+    known = nodes.select(F.col("number").alias("node"), F.col("node").alias("key"), "least")
+    wanted = stored(groups.join(known, "node").select("gid", "node", "key", F.col("least").alias("doc_id")), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("gid", "node", "text")
+    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("gid", "node", "key", "text")
     links = stored(confirmed(texts, percent), "links")
     classes = components(links)
-    named = classes.join(nodes.select("node", "least"), "node")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = nodes.select("node", "least").join(classes.join(names, "component").select("node", "component_id"), "node", "left")
-    by_node = by_node.select("node", F.coalesce("component_id", "least").alias("component_id"))
+    classes = known.join(classes, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
+    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = classes.join(names, "component").select(F.col("key").alias("node"), "component_id")
     out = base.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
