@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minmax, packing, sharding, suffix_dedup, token_files
+from . import chat, decontaminate, minmax, neighbours, packing, sharding, suffix_dedup, token_files
 from .common import slim
 
 
@@ -47,6 +47,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(slim(table(spark, sf_dir, "documents")), n_shards=40)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_chat": op6_chat,
     "op7_sharding": op7_sharding,
+    "op8_neighbours": op8_neighbours,
     "op9_minmax": op9_minmax,
     "op10_decontamination": op10_decontamination,
 }
