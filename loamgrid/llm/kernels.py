@@ -75,6 +75,14 @@ def words(buf: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.n
     return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def prefix_hashes(buf: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` bytes from each start, A-Z lower-cased."""
+    out = np.full(len(starts), n, U64)
+    for k in range(n):
+        out = out * SHINGLE_CODES[k] + LOWER_CODES[buf[starts + k]]
+    return mixed(out)
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` word hashes."""
     n = len(hashes) - width + 1

@@ -30,6 +30,7 @@ null; an empty table gives an empty result; only key and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels
 from .common import blocks, slim, stored, texts_as_bytes
@@ -142,11 +144,12 @@ def resolve(sets: list[np.ndarray], percent: int = 75, n_bands: int = BANDS, n_r
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, bands`` of each row; node and bands are null for empty sets."""
+    """``doc_id, text_crc32, n_shingles, node, bands`` of each row; node and bands are null for empty sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            sets = kernels.document_shingles(texts_as_bytes(b), WIDTH)
+            texts = texts_as_bytes(b)
+            sets = kernels.document_shingles(texts, WIDTH)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             if full:
@@ -154,11 +157,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                     bands[k] = row
             nodes = [set_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands"],
+                [b.column(0), pa.array(map(zlib.crc32, texts), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_crc32", "n_shingles", "node", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_crc32 bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def groups_of(hooks: DataFrame, members: DataFrame, group_nodes: int = GROUP_NODES) -> DataFrame:
@@ -207,7 +210,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int = 75) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, group_nodes: int = GROUP_NODES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, text_crc32, n_shingles, component_id, kept`` of every row."""
     docs = slim(docs)
     base = stored(sketch(docs), "sketches")
     folded = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"))
@@ -227,6 +230,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, group_nodes: int = GROUP
     classes = known.join(classes, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = classes.join(names, "component").select(F.col("key").alias("node"), "component_id")
-    out = base.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    out = base.select("doc_id", "text_crc32", "n_shingles", "node").join(by_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "text_crc32", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the one with the least id; same columns.
+
+    Rows equal in id and text are one row of their class, and one of them stays.
+    Rows without words stay.
+    """
+    found = stored(near_duplicates(slim(docs, text, key), percent), "classes").withColumnsRenamed({"doc_id": "_doc", "text_crc32": "_crc"})
+    at = F.crc32(F.coalesce(docs[text], F.lit("")))
+    lost = found.filter("not kept").select("_doc", "_crc").distinct()
+    lost = F.broadcast(lost) if found.filter("not kept").count() <= BROADCAST_ROWS else lost
+    out = docs.join(lost, docs[key].eqNullSafe(F.col("_doc")) & (at == F.col("_crc")), "left_anti")
+    again = stored(found.filter("kept and n_shingles > 0").groupBy("_doc", "_crc").count().filter("count > 1").select("_doc", "_crc"), "repeated")
+    if again.isEmpty():
+        return out
+    met = docs[key].eqNullSafe(F.col("_doc")) & (at == F.col("_crc"))
+    rest, twice = out.join(again, met, "left_anti"), out.join(again, met, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1)))
+    return rest.unionByName(twice.withColumn("_copy", first).filter("_copy = 1").drop("_copy"))

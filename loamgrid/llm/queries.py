@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minmax, neighbours, packing, sharding, suffix_dedup, token_files
+from . import chat, decontaminate, minmax, neighbours, packing, quality, sharding, suffix_dedup, token_files, toxicity
 from .common import slim
 
 
@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = slim(table(spark, sf_dir, "documents"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), parts=5, part=0)
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = slim(table(spark, sf_dir, "documents"))
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), parts=4, part=2)
+    out = quality.scores(docs, net)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest_repeats(table(spark, sf_dir, "documents"), length=400, keep="none")
 
@@ -52,7 +66,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+    return minmax.near_duplicates(table(spark, sf_dir, "documents")).drop("text_crc32")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +74,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
