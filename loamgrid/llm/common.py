@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handed to one vectorised kernel call; a longer text is taken alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,9 +89,15 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send texts to Python in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slim(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key and the text: what else the table holds never meets an operator's own names."""
-    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return small_batches(df).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def schema_plus(df: DataFrame, fields: str) -> T.StructType:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, slim, stored, texts_as_bytes
+from .common import blocks, slim, small_batches, stored, texts_as_bytes
 
 WIDTH = 13
 #: Words of test items searched in one round; their phrases take about 120 bytes a word.
@@ -100,7 +100,7 @@ class Lookup:
         return at[good], k[good]
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 4 << 20) -> DataFrame:
+def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 2 << 20) -> DataFrame:
     """Posting lists of the test terms, a row per shard: the ids of its documents,
     term numbers with list lengths, the lists as gaps, and each document's first position."""
 
@@ -291,12 +291,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
     rows need not be joined to a result.
     """
     p = test_phrases(benchmark, width)
-    at = [c.lower() for c in docs.columns].index(text)
+    at = [c.lower() for c in small_batches(docs).columns].index(text)
     name = docs.columns[at]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(p.terms)
-        for b in blocks(batches, name):
+        for b in blocks(batches, name, 2 << 20):
             shard = Shard.of(b, name, find)
             firsts = shard.firsts
             change = np.zeros(shard.words + 1, np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, schema_plus, slim, texts_as_bytes
+from .common import blocks, schema_plus, slim, small_batches, texts_as_bytes
 from .toxicity import held_out, sampled, sigmoid
 
 CHUNK, OVERLAP, STRIDE = 512, 8, 4
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, examp
 
 def scores(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is good."""
-    low = [c.lower() for c in docs.columns]
+    low = [c.lower() for c in small_batches(docs).columns]
     name = docs.columns[low.index(text.lower())]
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score.lower()])
     weights = {a: getattr(net, a) for a in net.NAMES}

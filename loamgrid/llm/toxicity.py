@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, schema_plus, slim, texts_as_bytes
+from .common import blocks, schema_plus, slim, small_batches, texts_as_bytes
 
 BUCKETS = 1 << 18
 POSITIVES, UNLABELLED = 4000, 12_000
@@ -184,7 +184,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     With ``below``, only rows whose score is less, and no score column.
     """
-    low = [c.lower() for c in docs.columns]
+    low = [c.lower() for c in small_batches(docs).columns]
     name = docs.columns[low.index(text.lower())]
     rows = docs if below is not None else docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score.lower()])
     weights, bias = model.weights.astype(np.float32), model.bias
