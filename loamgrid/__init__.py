@@ -1,0 +1 @@
+"""Geographically weighted modelling on PySpark DataFrames."""
