@@ -23,5 +23,6 @@ def score_stream(fit, stream: DataFrame, path: str, checkpoint: str, **trigger)
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Count, mean and extremes of ``value`` per tumbling window; state beyond the watermark is dropped."""
     w = F.window("ts", length)
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks need an instant; files may hold local times
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).select(F.col("w.start").alias("window_start"), by, "n", "mean_value", "min_value", "max_value")
