@@ -83,6 +83,14 @@ def texts_as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns that a result column would clash with (any case)."""
     low = {n.lower() for n in names}

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .common import blocks, slim, stored, texts_as_bytes
+from .common import blocks, free_name, slim, stored, texts_as_bytes
 from .components import components
 
 WIDTH, BANDS, ROWS = 5, 45, 4
@@ -241,15 +241,15 @@ def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: s
     Rows equal in id and text are one row of their class, and one of them stays.
     Rows without words stay.
     """
-    found = stored(near_duplicates(slim(docs, text, key), percent), "classes").withColumnsRenamed({"doc_id": "_doc", "text_crc32": "_crc"})
-    at = F.crc32(F.coalesce(docs[text], F.lit("")))
-    lost = found.filter("not kept").select("_doc", "_crc").distinct()
+    doc, crc, copy = (free_name(docs, n) for n in ("_doc", "_crc", "_copy"))
+    found = stored(near_duplicates(slim(docs, text, key), percent), "classes").withColumnsRenamed({"doc_id": doc, "text_crc32": crc})
+    met = docs[key].eqNullSafe(F.col(doc)) & (F.crc32(F.coalesce(docs[text], F.lit(""))) == F.col(crc))
+    lost = found.filter("not kept").select(doc, crc).distinct()
     lost = F.broadcast(lost) if found.filter("not kept").count() <= BROADCAST_ROWS else lost
-    out = docs.join(lost, docs[key].eqNullSafe(F.col("_doc")) & (at == F.col("_crc")), "left_anti")
-    again = stored(found.filter("kept and n_shingles > 0").groupBy("_doc", "_crc").count().filter("count > 1").select("_doc", "_crc"), "repeated")
+    out = docs.join(lost, met, "left_anti")
+    again = stored(found.filter("kept and n_shingles > 0").groupBy(doc, crc).count().filter("count > 1").select(doc, crc), "repeated")
     if again.isEmpty():
         return out
-    met = docs[key].eqNullSafe(F.col("_doc")) & (at == F.col("_crc"))
     rest, twice = out.join(again, met, "left_anti"), out.join(again, met, "left_semi")
     first = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1)))
-    return rest.unionByName(twice.withColumn("_copy", first).filter("_copy = 1").drop("_copy"))
+    return rest.unionByName(twice.withColumn(copy, first).filter(F.col(copy) == 1).drop(copy))

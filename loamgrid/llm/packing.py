@@ -92,7 +92,7 @@ class Packer:
         left = sum(len(p[2]) // 4 for p in rest)
         self.open = []
         while left:
-            size = 1 << (left.bit_length() - 1)
+            size = min(1 << (left.bit_length() - 1), self.length)
             if size < LEAST_POWER:
                 size = left
             taken, need = [], size * 4

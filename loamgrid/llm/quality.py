@@ -116,7 +116,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7) -> Network:
     net = Network(seed)
     y = np.asarray(y, np.float32)
     good = float(y.mean()) if len(y) else 0.5
-    if not 0 < good < 1:
+    if not len(y) or not 0 < good < 1:
         net.out[:] = 0
         net.out_bias[:] = np.log((good * 0.98 + 0.01) / (1 - good * 0.98 - 0.01))
         return net

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, slim, stored, texts_as_bytes
+from .common import blocks, free_name, slim, stored, texts_as_bytes
 
 GRAM = 128
 #: Bytes of the stretches of one minimizer that one task may gather.
@@ -358,17 +358,19 @@ def merged(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _with_ranges(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    found = stored(found.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag", "starts": "_starts"}), "ranges")
-    per = found.groupBy("_doc").agg(F.collect_list(F.struct("_tag", "_starts")).alias("_found"))
-    side = F.broadcast(per) if found.agg(F.sum(F.size("_starts") + 2)).first()[0] or 0 <= BROADCAST_ROWS else per
-    return docs.join(side, docs[key].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    """``docs`` with one more, last column: the ranges of each row's id."""
+    found = stored(found, "ranges")
+    mine, doc = free_name(docs, "_found"), free_name(docs, "_doc")
+    per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("tag", "starts")).alias(mine))
+    side = F.broadcast(per) if (found.agg(F.sum(F.size("starts") + 2)).first()[0] or 0) <= BROADCAST_ROWS else per
+    return docs.join(side, docs[key].eqNullSafe(F.col(doc)), "left").drop(doc)
 
 
 def _own(text: bytes, found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     if not found:
         return []
     tag = zlib.crc32(text) & 0x7FFFFFFF
-    return merged([s for f in found if f["_tag"] == tag for s in f["_starts"]], length)
+    return merged([s for f in found if f["tag"] == tag for s in f["starts"]], length)
 
 
 def digest_repeats(docs: DataFrame, length: int = 400, keep: str = "none") -> DataFrame:
@@ -387,7 +389,7 @@ def digest_repeats(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = slim(docs)
-    met = _with_ranges(docs, ranges(docs, length, keep), "doc_id").select("doc_id", "text", "_found")
+    met = _with_ranges(docs, ranges(docs, length, keep), "doc_id")
     return met.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -418,5 +420,4 @@ def cut_repeats(docs: DataFrame, length: int = 400, keep: str = "first", key: st
             cols = [pa.array(values, pa.string()) if k == at else b.column(k) for k in range(len(schema))]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    met = _with_ranges(docs, ranges(slim(docs, text, key), length, keep), key).select(*[docs[c] for c in docs.columns], "_found")
-    return met.mapInArrow(run, schema)
+    return _with_ranges(docs, ranges(slim(docs, text, key), length, keep), key).mapInArrow(run, schema)

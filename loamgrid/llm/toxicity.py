@@ -127,7 +127,7 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
                 gu, gp = -gu, -gp
             else:
                 gp = gp - prior * sigmoid(-fp) / n_p
-            g = np.bincount(xu, np.repeat(gu, np.diff(hu)), len(w)) + np.bincount(xp, np.repeat(gp, np.diff(hp)), len(w))
+            g = np.bincount(xu, np.repeat(gu, np.diff(hu)), len(w)) + np.bincount(xp, np.repeat(gp, np.diff(hp)), len(w)).astype(float)
             g[-1] = gu.sum() + gp.sum()
             g[:-1] += SHRINK * w[:-1]
             step += 1
