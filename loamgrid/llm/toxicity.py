@@ -5,9 +5,9 @@ examples and unlabelled text with the risk of Kiryo et al. (2017),
 
     prior * mean_P l(f) + max(0, mean_U l(-f) - prior * mean_P l(-f)),
 
-where ``l`` is the logistic loss and ``prior`` the share of toxic text.  When
-the bracket would go below zero, its gradient is turned round, which keeps a
-flexible model from calling every unlabelled text clean.
+where ``l`` is the logistic loss and ``prior`` the share of toxic text.  Where
+the bracket would go below zero it counts as zero, which keeps a flexible
+model from calling every unlabelled text clean.
 
 Features are presences of words (A-Z lower-cased, runs of digits, letters and
 characters outside ASCII) and of their first bytes, as inflected words share
@@ -40,14 +40,16 @@ BUCKETS = 1 << 18
 POSITIVES, UNLABELLED = 4000, 12_000
 #: Sizes in bytes of the word beginnings that are features too.
 STEMS = (4, 5, 6)
-#: Features kept: in so many positives, and more frequent there than in unlabelled text by so many standard errors and that factor.
-LEAST_DOCS, LEAST_Z, LEAST_LIFT = 3, 4.5, 3.0
-EPOCHS, BATCH, RATE, SHRINK = 50, 2000, 0.06, 3e-5
+#: Words in more than this share of unlabelled texts are common.
+COMMON = 0.01
+#: Features kept: in so many unlike positives and that share of them, and more frequent there than in unlabelled text by so many standard errors and that factor.
+LEAST_DOCS, LEAST_SHARE, LEAST_Z, LEAST_LIFT = 3, 0.006, 4.5, 5.0
+STEPS, RATE, SHRINK = 300, 0.1, 3e-6
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the buckets, bias, and the loss after each epoch."""
+    """Weights of the buckets, bias, and the risk at each step."""
 
     weights: np.ndarray
     bias: float
@@ -84,18 +86,39 @@ def _rows(buckets: np.ndarray, heads: np.ndarray, rows: np.ndarray) -> tuple[np.
     return buckets[np.repeat(heads[rows] - own[:-1], size) + np.arange(own[-1])], own
 
 
-def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, seed: int = 3) -> Model:
-    """Minimise the non-negative risk by Adam on mini-batches."""
+def holders(buckets: np.ndarray, heads: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How many unlike texts hold each bucket.
+
+    Near copies count once: they are told by the same minimum of a permutation
+    over their rarer words (those that aren't ``common``).
+    """
+    n, least = len(heads) - 1, None
+    doc = np.repeat(np.arange(n), np.diff(heads))
+    rare = np.flatnonzero(~common[buckets])
+    for a in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D):
+        own = np.arange(n) + (1 << 32)  # a text of common words alone is like no other
+        if len(rare):
+            first = np.flatnonzero(np.diff(doc[rare], prepend=-1))
+            own[doc[rare][first]] = np.minimum.reduceat((buckets[rare] * a) & 0xFFFFFFFF, first)
+        pairs = np.unique((buckets << 34) | own[doc])
+        count = np.bincount(pairs >> 34, minlength=BUCKETS)
+        least = count if least is None else np.minimum(least, count)
+    return least
+
+
+def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float) -> Model:
+    """Minimise the non-negative risk over the whole sample by Adam."""
     n_p, n_u = len(positive[1]) - 1, len(unlabelled[1]) - 1
     weights = np.zeros(BUCKETS)
     prior = min(max(prior, 1e-4), 0.9)
     start = float(np.log(prior / (1 - prior)))
     if not n_p or not n_u:
         return Model(weights, start)
-    held_p, held_u = (np.bincount(x[0], minlength=BUCKETS) for x in (positive, unlabelled))
+    held_u = np.bincount(unlabelled[0], minlength=BUCKETS)
+    held_p = holders(*positive, held_u > COMMON * n_u)
     mean = (held_p + held_u) / (n_p + n_u)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
-    kept = np.flatnonzero((held_p >= LEAST_DOCS) & (held_p / n_p - held_u / n_u > LEAST_Z * spread) & (held_p / n_p > LEAST_LIFT * held_u / n_u))
+    kept = np.flatnonzero((held_p >= max(LEAST_DOCS, LEAST_SHARE * n_p)) & (held_p / n_p - held_u / n_u > LEAST_Z * spread) & (held_p / n_p > LEAST_LIFT * held_u / n_u))
     number = np.full(BUCKETS, -1)
     number[kept] = np.arange(len(kept))
 
@@ -107,36 +130,25 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
     p, u = small(positive), small(unlabelled)
     w = np.zeros(len(kept) + 1)
     w[-1] = start
-    m, v, step, risks = np.zeros_like(w), np.zeros_like(w), 0, []
-    rng = np.random.Generator(np.random.Philox(seed))
-    batches = max(1, -(-n_u // BATCH))
-    epochs = max(EPOCHS, -(-300 // batches))
-    for _ in range(epochs):
-        total = 0.0
-        u_order = rng.permutation(n_u)
-        for k in range(batches):
-            ub = u_order[k::batches]
-            (xu, hu), (xp, hp) = _rows(*u, ub), p
-            fu, fp = margins(w, w[-1], xu, hu), margins(w, w[-1], xp, hp)
-            loss = lambda z: np.logaddexp(0, -z)
-            plus, rest = prior * loss(fp).mean(), loss(-fu).mean() - prior * loss(-fp).mean()
-            total += plus + max(0.0, rest)
-            # d loss(f) = -sigmoid(-f), d loss(-f) = sigmoid(f)
-            gu, gp = sigmoid(fu) / len(ub), -prior * sigmoid(fp) / n_p
-            if rest < 0:
-                gu, gp = -gu, -gp
-            else:
-                gp = gp - prior * sigmoid(-fp) / n_p
-            g = np.bincount(xu, np.repeat(gu, np.diff(hu)), len(w)) + np.bincount(xp, np.repeat(gp, np.diff(hp)), len(w)).astype(float)
-            g[-1] = gu.sum() + gp.sum()
-            g[:-1] += SHRINK * w[:-1]
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            rate = RATE * (1 - step / (epochs * batches + 1))
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            # every kept feature is one that positives hold more often
-            np.maximum(w[:-1], 0, out=w[:-1])
-        risks.append(total / batches)
+    m, v, risks = np.zeros_like(w), np.zeros_like(w), []
+    (xu, hu), (xp, hp) = u, p
+    loss = lambda z: np.logaddexp(0, -z)
+    for step in range(1, STEPS + 1):
+        fu, fp = margins(w, w[-1], xu, hu), margins(w, w[-1], xp, hp)
+        rest = loss(-fu).mean() - prior * loss(-fp).mean()
+        risks.append(prior * loss(fp).mean() + max(0.0, rest))
+        # d loss(f) = -sigmoid(-f), d loss(-f) = sigmoid(f)
+        gu, gp = np.zeros(n_u), -prior * sigmoid(-fp) / n_p
+        if rest > 0:
+            gu, gp = sigmoid(fu) / n_u, gp - prior * sigmoid(fp) / n_p
+        g = (np.bincount(xu, np.repeat(gu, np.diff(hu)), len(w)) + np.bincount(xp, np.repeat(gp, np.diff(hp)), len(w))).astype(float)
+        g[-1] = gu.sum() + gp.sum()
+        g[:-1] += SHRINK * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        rate = RATE * (1 - step / (STEPS + 1))
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        # every kept feature is one that positives hold more often
+        np.maximum(w[:-1], 0, out=w[:-1])
     weights[kept] = w[:-1]
     return Model(weights, float(w[-1]), tuple(risks))
 
