@@ -17,8 +17,8 @@ from collections.abc import Iterator
 
 from .common import blocks, process_cache
 
-#: Entries kept per process; beyond it only the block's own pieces stay.
-CACHE_ENTRIES = 400_000
+#: Entries of one generation; when it is full it becomes the elder one, from which pieces still in use come back.
+CACHE_ENTRIES = 250_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 48
 #: Characters whose classes are the same here and in the library, and that normal forms leave alone.
@@ -57,6 +57,7 @@ class PieceEncoder:
         # a file of another kind is used through whole texts alone
         self.cut, self.lower = cuts.get(self._kind(), (None, False))
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     def _kind(self) -> tuple[str, bool]:
         probe = "Ab c'll d1,2  e_éf\n"
@@ -87,10 +88,11 @@ class PieceEncoder:
             else:
                 cut[k] = self.cut.findall(t.lower() if self.lower else t)
         pieces = set().union(*cut.values())
-        new = {p: self.piece(p) for p in pieces - self.known.keys()}
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {p: v for p in pieces if (v := self.known.get(p)) is not None}
-        self.known.update(new)
+        if len(self.known) > CACHE_ENTRIES:
+            self.elder, self.known = self.known, {}
+        new = pieces - self.known.keys()
+        old = self.elder.get
+        self.known.update((p, v if (v := old(p)) is not None else self.piece(p)) for p in new)
         get = self.known.__getitem__
         for k, own in cut.items():
             out[k] = b"".join(map(get, own))
