@@ -48,13 +48,14 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import blocks, free_name, slim, stored, texts_as_bytes
 
+#: Most bytes of a hashed gram; a third of the length where that is less, as shorter grams mean fewer stretches.
 GRAM = 128
 #: Bytes of the stretches of one minimizer that one task may gather.
 GROUP_BYTES = 4 << 20
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 20
 #: Tables up to so many rows (some 50 bytes each) are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 250_000
 STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binary"
 
 
@@ -264,11 +265,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, kind)
 
 
-def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Repeated starts as ``doc_id, tag, starts array<struct<lo, n>>``; ``tag`` tells texts of one id apart."""
     if keep not in ("first", "none"):
         raise ValueError(keep)
-    gram, first_only = min(gram, length), keep == "first"
+    gram, first_only = min(gram or GRAM, max(length // 3, 1)), keep == "first"
     docs = slim(docs)
     all_ = stored(find_stretches(docs, length, gram, first_only), "stretches")
     rows = all_.filter("digest is not null")
