@@ -80,7 +80,8 @@ def near_classes(data):
 
 
 @pytest.mark.parametrize("group_nodes", [4096, 2])
-def test_near_duplicates(docs, group_nodes):
+def test_near_duplicates(docs, group_nodes, monkeypatch):
+    monkeypatch.setattr(minmax, "BROADCAST_ROWS", minmax.BROADCAST_ROWS if group_nodes > 2 else 0)
     got = minmax.near_duplicates(docs, group_nodes=group_nodes).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == near_classes(plain(docs))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -151,6 +152,7 @@ def repeats(data, length, first):
 @pytest.mark.parametrize("group_bytes", [1 << 22, 1])
 def test_repeated_strings(docs, keep, group_bytes, monkeypatch):
     real = suffix_dedup.ranges
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", suffix_dedup.BROADCAST_ROWS if group_bytes > 1 else 0)
     monkeypatch.setattr(suffix_dedup, "ranges", lambda d, length, k: real(d, length, k, group_bytes=group_bytes))
     small = docs.filter("length(text) < 5000 or text is null")
     got = suffix_dedup.digest_repeats(small, 200, keep).collect()
