@@ -301,3 +301,48 @@ def nearest_distances(edges: DataFrame) -> DataFrame:
     k = max(2, min(20, math.ceil(math.sqrt(n))))
     other = edges.filter("target_id <> source_id")
     return other.agg(F.percentile(F.when(F.col("rank") == 1, F.col("dist")), F.lit(0.5)).alias("typical_nn"), F.percentile(F.when(F.col("rank") == k, F.col("dist")), F.lit(0.5)).alias("auto_bandwidth"))
+
+
+def collinearity_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Median, 0.9 quantile and maximum (values that occur) of each column; infinity counts as a value."""
+    parts = None
+    for c in columns:
+        one = rows.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)").alias(n) for p, n in ((0.5, "median"), (0.9, "q90"), (1.0, "max"))]).select(F.lit(c).alias("measure"), "median", "q90", "max")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def best_by_criterion(ranking: DataFrame, criteria: list[str]) -> DataFrame:
+    """The eligible candidate of least value for each criterion, among local models and overall; ties go to the smaller id."""
+    long = ranking.filter("eligible").select("candidate_id", "terms", "family", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("value")) for c in criteria])).alias("s")).select("candidate_id", "terms", "family", "s.*")
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    both = long.filter("family = 'gwr'").withColumn("scope", F.lit("gwr")).unionByName(long.withColumn("scope", F.lit("overall")))
+    return both.groupBy("criterion", "scope").agg(F.min_by(F.struct("candidate_id", "terms", "value"), F.struct("value", "candidate_id")).alias("b")).select("criterion", "scope", "b.*")
+
+
+def paired_loss(rows: DataFrame, by: list[str], method: str, sample: str, base: str = "ols", observed: str = "observed", prediction: str = "prediction") -> DataFrame:
+    """Mean difference of squared errors from a base method on the same samples, with its standard error."""
+    loss = (F.col(prediction) - F.col(observed)) ** 2
+    one = rows.withColumn("_l", loss)
+    ref = one.filter(F.col(method) == base).select(sample, F.col("_l").alias("_b"))
+    d = one.filter(F.col(method) != base).join(ref, sample).withColumn("_d", F.col("_l") - F.col("_b"))
+    return d.groupBy(*by, method).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_difference"), (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("standard_error"))
+
+
+def missingness(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls, non-finite values, zeros and negatives of each column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    v = F.col("v")
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return rows.select(F.explode(cells).alias("s")).select("s.*").groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("n_null"), F.count_if(v.isNotNull() & ~ok).alias("n_not_finite"), F.count_if(ok & (v == 0)).alias("n_zero"), F.count_if(ok & (v < 0)).alias("n_negative"))
+
+
+def fold_summary(rows: DataFrame, fold: str, coords: list[str], group: str) -> DataFrame:
+    """Size, groups and extent of each fold."""
+    return rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(group).alias("n_groups"), *[f(c).alias(f"{n}_{c}") for c in coords for n, f in (("min", F.min), ("max", F.max))])
+
+
+def process_descriptive(rows: DataFrame, residual: str = "residual") -> DataFrame:
+    """Loss-free summary of residuals, for models without a Gaussian likelihood."""
+    e = F.col(residual)
+    return rows.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_absolute_error"))

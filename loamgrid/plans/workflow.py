@@ -20,20 +20,22 @@ from ..operators.solvers import Spec, lambda_path
 PENALTIES = {"gwr": ("gwr", 1.0), "scaled_lasso": ("scaled_lasso", None), "lasso": ("lasso", 1.0), "ridge": ("ridge", 0.0), "elastic_net": ("en", None), "scad": ("scad", 1.0), "mcp": ("mcp", 1.0), "lad": ("lad", None)}
 
 
-def spec_of(penalty: str, lam: float = 0.0, alpha: float = 1.0, d: float = 0.0, gamma: float | None = None, kernel: str = "bisquare", bandwidth: float | None = None, tolerance: float = 1e-7, max_iterations: int | None = None) -> Spec:
+def spec_of(penalty: str, lam: float = 0.0, alpha: float = 1.0, d: float = 0.0, gamma: float | None = None, kernel: str = "bisquare", bandwidth: float | None = None, tolerance: float = 1e-7, max_iterations: int | None = None, guarded: bool = False) -> Spec:
     """A checked specification of a named penalty."""
     if penalty not in PENALTIES:
         raise ValueError(f"penalty must be one of {', '.join(PENALTIES)}")
     model, preset = PENALTIES[penalty]
     if lam < 0 or not 0 <= alpha <= 1 or (bandwidth is not None and bandwidth <= 0):
         raise ValueError("lambda must not be negative, alpha must be in [0, 1], a bandwidth must be positive")
+    if guarded and penalty not in ("scad", "mcp"):
+        raise ValueError("the guarded solver belongs to SCAD and MCP")
     if d and penalty not in ("scaled_lasso", "lad"):
         raise ValueError("d belongs to the scaled lasso")
     alpha = alpha if preset is None else preset
     if model != "gwr" and model != "lad" and alpha == 0 and not d:
         model = "ridge"
     g = check_gamma(penalty, gamma) if penalty in ("scad", "mcp") else 3.7
-    return Spec(model, 0.0 if penalty == "gwr" else float(lam), alpha, d, g, kernel, bandwidth, tolerance, max_iterations or (2000 if model == "lad" else 1000))
+    return Spec(model, 0.0 if penalty == "gwr" else float(lam), alpha, d, g, kernel, bandwidth, tolerance, max_iterations or (2000 if model == "lad" else 1000), guarded)
 
 
 @dataclass
@@ -140,6 +142,22 @@ def fit(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, penalt
     return Fit(spec, data, y, x, coords, key, k, centre, scale, edges, rows)
 
 
+class NotConverged(RuntimeError):
+    """A guarded fit left targets unconverged; ``solver_result`` is the audit table."""
+
+    def __init__(self, solver_result: DataFrame, count: int):
+        super().__init__(f"{count} targets did not converge")
+        self.solver_result = solver_result
+
+
+def require_converged(f: Fit) -> Fit:
+    """The fit, or an error that carries its audit."""
+    bad = f.local.filter(~F.col("converged")).count()
+    if bad:
+        raise NotConverged(f.solver(), bad)
+    return f
+
+
 def path(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, penalty: str = "lasso", lambdas: list[float] | None = None, count: int = 50, ratio: float = 1e-3, key: str = "id", edges: DataFrame | None = None, **options) -> DataFrame:
     """A row per target and lambda, along a decreasing path."""
     spec = spec_of(penalty, 1.0, **options)
@@ -280,6 +298,86 @@ def report(f: Fit) -> dict:
     return {"model": f.spec.model, "kernel": f.spec.kernel, "k": f.k, "diagnostics": d, "ols": ols(f.data, f.y, f.x), "summary": f.summary(), "collinearity": statistics.global_collinearity(f.data, f.x)}
 
 
+def best_lambda_nested(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, outer: str, inner: str, lambdas: list[float], penalty: str = "lasso", key: str = "id", **options) -> DataFrame:
+    """Nested cross-validation: for each outer fold, the lambda that the inner folds of its training rows choose, and the held-out errors.
+
+    Inner errors are pooled over folds; a lambda with a target that didn't converge can't win, and an exact tie is an error.
+    """
+    from ..functions.ranking import argmin
+
+    parts = []
+    for f in [r[0] for r in data.select(outer).distinct().orderBy(outer).collect()]:
+        train, test = data.filter(F.col(outer) != f), data.filter(F.col(outer) == f)
+        scores, _ = cross_validate(train, y, x, coords, k, inner, lambdas, penalty, key=key, **options)
+        good = scores.filter("convergence_rate = 1").persist()
+        best = argmin(good, "rmse", "lambda_idx").first()
+        if best is None or good.filter(F.col("rmse") == best["rmse"]).count() > 1:
+            raise ValueError(f"outer fold {f}: no single best lambda")
+        m = fit(train, y, x, coords, k, penalty, key, diagnostics="none", lam=best["lambda"], **options)
+        got = m.predict(test).join(test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("observed")), "target_id")
+        base = train.agg(F.avg(y)).first()[0]
+        parts.append(got.select(F.lit(f).alias("outer_fold"), F.lit(best["lambda"]).alias("lambda"), "target_id", "observed", F.col("fitted").alias("prediction"), F.lit(float(base)).alias("baseline")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def stepwise(data: DataFrame, y: str, terms: list[str], coords: list[str], kernels: list[str], ks: list[int], criterion: str = "aicc", required: list[str] = (), key: str = "id", max_models: int = 200) -> DataFrame:
+    """Search by adding and dropping single terms from the best model so far, until no neighbour is unvisited.
+
+    Starts from the full set, the required terms, and these with one more.
+    """
+    seen: dict[tuple[str, ...], DataFrame] = {}
+    best: tuple[float, tuple[str, ...]] | None = None
+    order = lambda s: tuple(t for t in [*required, *[t for t in terms if t not in required]] if t in s)
+    legal = lambda s: s and all(p in s for t in s if ":" in t for p in t.split(":"))
+    frontier = {order({*required, *terms}), order(set(required)), *[order({*required, t}) for t in terms]}
+    done: list[DataFrame] = []
+    while frontier := {s for s in frontier if legal(s) and s not in seen}:
+        for s in sorted(frontier):
+            if len(seen) >= max_models:
+                break
+            got = select(data, y, list(s), coords, kernels, ks, criterion, required=list(s), key=key)
+            seen[s] = got
+            row = got.filter("eligible and family = 'gwr'").agg(F.min(criterion)).first()[0]
+            if row is not None and (best is None or (row, s) < best):
+                best = (row, s)
+            done.append(got.withColumn("subset", F.lit("+".join(s))))
+        if best is None or len(seen) >= max_models:
+            break
+        centre = set(best[1])
+        frontier = {order(centre | {t}) for t in terms} | {order(centre - {t}) for t in centre if t not in required}
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return rank_candidates(out.drop("rank", "delta").withColumn("candidate_id", F.xxhash64("subset", "family", "kernel", "k")), criterion)
+
+
+def global_fit(data: DataFrame, y: str, x: list[str], penalty: str = "lasso", **options) -> dict:
+    """One penalised model for all rows: moments by a single aggregate, then the local solvers on them."""
+    from ..operators import solvers
+
+    spec = spec_of(penalty, **options)
+    if spec.model == "lad":
+        raise ValueError("absolute deviations have no moments")
+    centre, scale = local.standardisation(data, x)
+    z = [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(x, centre, scale)]
+    p = len(x)
+    row = data.agg(F.avg(y), *[F.avg(a * b) for a in z for b in z], *[F.covar_pop(a, F.col(y).cast("double")) for a in z]).first()
+    gram, score = np.array(row[1 : 1 + p * p], float).reshape(1, p, p), np.array(row[1 + p * p :], float).reshape(1, p)
+    m = solvers.Moments(None, None, None, np.array([row[0]]), np.zeros((1, p)), None, None, gram, score, np.array([True]))
+    if spec.model == "ridge":
+        beta = np.linalg.solve(gram[0] + spec.lam * np.eye(p), score[0])[None]
+    elif spec.model == "gwr":
+        beta = solvers.direct(gram, score)[0]
+    else:
+        pilot = np.zeros((1, p)) if spec.model in ("scad", "mcp") else solvers.direct(gram, score)[0]
+        beta = solvers.coordinate_descent(m, spec, pilot, pilot)[0]
+    coef = local.original_scale(np.array([row[0]]), beta, np.zeros((1, p)), centre, scale)[0]
+    return dict(zip(["(Intercept)", *x], coef.tolist()))
+
+
 def with_lambda(f: Fit, lam: float) -> Fit:
     """The same fit at another penalty."""
     spec = replace(f.spec, lam=lam)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import penalties, ranking, survey, weights
-from .operators import advanced, local, neighbors, statistics
+from .functions import formula, penalties, ranking, survey, weights
+from .operators import advanced, graphs, local, neighbors, statistics, surfaces
 from .plans import workflow
 from .sources import tables
 from .streaming import scoring
@@ -587,3 +587,93 @@ def aligned_observations(spark, sf_dir):
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     nation = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
     return c.join(F.broadcast(nation), "c_nationkey").join(n, "c_custkey").select(F.col("c_custkey").alias("id"), "c_acctbal", "n")
+
+
+# --- formulas, graphs, maps, audits ---------------------------------------
+
+@query("WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS s, p_retailprice AS r, p_partkey % 3 AS k FROM part) SELECT id, s, CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END AS k1, CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END AS k2, CASE WHEN k = 1 THEN s ELSE 0.0 END AS sk1, CASE WHEN k = 2 THEN s ELSE 0.0 END AS sk2 FROM a")
+def formula_design(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"), (F.col("p_partkey") % 3).cast("string").alias("k"))
+    got, _ = formula.build(df, "r ~ s*k")
+    return got.select("id", "s", "k1", "k2", F.col("`s:k1`").alias("sk1"), F.col("`s:k2`").alias("sk2"))
+
+
+SQUARES = "sq AS (SELECT i AS id, i % 20 AS a, i // 20 AS b FROM range(400) r(i) WHERE i % 7 <> 3 OR i % 20 > 15)"
+
+
+def _squares(spark) -> DataFrame:
+    i = F.col("id")
+    s = spark.range(400).filter((i % 7 != 3) | (i % 20 > 15)).select("id", (i % 20).alias("a"), F.floor(i / 20).alias("b"))
+    corner = F.explode(F.array(*[F.struct((F.col("a") + x).cast("double").alias("x"), (F.col("b") + y).cast("double").alias("y")) for x in (0, 1) for y in (0, 1)]))
+    return s.select("id", corner.alias("c")).select("id", "c.x", "c.y")
+
+
+@query(f"WITH {SQUARES} SELECT s.id AS i, t.id AS j FROM sq s, sq t WHERE s.id <> t.id AND abs(s.a-t.a) <= 1 AND abs(s.b-t.b) <= 1")
+def queen_contiguity(spark, sf_dir):
+    return graphs.queen_contiguity(_squares(spark))
+
+
+@query(f"WITH {SQUARES}, e AS (SELECT s.id AS i, t.id AS j FROM sq s, sq t WHERE s.id <> t.id AND abs(s.a-t.a) <= 1 AND abs(s.b-t.b) <= 1), d AS (SELECT i, count(*) AS d FROM e GROUP BY i) SELECT i, j, round(1/d::DOUBLE, 6) AS v FROM e JOIN d USING (i)")
+def contiguity_weights(spark, sf_dir):
+    return out(graphs.standardised_weights(graphs.queen_contiguity(_squares(spark))), "v", keys=("i", "j"))
+
+
+@query("SELECT i AS id, i % 10 AS component FROM range(200) r(i)")
+def graph_components(spark, sf_dir):
+    pairs = spark.range(190).select(F.col("id").alias("i"), (F.col("id") + 10).alias("j"))
+    return graphs.connected(pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), spark.range(200))
+
+
+@query("WITH a AS (SELECT p_partkey AS id, p_size AS u, p_retailprice AS v FROM part), b AS (SELECT *, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1)/2.0 AS ru, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1)/2.0 AS rv, count(*) OVER () AS n FROM a) SELECT id, ((least(greatest(ceil(rv/n*3), 1), 3) - 1)*3 + least(greatest(ceil(ru/n*3), 1), 3))::INTEGER AS class FROM b")
+def bivariate_classes(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("value_1"), F.col("p_retailprice").alias("value_2"))
+    return surfaces.bivariate(df).select("id", F.col("class").cast("int").alias("class"))
+
+
+@query()
+def fitted_surface(spark, sf_dir):
+    return surfaces.surface(_fit(spark, sf_dir), ["x1", "beta_2"], 25)
+
+
+@query(f"{LOCALR}, m AS (SELECT sqrt((1+abs(r))/(1-abs(r))) AS condition_number, abs(r) AS max_abs_correlation FROM rr) SELECT 'condition_number' AS measure, round(quantile_disc(condition_number, 0.5), 6) AS median, round(quantile_disc(condition_number, 0.9), 6) AS q90, round(max(condition_number), 6) AS max FROM m UNION ALL SELECT 'max_abs_correlation' AS measure, round(quantile_disc(max_abs_correlation, 0.5), 6) AS median, round(quantile_disc(max_abs_correlation, 0.9), 6) AS q90, round(max(max_abs_correlation), 6) AS max FROM m")
+def collinearity_summary(spark, sf_dir):
+    p = points(spark, sf_dir)
+    c = statistics.local_collinearity(weights.weighted_edges(neighbors.knn(p, K, XY), "bisquare"), p, ["x1", "x2"])
+    return out(statistics.collinearity_summary(c, ["condition_number", "max_abs_correlation"]), "median", "q90", "max", keys=("measure",))
+
+
+@query("SELECT 'c_acctbal' AS \"column\", count(*) AS n, 0 AS n_null, 0 AS n_not_finite, count(*) FILTER (WHERE c_acctbal = 0) AS n_zero, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative FROM customer UNION ALL SELECT 'odd', count(*), count(*) FILTER (WHERE c_custkey % 2 = 0), 0, 0, 0 FROM customer")
+def missingness(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("odd", F.when(F.col("c_custkey") % 2 > 0, F.col("c_custkey")))
+    return statistics.missingness(c, ["c_acctbal", "odd"])
+
+
+@query(f"WITH {PTS} SELECT id % 5 AS fold, count(*) AS n, count(DISTINCT id % 7) AS n_groups, round(min(cx),6)+0.0 AS min_cx, round(max(cx),6) AS max_cx, round(min(cy),6)+0.0 AS min_cy, round(max(cy),6) AS max_cy FROM pts GROUP BY 1")
+def fold_summary(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("fold", F.col("id") % 5).withColumn("g", F.col("id") % 7)
+    return out(statistics.fold_summary(p, "fold", XY, "g"), "min_cx", "max_cx", "min_cy", "max_cy", keys=("fold", "n", "n_groups"))
+
+
+@query(f"""WITH b AS ({PRED}), m AS (SELECT id, 'ols' AS method, observed, baseline AS prediction FROM b UNION ALL SELECT id, 'gwr', observed, prediction FROM b), d AS (SELECT g.method, pow(g.prediction-g.observed, 2) - pow(o.prediction-o.observed, 2) AS d FROM m g JOIN m o ON o.id = g.id AND o.method = 'ols' WHERE g.method <> 'ols')
+SELECT method, count(*) AS n, round(avg(d), 4) AS mean_difference, round(stddev_samp(d)/sqrt(count(*)), 4) AS standard_error FROM d GROUP BY method""")
+def paired_losses(spark, sf_dir):
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("observed"), (F.col("o_totalprice") / 1000 + (F.col("o_orderkey") % 7) - 3).alias("prediction"))
+    both = b.withColumn("method", F.lit("gwr")).unionByName(b.withColumn("prediction", F.lit(100.0)).withColumn("method", F.lit("ols")))
+    return statistics.paired_loss(both, [], "method", "id").select("method", "n", F.round("mean_difference", 4).alias("mean_difference"), F.round("standard_error", 4).alias("standard_error"))
+
+
+@query(f"WITH {PTS}, {STD}, a AS (SELECT var_pop(z1) AS g, covar_pop(z1, y) AS s, any_value(c1) AS c1, any_value(d1) AS d1, avg(y) AS my FROM zp), b AS (SELECT *, sign(s)*greatest(abs(s)-0.2, 0)/g AS b FROM a) SELECT round(my-b/d1*c1, 5) AS beta0, round(b/d1, 5) AS beta1 FROM b")
+def global_lasso(spark, sf_dir):
+    g = workflow.global_fit(points(spark, sf_dir), "y", ["x1"], "lasso", lam=0.2, tolerance=1e-12)
+    return spark.range(1).select(F.round(F.lit(g["(Intercept)"]), 5).alias("beta0"), F.round(F.lit(g["x1"]), 5).alias("beta1"))
+
+
+@query()
+def stepwise_selection(spark, sf_dir):
+    return workflow.stepwise(points(spark, sf_dir), "y", ["x1", "x2"], XY, ["bisquare"], [25])
+
+
+@query()
+def nested_cross_validation(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("outer", F.col("id") % 2).withColumn("inner", F.floor(F.col("id") / 2) % 2)
+    return workflow.best_lambda_nested(p, "y", ["x1", "x2"], XY, K, "outer", "inner", LAMBDAS)
