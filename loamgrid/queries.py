@@ -591,7 +591,7 @@ def aligned_observations(spark, sf_dir):
 
 # --- formulas, graphs, maps, audits ---------------------------------------
 
-@query("WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS s, p_retailprice AS r, p_partkey % 3 AS k FROM part) SELECT id, s, CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END AS k1, CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END AS k2, CASE WHEN k = 1 THEN s ELSE 0.0 END AS sk1, CASE WHEN k = 2 THEN s ELSE 0.0 END AS sk2 FROM a")
+@query("WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS s, p_retailprice AS r, p_partkey % 3 AS k FROM part) SELECT id, s, (k = 1)::INTEGER::DOUBLE AS k1, (k = 2)::INTEGER::DOUBLE AS k2, (k = 1)::INTEGER * s AS sk1, (k = 2)::INTEGER * s AS sk2 FROM a")
 def formula_design(spark, sf_dir):
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"), (F.col("p_partkey") % 3).cast("string").alias("k"))
     got, _ = formula.build(df, "r ~ s*k")
