@@ -119,7 +119,7 @@ def moran(weights: DataFrame, values: DataFrame, value: str = "residual", key: s
     mean, n, ss = z.agg(F.avg("z"), F.count(F.lit(1)), F.var_pop("z") * F.count(F.lit(1))).first()
     c = z.withColumn("z", F.col("z") - F.lit(mean))
     cross = weights.join(c, "i").join(c.select(F.col("i").alias("j"), F.col("z").alias("zj")), "j")
-    return cross.agg((F.lit(float(n)) / F.sum("v") * F.sum(F.col("v") * F.col("z") * F.col("zj")) / F.lit(ss)).alias("observed"), F.sum("v").alias("s0")).select(F.lit(n).alias("n"), "observed", F.lit(-1.0 / (n - 1) if n > 1 else None).cast("double").alias("expected"), "s0")
+    return cross.agg((F.lit(float(n)) / F.sum("v") * F.sum(F.col("v") * F.col("z") * F.col("zj")) / F.lit(ss)).alias("observed"), F.sum("v").alias("s0")).select(F.lit(n).cast("long").alias("n"), "observed", F.lit(-1.0 / (n - 1) if n > 1 else None).cast("double").alias("expected"), "s0")
 
 
 def local_moran(weights: DataFrame, values: DataFrame, value: str = "residual", key: str = "id") -> DataFrame:

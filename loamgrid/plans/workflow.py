@@ -194,7 +194,7 @@ def cross_validate(data: DataFrame, y: str, x: list[str], coords: list[str], k:
             spec = spec_of(penalty, 1.0, d=d, **options)
             got = local.fit_path(hoods, spec, np.asarray(lambdas, float), centre, scale, at, x, key)
             seen = test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("_y"))
-            parts.append(got.join(seen, "target_id").select(F.lit(f).alias("fold"), F.lit(float(d)).alias("d"), "lambda_idx", "lambda", (F.col("fitted") - F.col("_y")).alias("e"), "converged"))
+            parts.append(got.join(seen, "target_id").select(F.lit(f).cast(data.schema[fold].dataType).alias("fold"), F.lit(float(d)).alias("d"), "lambda_idx", "lambda", (F.col("fitted") - F.col("_y")).alias("e"), "converged"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -316,7 +316,7 @@ def best_lambda_nested(data: DataFrame, y: str, x: list[str], coords: list[str],
         m = fit(train, y, x, coords, k, penalty, key, diagnostics="none", lam=best["lambda"], **options)
         got = m.predict(test).join(test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("observed")), "target_id")
         base = train.agg(F.avg(y)).first()[0]
-        parts.append(got.select(F.lit(f).alias("outer_fold"), F.lit(best["lambda"]).alias("lambda"), "target_id", "observed", F.col("fitted").alias("prediction"), F.lit(float(base)).alias("baseline")))
+        parts.append(got.select(F.lit(f).cast(data.schema[outer].dataType).alias("outer_fold"), F.lit(best["lambda"]).alias("lambda"), "target_id", "observed", F.col("fitted").alias("prediction"), F.lit(float(base)).alias("baseline")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -571,7 +571,7 @@ def process_model(spark, sf_dir):
     return advanced.process_model(p, "y", ["x1", "x2"], e, lap, source, lap)["local"]
 
 
-@query("SELECT d.task_id, a, b, replicate, (20240101 + d.task_id*104729) % 2147483646 + 1 AS seed FROM (SELECT (ia*2+ib)*3 + replicate AS task_id, a, b, replicate FROM (VALUES (0,'u'),(1,'v')) x(ia,a), (VALUES (0,1.0::DOUBLE),(1,2.0::DOUBLE)) y(ib,b), (SELECT (i+1)::INTEGER AS replicate FROM range(3) r(i))) d")
+@query("SELECT d.task_id::BIGINT AS task_id, a, b, replicate, (20240101 + d.task_id::BIGINT*104729) % 2147483646 + 1 AS seed FROM (SELECT (ia*2+ib)*3 + replicate AS task_id, a, b, replicate FROM (VALUES (0,'u'),(1,'v')) x(ia,a), (VALUES (0,1.0::DOUBLE),(1,2.0::DOUBLE)) y(ib,b), (SELECT (i+1)::INTEGER AS replicate FROM range(3) r(i))) d")
 def task_plan(spark, sf_dir):
     return tables.task_plan(spark, {"a": ["u", "v"], "b": [1.0, 2.0]}, 3, 20240101).select("task_id", "a", "b", "replicate", "seed")
 
@@ -642,7 +642,7 @@ def collinearity_summary(spark, sf_dir):
     return out(statistics.collinearity_summary(c, ["condition_number", "max_abs_correlation"]), "median", "q90", "max", keys=("measure",))
 
 
-@query("SELECT 'c_acctbal' AS \"column\", count(*) AS n, 0 AS n_null, 0 AS n_not_finite, count(*) FILTER (WHERE c_acctbal = 0) AS n_zero, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative FROM customer UNION ALL SELECT 'odd', count(*), count(*) FILTER (WHERE c_custkey % 2 = 0), 0, 0, 0 FROM customer")
+@query("SELECT 'c_acctbal' AS \"column\", count(*) AS n, 0::BIGINT AS n_null, 0::BIGINT AS n_not_finite, count(*) FILTER (WHERE c_acctbal = 0) AS n_zero, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative FROM customer UNION ALL SELECT 'odd', count(*), count(*) FILTER (WHERE c_custkey % 2 = 0), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM customer")
 def missingness(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("odd", F.when(F.col("c_custkey") % 2 > 0, F.col("c_custkey")))
     return statistics.missingness(c, ["c_acctbal", "odd"])
