@@ -43,6 +43,21 @@ class Signs(dict):
         return self[code]
 
 
+class Pieces(dict):
+    """Ids of pieces; one that isn't here comes from the elder generation or from the library."""
+
+    def __init__(self, make, elder: dict[str, bytes]):
+        self.make, self.elder = make, elder
+
+    def __missing__(self, p: str) -> bytes:
+        v = self.elder.get(p)
+        if v is None:
+            v = self.make(p)
+        if len(p) <= CACHE_CHARS:
+            self[p] = v
+        return v
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -56,8 +71,7 @@ class PieceEncoder:
         cuts = {("ByteLevel", False): (BYTE_LEVEL, False), ("Sequence", True): (WORD_LEVEL, True)}
         # a file of another kind is used through whole texts alone
         self.cut, self.lower = cuts.get(self._kind(), (None, False))
-        self.known: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
+        self.known = Pieces(self.piece, {})
 
     def _kind(self) -> tuple[str, bool]:
         probe = "Ab c'll d1,2  e_éf\n"
@@ -78,27 +92,16 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        out: list = [b""] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for k, t in enumerate(texts):
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = Pieces(self.piece, dict(self.known))
+        get, cut, lower, plain, out = self.known.__getitem__, self.cut, self.lower, _PLAIN.fullmatch, []
+        for t in texts:
             if not t:
-                continue
-            if self.cut is None or not _PLAIN.fullmatch(t):
-                out[k] = self.whole(t)
+                out.append(b"")
+            elif cut is None or not plain(t):
+                out.append(self.whole(t))
             else:
-                cut[k] = self.cut.findall(t.lower() if self.lower else t)
-        pieces = set().union(*cut.values())
-        if len(self.known) > CACHE_ENTRIES:
-            self.elder, self.known = self.known, {}
-        new = pieces - self.known.keys()
-        old = self.elder.get
-        self.known.update((p, v if (v := old(p)) is not None else self.piece(p)) for p in new)
-        get = self.known.__getitem__
-        for k, own in cut.items():
-            out[k] = b"".join(map(get, own))
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del self.known[p]
+                out.append(b"".join(map(get, cut.findall(t.lower() if lower else t))))
         return out
 
 
