@@ -54,8 +54,6 @@ GRAM = 128
 GROUP_BYTES = 4 << 20
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Tables up to so many rows (some 50 bytes each) are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 250_000
 STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binary"
 
 
@@ -252,21 +250,20 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             out = []
-            for doc, text, tag, list_ in zip(b.column(0).to_pylist(), texts_as_bytes(b), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for doc, text, tag, *lists in zip(b.column(0).to_pylist(), texts_as_bytes(b), *[b.column(k).to_pylist() for k in range(2, 6)]):
                 if zlib.crc32(text) & 0x7FFFFFFF == tag:
-                    out += [(doc, tag, x["lo"], x["n"], x["minimizer"], text[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in list_]
+                    out += [(doc, tag, lo, n, m, text[lo : lo + n + length - 1]) for lo, n, m in zip(*lists)]
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["doc_id", "tag", "lo", "n", "minimizer", "body"])
 
-    per_doc = stored(wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "minimizer")).alias("list")), "wanted")
-    side = F.broadcast(per_doc) if wanted.count() <= BROADCAST_ROWS else per_doc
-    met = docs.alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.tag", "w.list")
+    per_doc = stored(wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "minimizer")).alias("s")).select("doc_id", "tag", "s.lo", "s.n", "s.minimizer"), "wanted")
+    met = docs.alias("d").join(per_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.tag", "w.lo", "w.n", "w.minimizer")
     return met.mapInArrow(run, kind)
 
 
 def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Repeated starts as ``doc_id, tag, starts array<struct<lo, n>>``; ``tag`` tells texts of one id apart."""
+    """Repeated starts as ``doc_id, tag, lo array, n array``: runs of ``n`` starts from ``lo``; ``tag`` tells texts of one id apart."""
     if keep not in ("first", "none"):
         raise ValueError(keep)
     gram, first_only = min(gram or GRAM, max(length // 3, 1)), keep == "first"
@@ -287,7 +284,7 @@ def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int |
     hot = several.filter(F.col("bytes") > group_bytes)
     if not hot.isEmpty():
         found = found.unionByName(_by_digests(_fetch(docs, hot, length), length, first_only))
-    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
+    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("doc_id", "tag", "s.lo", "s.n")
 
 
 def _by_arrays(bodies: DataFrame, length: int, first_only: bool) -> DataFrame:
@@ -346,10 +343,10 @@ def _by_digests(bodies: DataFrame, length: int, first_only: bool) -> DataFrame:
 
 # --- use ------------------------------------------------------------------
 
-def merged(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
+def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by the repeated strings."""
     out: list[list[int]] = []
-    for lo, n in sorted((s["lo"], s["n"]) for s in starts or ()):
+    for lo, n in sorted(starts):
         end = lo + n - 1 + length
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
@@ -362,16 +359,15 @@ def _with_ranges(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """``docs`` with one more, last column: the ranges of each row's id."""
     found = stored(found, "ranges")
     mine, doc = free_name(docs, "_found"), free_name(docs, "_doc")
-    per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("tag", "starts")).alias(mine))
-    side = F.broadcast(per) if (found.agg(F.sum(F.size("starts") + 2)).first()[0] or 0) <= BROADCAST_ROWS else per
-    return docs.join(side, docs[key].eqNullSafe(F.col(doc)), "left").drop(doc)
+    per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("tag", "lo", "n")).alias(mine))
+    return docs.join(per, docs[key].eqNullSafe(F.col(doc)), "left").drop(doc)
 
 
 def _own(text: bytes, found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     if not found:
         return []
     tag = zlib.crc32(text) & 0x7FFFFFFF
-    return merged([s for f in found if f["tag"] == tag for s in f["starts"]], length)
+    return merged([s for f in found if f["tag"] == tag for s in zip(f["lo"], f["n"])], length)
 
 
 def digest_repeats(docs: DataFrame, length: int = 400, keep: str = "none") -> DataFrame:

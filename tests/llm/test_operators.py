@@ -152,7 +152,6 @@ def repeats(data, length, first):
 @pytest.mark.parametrize("group_bytes", [1 << 22, 1])
 def test_repeated_strings(docs, keep, group_bytes, monkeypatch):
     real = suffix_dedup.ranges
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", suffix_dedup.BROADCAST_ROWS if group_bytes > 1 else 0)
     monkeypatch.setattr(suffix_dedup, "ranges", lambda d, length, k: real(d, length, k, group_bytes=group_bytes))
     small = docs.filter("length(text) < 5000 or text is null")
     got = suffix_dedup.digest_repeats(small, 200, keep).collect()
