@@ -92,7 +92,7 @@ def holders(buckets: np.ndarray, heads: np.ndarray, common: np.ndarray) -> np.nd
     Near copies count once: they are told by the same minimum of a permutation
     over their rarer words (those that aren't ``common``).
     """
-    n, least = len(heads) - 1, None
+    n, least, buckets = len(heads) - 1, None, buckets.astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(heads))
     rare = np.flatnonzero(~common[buckets])
     for a in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D):
@@ -121,10 +121,11 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
     kept = np.flatnonzero((held_p >= max(LEAST_DOCS, LEAST_SHARE * n_p)) & (held_p / n_p - held_u / n_u > LEAST_Z * spread) & (held_p / n_p > LEAST_LIFT * held_u / n_u))
     number = np.full(BUCKETS, -1)
     number[kept] = np.arange(len(kept))
+    held = number >= 0
 
     def small(x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        good = number[x[0]] >= 0
-        sums = np.concatenate(([0], np.cumsum(good)))
+        good = held[x[0]]
+        sums = np.concatenate(([0], np.cumsum(good, dtype=np.int32)))
         return number[x[0][good]], sums[x[1]]
 
     p, u = small(positive), small(unlabelled)
@@ -177,7 +178,7 @@ def _collect(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = rows.toArrow().sort_by("doc_id").column("buckets").combine_chunks()
     got = pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
     heads = np.concatenate(([0], np.cumsum(np.asarray(got.value_lengths(), np.int64)))).astype(np.int64)
-    return np.asarray(got.flatten(), np.int64), heads
+    return np.asarray(got.flatten(), np.int32), heads
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
