@@ -65,8 +65,20 @@ def moments(dist: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Spec) -> Momen
 
 
 def direct(gram: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Solutions and status codes: Cholesky where it works, else the pseudoinverse."""
+    """Solutions and status codes: Cholesky where it works, else the pseudoinverse.
+
+    A batch without any singular system is factorised at once.
+    """
     beta, status = np.zeros_like(score), np.zeros(len(score), int)
+    if not score.shape[1]:
+        return beta, status
+    try:
+        low = np.linalg.cholesky(gram)
+        if (np.einsum("bpp->bp", low).min(1) ** 2 > np.maximum(1.0, np.abs(gram).sum(2).max(1)) * 1e-15).all():
+            half = np.linalg.solve(low, score[:, :, None])
+            return np.linalg.solve(low.transpose(0, 2, 1), half)[:, :, 0], status
+    except np.linalg.LinAlgError:
+        pass
     for i in range(len(score)):
         try:
             low = np.linalg.cholesky(gram[i])
@@ -302,6 +314,16 @@ def smoother(fit: dict[str, np.ndarray], spec: Spec, x0: np.ndarray) -> dict[str
     least = np.full(n, np.nan)
     l2 = spec.lam if spec.model == "ridge" else spec.lam * (1 - spec.alpha)
     score_map = m.w[:, :, None] * m.xc
+    if p and spec.model in ("gwr", "ridge") and m.valid.all() and np.isfinite(beta).all():
+        # every predictor is active everywhere: one batched solve
+        h = m.gram + l2 * np.eye(p)
+        values = np.linalg.eigvalsh(h)
+        if (values[:, 0] > np.maximum(1.0, values[:, -1]) * 1e-12).all():
+            maps = np.linalg.solve(h, score_map.transpose(0, 2, 1))
+            rows = m.w + np.einsum("bp,bpk->bk", x0 - m.x_mean, maps)
+            squares[:, 1:] = (maps**2).sum(2)
+            fit["maps"] = dict(enumerate(maps))
+            return {"rows": rows, "squares": squares, "convex": values[:, 0] > np.maximum(1.0, values[:, -1]) * 1e-10, "least": values[:, 0]}
     for i in np.flatnonzero(m.valid & np.isfinite(beta).all(1)):
         active = np.arange(p) if spec.model in ("gwr", "ridge") or spec.lam == 0 else np.flatnonzero(np.abs(beta[i]) > 1e-10)
         maps = np.zeros((p, k))
