@@ -271,7 +271,9 @@ def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int |
     all_ = stored(find_stretches(docs, length, gram, first_only), "stretches")
     rows = all_.filter("digest is not null")
     at = F.struct(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("lo").alias("l"), F.col("n").alias("n"))
-    kinds = stored(rows.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("first")), "kinds")
+    kinds = rows.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("first"))
+    # the digest of a stretch without copies is never asked for again
+    kinds = stored(kinds.withColumn("digest", F.when(F.col("copies") > 1, F.col("digest"))), "kinds")
     per = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n_kinds"), F.sum(F.col("first.n") + F.lit(length - 1)).alias("bytes")).filter("n_kinds > 1")
     several = stored(kinds.join(per, "minimizer").select("minimizer", "bytes", F.col("first.d").alias("doc_id"), F.col("first.t").alias("tag"), F.col("first.l").alias("lo"), F.col("first.n").alias("n")), "several")
     # whole copies: every member, or every member but the first
