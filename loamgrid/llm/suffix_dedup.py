@@ -51,9 +51,9 @@ from .common import blocks, free_name, slim, stored, texts_as_bytes
 #: Most bytes of a hashed gram; a third of the length where that is less, as shorter grams mean fewer stretches.
 GRAM = 128
 #: Bytes of the stretches of one minimizer that one task may gather.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Bytes of one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binary"
 
 
@@ -63,10 +63,11 @@ STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binar
 WORD = 7
 
 
-def rank_levels(data: np.ndarray, length: int) -> tuple[list[int], list[np.ndarray]]:
+def rank_levels(data: np.ndarray, length: int, every: bool = True) -> tuple[list[int], list[np.ndarray]]:
     """Ranks of all places by their first 7, 14, 28, ... bytes and last by ``length`` bytes (or to the end).
 
     Prefix doubling; only places whose rank is shared are sorted again.
+    Without ``every`` only the last level is kept.
     """
     n, have = len(data), min(WORD, length)
     word = np.zeros(n, np.uint64)
@@ -75,6 +76,7 @@ def rank_levels(data: np.ndarray, length: int) -> tuple[list[int], list[np.ndarr
     for k in range(have):
         word = (word << np.uint64(9)) | wide[k : k + n]
     order = np.argsort(word, kind="stable")
+    del wide
     heads = np.concatenate(([True], word[order][1:] != word[order][:-1]))
     ranks = np.empty(n, np.int64)
     ranks[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
@@ -91,6 +93,8 @@ def rank_levels(data: np.ndarray, length: int) -> tuple[list[int], list[np.ndarr
             run = group | np.concatenate(([True], b[1:] != b[:-1]))
             ranks[at[order]] = a + np.maximum.accumulate(np.where(run, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
         have += step
+        if not every:
+            sizes, levels = [], []
         sizes.append(have)
         levels.append(ranks)
     return sizes, levels
@@ -167,7 +171,7 @@ def repeated_starts(strings: list[bytes], counts: list[int], length: int, first_
     data = np.frombuffer(b"".join(strings), np.uint8)
     heads = np.cumsum([0, *map(len, strings)])[:-1]
     starts = np.concatenate([h + np.arange(c) for h, c in zip(heads, counts)])
-    sizes, levels = rank_levels(data, length)
+    sizes, levels = rank_levels(data, length, every=False)
     flags = np.zeros(len(data), bool)
     order, later = longest_previous_factor(sizes, levels, starts)
     if first_only:
