@@ -564,11 +564,15 @@ def sparse_product(spark, sf_dir):
 
 @query()
 def process_model(spark, sf_dir):
-    p = points(spark, sf_dir).filter("id < 400")
+    p = points(spark, sf_dir)
     e = neighbors.knn(p, 15, XY).persist()
     lap = advanced.graph_laplacian(e).persist()
     source = p.select(F.col("id").alias("i"), F.sin(F.col("id") / 4.0).alias("v"))
-    return advanced.process_model(p, "y", ["x1", "x2"], e, lap, source, lap)["local"]
+    # steps grow about in proportion to the locations
+    m = advanced.process_model(p, "y", ["x1", "x2"], e, lap, source, lap, max_iterations=100_000)
+    if not m["converged"]:
+        raise ValueError(f"not converged in {m['iterations']} steps")
+    return m["local"]
 
 
 @query("SELECT d.task_id::BIGINT AS task_id, a, b, replicate, (20240101 + d.task_id::BIGINT*104729) % 2147483646 + 1 AS seed FROM (SELECT (ia*2+ib)*3 + replicate AS task_id, a, b, replicate FROM (VALUES (0,'u'),(1,'v')) x(ia,a), (VALUES (0,1.0::DOUBLE),(1,2.0::DOUBLE)) y(ib,b), (SELECT (i+1)::INTEGER AS replicate FROM range(3) r(i))) d")

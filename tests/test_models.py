@@ -205,3 +205,11 @@ def test_bad_arguments(example):
             workflow.spec_of(**o)
     with pytest.raises(ValueError):
         workflow.fit(example.withColumn("x1", F.lit(1.0)), "y", ["x1"], ["cx", "cy"], 18)
+
+
+def test_process_model_query_fits_all_locations(spark):
+    from loamgrid import queries
+
+    got = queries.QUERIES["process_model"](spark, "/root/testdata/sf0.01")
+    ids = queries.points(spark, "/root/testdata/sf0.01").select(F.col("id").alias("target_id"))
+    assert got.count() == ids.count() > 400 and ids.join(got, "target_id", "left_anti").isEmpty()
