@@ -4,6 +4,7 @@ The index is dealt by documents: each shard (a bounded run of whole
 documents) stores, for every test term that occurs in it, the term's
 positions as a compressed posting list, and where each document starts.  Only
 terms of the test set are stored; no phrase of the test set needs any other.
+Another test set needs another index, unless its terms are among these.
 
 A search reads shard after shard.  Each phrase starts from the shard's
 shortest posting list among its terms, shifted by that term's offset, and the
@@ -11,9 +12,11 @@ candidates are intersected with the other terms' lists at their own offsets.
 All phrases go through this together, as arrays.  A proximity search instead
 takes the spans in which all terms of a phrase lie within so many words.
 
-The test set goes to every task whole; its size is checked against
-``MAX_TEST_WORDS`` and a larger one is searched in several rounds over the
-same stored index.
+A test set goes to every task whole up to ``MAX_TEST_WORDS`` of 8 bytes.  A
+larger one is searched in several rounds over the same stored index, which
+holds the terms of all rounds; only the vocabulary, 8 bytes a distinct word,
+goes to every task whole then.  What the rounds hit in a shard is merged
+before words and items are counted.
 
 Words: A-Z lower-cased, then runs of digits, letters and all characters
 outside ASCII.  A phrase is each run of ``width`` words of an item; a shorter
@@ -26,6 +29,7 @@ only key and text of either table are read.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, slim, small_batches, stored, texts_as_bytes
+from .common import blocks, free_name, slim, small_batches, stored, texts_as_bytes
 
 WIDTH = 13
 #: Words of test items searched in one round; their phrases take about 120 bytes a word.
 MAX_TEST_WORDS = 500_000
 #: Candidates looked at together, which bounds a task's memory.
 STEP = 1 << 20
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<first: bigint, end: bigint>>"
 POSTINGS = "shard binary, terms binary, lists binary, firsts binary, words bigint"
 
 
@@ -57,8 +62,8 @@ class Phrases:
     names: list[str]
 
 
-def phrases(items: list[tuple[object, bytes]], width: int = WIDTH) -> Phrases:
-    """Distinct phrases of the items; ``items`` rows are (phrase, item) pairs."""
+def phrases(items: list[tuple[object, bytes]], width: int = WIDTH, terms: np.ndarray | None = None) -> Phrases:
+    """Distinct phrases of the items; ``items`` rows are (phrase, item) pairs.  ``terms`` is a vocabulary of more than these items."""
     names = sorted({str(k) for k, _ in items if k is not None})
     number = {n: k for k, n in enumerate(names)}
     runs: dict[bytes, tuple[int, set[int]]] = {}
@@ -70,7 +75,8 @@ def phrases(items: list[tuple[object, bytes]], width: int = WIDTH) -> Phrases:
             for p in range(a, max(a + 1, b - width + 1) if b > a else a):
                 own = hashes[p : min(b, p + width)]
                 runs.setdefault(own.tobytes(), (len(own), set()))[1].add(number.get(str(k), -1) if k is not None else -1)
-    terms = np.unique(np.concatenate([np.frombuffer(r, np.uint64) for r in runs])) if runs else np.empty(0, np.uint64)
+    if terms is None:
+        terms = np.unique(np.concatenate([np.frombuffer(r, np.uint64) for r in runs])) if runs else np.empty(0, np.uint64)
     grid = np.full((len(runs), width), -1, np.int64)
     lengths = np.empty(len(runs), np.int64)
     pairs = []
@@ -102,7 +108,7 @@ class Lookup:
 
 def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 2 << 20) -> DataFrame:
     """Posting lists of the test terms, a row per shard: the ids of its documents,
-    term numbers with list lengths, the lists as gaps, and each document's first position."""
+    term numbers with list lengths, the lists as gaps, each document's first position, and the row's own number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(terms)
@@ -110,7 +116,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 2 << 20)
             cells = Shard.of(b, "text", find).row(b.column(0))
             yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in cells[:4]], pa.array([cells[4]], pa.int64())], names=["shard", "terms", "lists", "firsts", "words"])
 
-    return stored(docs.mapInArrow(run, POSTINGS), "postings")
+    return stored(docs.mapInArrow(run, POSTINGS).withColumn("place", F.monotonically_increasing_id()), "postings")
 
 
 class Shard:
@@ -150,14 +156,11 @@ class Shard:
     @classmethod
     def read(cls, row: tuple, n_terms: int) -> Shard:
         unzip = zstandard.ZstdDecompressor().decompress
-        ids, null = np.frombuffer(unzip(row[0]), np.int64).reshape(2, -1)
         terms, counts = np.frombuffer(unzip(row[1]), np.int64).reshape(2, -1)
         sums = np.cumsum(np.frombuffer(unzip(row[2]), np.int32).astype(np.int64))
         heads = np.cumsum(counts) - counts
         before = np.where(heads > 0, sums[heads - 1], 0) if len(sums) else heads
-        out = cls(np.frombuffer(unzip(row[3]), np.int64), row[4], sums - np.repeat(before, counts), terms, counts, n_terms)
-        out.ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist())]
-        return out
+        return cls(np.frombuffer(unzip(row[3]), np.int64), row[4], sums - np.repeat(before, counts), terms, counts, n_terms)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.start)
@@ -228,59 +231,144 @@ def near_matches(shard: Shard, p: Phrases, slack: int) -> Iterator[tuple[np.ndar
             yield np.full(len(both), k), both[:, 0], both[:, 1]
 
 
+def owned(p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Items ordered by phrase, and where each phrase's items start."""
+    by = np.argsort(p.items[:, 0], kind="stable")
+    return p.items[by, 1], np.searchsorted(p.items[by, 0], np.arange(len(p.grid) + 1))
+
+
+def hits(shard: Shard, p: Phrases, items: np.ndarray, heads: np.ndarray, slack: int | None) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Which words of a shard are hit, and the items of each document that has any."""
+    change = np.zeros(shard.words + 1, np.int64)
+    owners: dict[int, set[str]] = {}
+    found = near_matches(shard, p, slack) if slack is not None else ((w, x, x + p.lengths[w] - 1) for w, x in exact_matches(shard, p))
+    for which, lo, hi in found:
+        np.add.at(change, lo, 1)
+        np.add.at(change, hi + 1, -1)
+        for w, d in np.unique(np.stack((which, shard.document[lo])), axis=1).T.tolist():
+            owners.setdefault(d, set()).update(p.names[i] for i in items[heads[w] : heads[w + 1]].tolist() if i >= 0)
+    return np.cumsum(change)[:-1] > 0, owners
+
+
+def results(shard: bytes, firsts: np.ndarray, hit: np.ndarray, owners: dict[int, set[str]]) -> pa.RecordBatch:
+    """The rows of a shard's documents; ``shard`` is its cell of ids."""
+    ids, null = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard), np.int64).reshape(2, -1)
+    sums = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = sums[firsts[1:]] - sums[firsts[:-1]]
+    spans: list[list[dict]] = [[] for _ in ids]
+    for d in np.flatnonzero(n_hit).tolist():
+        own = hit[firsts[d] : firsts[d + 1]].astype(np.int8)
+        edge = np.flatnonzero(np.diff(own, prepend=0, append=0)).tolist()
+        spans[d] = [{"first": x, "end": y} for x, y in zip(edge[::2], edge[1::2])]
+    items = [sorted(owners.get(d, ())) for d in range(len(ids))]
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64(), mask=null > 0), pa.array(np.diff(firsts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+    )
+
+
 def search(index: DataFrame, p: Phrases, slack: int | None = None) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, spans``.
 
     ``spans`` lists the hit runs as word positions (first, end).  ``slack``
     None asks for exact phrases, a number for proximity matches.
     """
-    kind = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<first: bigint, end: bigint>>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = np.argsort(p.items[:, 0], kind="stable")
-        heads = np.searchsorted(p.items[by, 0], np.arange(len(p.grid) + 1))
+        items, heads = owned(p)
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 shard = Shard.read(row, len(p.terms))
-                change = np.zeros(shard.words + 1, np.int64)
-                owners: dict[int, set[int]] = {}
-                found = near_matches(shard, p, slack) if slack is not None else ((w, x, x + p.lengths[w] - 1) for w, x in exact_matches(shard, p))
-                for which, lo, hi in found:
-                    np.add.at(change, lo, 1)
-                    np.add.at(change, hi + 1, -1)
-                    for w, d in np.unique(np.stack((which, shard.document[lo])), axis=1).T.tolist():
-                        owners.setdefault(d, set()).update(p.items[by[heads[w] : heads[w + 1]], 1].tolist())
-                hit = np.cumsum(change)[:-1] > 0
-                sums = np.concatenate(([0], np.cumsum(hit)))
-                n_hit = sums[shard.firsts[1:]] - sums[shard.firsts[:-1]]
-                spans: list[list[dict]] = [[] for _ in shard.ids]
-                for d in np.flatnonzero(n_hit).tolist():
-                    own = hit[shard.firsts[d] : shard.firsts[d + 1]].astype(np.int8)
-                    edge = np.flatnonzero(np.diff(own, prepend=0, append=0)).tolist()
-                    spans[d] = [{"first": x, "end": y} for x, y in zip(edge[::2], edge[1::2])]
-                items = [sorted(p.names[i] for i in owners.get(d, ()) if i >= 0) for d in range(len(shard.ids))]
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.ids, pa.int64()), pa.array(np.diff(shard.firsts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
-                )
-
-    return index.mapInArrow(run, kind)
-
-
-def test_phrases(benchmark: DataFrame, width: int = WIDTH) -> Phrases:
-    """The test set's phrases; refuses one too large for a single round."""
+                yield results(row[0], shard.firsts, *hits(shard, p, items, heads, slack))
+
+    return index.mapInArrow(run, RESULT)
+
+
+def search_rounds(index: DataFrame, rounds: Iterable[Phrases], slack: int | None = None) -> DataFrame:
+    """The same for test phrases in parts, all numbered by the index's terms.
+
+    Each round stores what it hits, a row per shard with hits; these rows meet
+    by the shard's number and are merged.
+    """
+
+    def one(p: Phrases) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, heads = owned(p)
+            press = zstandard.ZstdCompressor(level=1).compress
+            for b in batches:
+                for row in zip(*[c.to_pylist() for c in b.columns]):
+                    hit, owners = hits(Shard.read(row, len(p.terms)), p, items, heads, slack)
+                    if hit.any():
+                        names = json.dumps([[d, sorted(x)] for d, x in owners.items()]).encode()
+                        yield pa.RecordBatch.from_arrays([pa.array([row[5]], pa.int64()), pa.array([press(np.packbits(hit).tobytes())], pa.binary()), pa.array([press(names)], pa.binary())], names=["place", "hit", "owners"])
+
+        return stored(index.mapInArrow(run, "place bigint, hit binary, owners binary"), "hits")
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for shard, firsts, words, parts in zip(*[c.to_pylist() for c in b.columns]):
+                hit = np.zeros(words, bool)
+                owners: dict[int, set[str]] = {}
+                for part in parts or ():
+                    hit |= np.unpackbits(np.frombuffer(unzip(part["hit"]), np.uint8), count=words).astype(bool)
+                    for d, names in json.loads(unzip(part["owners"])):
+                        owners.setdefault(d, set()).update(names)
+                yield results(shard, np.frombuffer(unzip(firsts), np.int64), hit, owners)
+
+    parts = [one(p) for p in rounds]
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    found = found.groupBy("place").agg(F.collect_list(F.struct("hit", "owners")).alias("parts"))
+    return index.select("place", "shard", "firsts", "words").join(found, "place", "left").select("shard", "firsts", "words", "parts").mapInArrow(merge, RESULT)
+
+
+def test_items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """Id and text of the test items, and whether one round takes them all."""
     rows = slim(benchmark, key=benchmark.columns[[c.lower() for c in benchmark.columns].index("item_id")])
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_TEST_WORDS * 8:
-        raise ValueError(f"{size} bytes of test items; search them in parts of at most {MAX_TEST_WORDS * 8} bytes over one index")
-    return phrases([(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()], width)
+    return rows, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= MAX_TEST_WORDS * 8
+
+
+def vocabulary(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of all words of the test items."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            _, _, hashes = kernels.words(kernels.joined(texts_as_bytes(b))[0], kernels.ALNUM)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["term"])
+
+    return np.sort(np.asarray(rows.mapInArrow(run, "term bigint").distinct().toArrow().column(0)).view(np.uint64))
+
+
+def test_rounds(rows: DataFrame, width: int, terms: np.ndarray) -> Iterator[Phrases]:
+    """Phrases of so many items at a time as one round takes; one item at least."""
+    held: list[tuple[object, bytes]] = []
+    size = 0
+    for r in rows.toLocalIterator():
+        text = (r["text"] or "").encode()
+        if held and size + len(text) > MAX_TEST_WORDS * 8:
+            yield phrases(held, width, terms)
+            held, size = [], 0
+        held.append((r["doc_id"], text))
+        size += len(text)
+    yield phrases(held, width, terms)
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """Hits of the test items in ``docs`` (``doc_id, text``), in as many rounds as they need."""
+    rows, single = test_items(benchmark)
+    if single:
+        p = phrases([(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()], width)
+        return search(build_index(docs, p.terms), p)
+    terms = vocabulary(rows)
+    return search_rounds(build_index(docs, terms), test_rounds(rows, width, terms))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5) -> DataFrame:
     """Hits of every document; ``contaminated`` if at least ``percent`` of its words are hit."""
-    p = test_phrases(benchmark, width)
-    found = search(build_index(slim(docs), p.terms), p)
+    found = found_in(slim(docs), benchmark, width)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
@@ -288,11 +376,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
     """``docs`` without contaminated rows, all columns kept, in one pass.
 
     Each task indexes a shard of its rows and searches it at once, so the
-    rows need not be joined to a result.
+    rows need not be joined to a result.  Test items of several rounds are
+    searched over a stored index instead, and the rows leave by a join.
     """
-    p = test_phrases(benchmark, width)
+    rows, single = test_items(benchmark)
     at = [c.lower() for c in small_batches(docs).columns].index(text)
     name = docs.columns[at]
+    if not single:
+        row = free_name(docs, "_row")
+        kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        bad = contamination(kept.select(F.col(row).alias("doc_id"), F.col(f"`{name}`").alias("text")), benchmark, width, percent)
+        bad = bad.filter("contaminated").select(F.col("doc_id").alias(row))
+        return kept.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = phrases([(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()], width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(p.terms)

@@ -205,6 +205,21 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+@pytest.mark.parametrize("words", [1, 12])
+def test_contamination_in_rounds(spark, docs, monkeypatch, words):
+    items = [(i * 7, t) for i, t in enumerate(BENCH)] + [(7, BENCH[1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "MAX_TEST_WORDS", words)
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == hits(plain(docs), items)
+    for percent in (0, 30):
+        left = decontaminate.clean(docs, bench, percent=percent)
+        assert left.columns == docs.columns
+        want = [(h[0], h[1], h[2]) for h in hits(plain(docs), items, percent) if not h[6]]
+        words_of = lambda t: len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER)))
+        assert sorted((d is None, d or 0, words_of(t)) for d, t in plain(left)) == sorted(want)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a c"), (2, "a b x x x x x x c"), (3, "a b"), (4, None)], "doc_id bigint, text string")
     p = decontaminate.phrases([(1, b"a b c")])
