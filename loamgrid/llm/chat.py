@@ -22,6 +22,7 @@ empty result; columns outside the mapping are never read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,17 @@ def fingerprint(kind: T.DataType) -> str:
     return hashlib.sha256("\n".join(sorted(field_paths(kind))).encode()).hexdigest()
 
 
+def record_kinds(kind: T.DataType, top: bool = True) -> list[str]:
+    """The kinds, as ``schema_of_variant`` writes them, that a record of the layout ``kind`` can have: any leaf can be null."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        each = itertools.product(*[record_kinds(f.dataType, False) for f in fields])
+        return ["OBJECT<" + ", ".join(f"{f.name}: {k}" for f, k in zip(fields, ks)) + ">" for ks in each]
+    if isinstance(kind, T.ArrayType):
+        return [f"ARRAY<{k}>" for k in record_kinds(kind.elementType, False)]
+    return [kind.simpleString().upper()] + ([] if top else ["VOID"])
+
+
 @dataclass(frozen=True)
 class Mapping:
     """How one layout becomes turns.
@@ -121,19 +133,19 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
 def json_turns(df: DataFrame, column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Turns of records given as JSON strings of mixed layouts.
 
-    Each record's own layout is read natively as a variant, its key paths are
-    hashed, and the hash picks the mapping; records of no known layout come
-    back with the turn null, so that none is lost.
+    Each record's own layout is read natively as a variant, its nested paths
+    and kinds are hashed, and the hash picks the mapping; records of no known
+    layout, those with a null or empty list of turns among them, come back
+    with the turn null and the whole record as text, so that none is lost.
     """
     raw = df.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{column}`").alias("_json"))
-    keys = F.array_join(F.array_sort(F.json_object_keys("_json")), "\n")
-    raw = raw.withColumn("_print", F.sha2(keys, 256))
+    raw = raw.withColumn("_print", F.sha2(F.schema_of_variant(F.try_parse_json("_json")), 256))
     parts, known = [], []
     for m in mappings:
-        names = sorted(f.name for f in T._parse_datatype_string(m.layout).fields)
-        digest = hashlib.sha256("\n".join(names).encode()).hexdigest()
-        known.append(digest)
-        rows = raw.filter(F.col("_print") == digest).select(F.from_json("_json", T._parse_datatype_string(m.layout)).alias("r")).select("r.*")
+        layout = T._parse_datatype_string(m.layout)
+        digests = [hashlib.sha256(k.encode()).hexdigest() for k in record_kinds(layout)]
+        known += digests
+        rows = raw.filter(F.col("_print").isin(digests)).select(F.from_json("_json", layout).alias("r")).select("r.*")
         parts.append(canonical_turns(rows, (m,)))
     rest = raw.filter(F.col("_print").isNull() | ~F.col("_print").isin(known))
     parts.append(rest.select(F.lit(None).cast("bigint").alias("conv_id"), F.lit(None).cast("bigint").alias("turn"), F.lit("").alias("role"), F.coalesce("_json", F.lit("")).alias("text")))

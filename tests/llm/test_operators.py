@@ -330,6 +330,18 @@ def test_layouts(spark):
     assert sorted(got, key=str) == sorted([(1, "user", "p"), (1, "assistant", "r"), (2, "user", "v"), (None, "", '{"odd": 1}'), (None, "", "")], key=str)
 
 
+def test_json_records_by_nested_paths(spark):
+    odd = [
+        '{"id": 2, "messages": [{"from": "human", "value": "v"}]}', '{"id": 3, "conversations": [{"role": "user", "content": "c"}]}',
+        '{"id": 4, "prompt": {"text": "p"}, "response": "r"}', '{"id": 5, "messages": [{"role": "user", "content": "a"}, {"from": "human", "value": "b"}]}',
+        '{"id": 6, "messages": []}', '{"id": 7, "messages": "m"}', '{"id": 1.5, "prompt": "p", "response": "r"}', '{"id": 8, "messages"',
+    ]
+    good = '{"messages": [{"content": "x", "role": "user"}, {"content": null, "role": "assistant"}], "id": 1}'
+    j = spark.createDataFrame([(x,) for x in [*odd, good]], "j string")
+    got = sorted((r["conv_id"] or 0, r["turn"] is None, r["role"], r["text"]) for r in chat.json_turns(j, "j").collect())
+    assert got == sorted([(0, True, "", x) for x in odd] + [(1, False, "user", "x"), (1, False, "assistant", "")])
+
+
 # --- 7 --------------------------------------------------------------------
 
 def test_sharding(spark, docs, empty):
