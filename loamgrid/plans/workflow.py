@@ -323,35 +323,45 @@ def best_lambda_nested(data: DataFrame, y: str, x: list[str], coords: list[str],
     return out
 
 
-def stepwise(data: DataFrame, y: str, terms: list[str], coords: list[str], kernels: list[str], ks: list[int], criterion: str = "aicc", required: list[str] = (), key: str = "id", max_models: int = 200) -> DataFrame:
+def stepwise(data: DataFrame, y: str, terms: list[str], coords: list[str], kernels: list[str], ks: list[int], criterion: str = "aicc", required: list[str] = (), key: str = "id", max_models: int = 50_000) -> DataFrame:
     """Search by adding and dropping single terms from the best model so far, until no neighbour is unvisited.
 
     Starts from the full set, the required terms, and these with one more.
+    ``complete`` says whether no neighbour is left, and ``reason`` why the
+    search ended before that: ``max_models`` subsets, or no eligible model to
+    go on from.
     """
-    seen: dict[tuple[str, ...], DataFrame] = {}
+    seen: set[tuple[str, ...]] = set()
     best: tuple[float, tuple[str, ...]] | None = None
     order = lambda s: tuple(t for t in [*required, *[t for t in terms if t not in required]] if t in s)
     legal = lambda s: s and all(p in s for t in s if ":" in t for p in t.split(":"))
     frontier = {order({*required, *terms}), order(set(required)), *[order({*required, t}) for t in terms]}
-    done: list[DataFrame] = []
+    rows: list[tuple] = []
+    reason = schema = None
     while frontier := {s for s in frontier if legal(s) and s not in seen}:
         for s in sorted(frontier):
             if len(seen) >= max_models:
+                reason = "max_models"
                 break
             got = select(data, y, list(s), coords, kernels, ks, criterion, required=list(s), key=key)
-            seen[s] = got
-            row = got.filter("eligible and family = 'gwr'").agg(F.min(criterion)).first()[0]
-            if row is not None and (best is None or (row, s) < best):
-                best = (row, s)
-            done.append(got.withColumn("subset", F.lit("+".join(s))))
-        if best is None or len(seen) >= max_models:
+            seen.add(s)
+            got = got.drop("rank", "delta").withColumn("subset", F.lit("+".join(s)))
+            schema, own = got.schema, got.collect()
+            rows += own
+            values = [r[criterion] for r in own if r["eligible"] and r["family"] == "gwr" and r[criterion] is not None and not np.isnan(r[criterion])]
+            if values and (best is None or (min(values), s) < best):
+                best = (min(values), s)
+        if reason or best is None:
+            reason = reason or "no eligible model"
             break
         centre = set(best[1])
         frontier = {order(centre | {t}) for t in terms} | {order(centre - {t}) for t in centre if t not in required}
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return rank_candidates(out.drop("rank", "delta").withColumn("candidate_id", F.xxhash64("subset", "family", "kernel", "k")), criterion)
+    if schema is None:
+        raise ValueError("no model was searched")
+    for f in schema.fields:
+        f.nullable = True
+    out = data.sparkSession.createDataFrame(rows, schema).withColumn("complete", F.lit(reason is None)).withColumn("reason", F.lit(reason).cast("string"))
+    return rank_candidates(out.withColumn("candidate_id", F.xxhash64("subset", "family", "kernel", "k")), criterion)
 
 
 def global_fit(data: DataFrame, y: str, x: list[str], penalty: str = "lasso", **options) -> dict:

@@ -89,3 +89,19 @@ def test_subsets_keep_hierarchy():
     assert ["a:b"] not in workflow.subsets(["a", "b", "a:b"]) and ["a", "b", "a:b"] in workflow.subsets(["a", "b", "a:b"])
     with pytest.raises(ValueError):
         workflow.subsets([str(i) for i in range(12)])
+
+
+def test_stepwise_goes_on_until_no_neighbour_is_left(spark, points, monkeypatch):
+    terms = [f"t{k:02d}" for k in range(26)]
+    wanted = set(terms[:12])
+
+    def scored(data, y, s, *args, **options):
+        return spark.sql(f"SELECT '{'+'.join(s)}' terms, {len(s)} n_terms, 'gwr' family, 'bisquare' kernel, 25 k, {len(wanted ^ set(s))}D aicc, true eligible, 0L candidate_id, 1 rank, 0D delta")
+
+    monkeypatch.setattr(workflow, "select", scored)
+    got = workflow.stepwise(points, "y", terms, ["cx", "cy"], ["bisquare"], [25]).collect()
+    best = min(got, key=lambda r: r["rank"])
+    assert len(got) > 200 and best["aicc"] == 0 and set(best["subset"].split("+")) == wanted
+    assert {(r["complete"], r["reason"]) for r in got} == {(True, None)}
+    cut = workflow.stepwise(points, "y", terms, ["cx", "cy"], ["bisquare"], [25], max_models=30).collect()
+    assert len(cut) == 30 and {(r["complete"], r["reason"]) for r in cut} == {(False, "max_models")}
