@@ -13,7 +13,9 @@ becomes ``\\t``, and in roles a colon becomes ``\\c``.  Every backslash of
 an escaped string thus starts one two-letter escape, so undoing the escapes
 with the backslash last gives the string back exactly.
 
-Defined cases: a null role or text is empty; turns of equal number are
+Defined cases: a null role or text is empty, and its turn stays; a
+conversation whose array of turns is null or empty has no turns and so no row
+(``json_turns`` returns its record whole); turns of equal number are
 ordered by role, then text; repeated rows are repeated turns; rows without
 ``conv_id`` form one conversation with a null id; an empty table gives an
 empty result; columns outside the mapping are never read.
@@ -85,7 +87,7 @@ class Mapping:
         return fingerprint(T._parse_datatype_string(self.layout))
 
 
-_PAIR = "filter(array({0}), x -> x.text is not null)"
+_PAIR = "array({0})"
 MAPPINGS = (
     Mapping("rows", "conv_id bigint, turn bigint, role string, text string", "conv_id", turn="turn", role="role", text="text"),
     Mapping("messages", "id bigint, messages array<struct<role: string, content: string>>", "id",
@@ -95,7 +97,7 @@ MAPPINGS = (
     Mapping("prompt", "id bigint, prompt string, response string", "id",
             turns=_PAIR.format("named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', response)")),
     Mapping("instruction", "id bigint, instruction string, input string, output string", "id",
-            turns=_PAIR.format("named_struct('role', 'user', 'text', if(coalesce(input, '') = '', instruction, concat(instruction, '\\n\\n', input))), named_struct('role', 'assistant', 'text', output)")),
+            turns=_PAIR.format("named_struct('role', 'user', 'text', if(coalesce(input, '') = '', instruction, concat(coalesce(instruction, ''), '\\n\\n', input))), named_struct('role', 'assistant', 'text', output)")),
 )
 
 

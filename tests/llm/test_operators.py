@@ -330,6 +330,19 @@ def test_layouts(spark):
     assert sorted(got, key=str) == sorted([(1, "user", "p"), (1, "assistant", "r"), (2, "user", "v"), (None, "", '{"odd": 1}'), (None, "", "")], key=str)
 
 
+def test_null_texts_keep_their_turns(spark):
+    turns = lambda sql: [(r["role"], r["text"]) for r in chat.canonical_turns(spark.sql(sql)).orderBy("turn").collect()]
+    none = "cast(null as string)"
+    assert turns(f"select 1L id, 'p' prompt, {none} response") == [("user", "p"), ("assistant", "")]
+    assert turns(f"select 1L id, {none} prompt, 'r' response") == [("user", ""), ("assistant", "r")]
+    assert turns(f"select 1L id, {none} instruction, 'it' input, {none} output") == [("user", "\n\nit"), ("assistant", "")]
+    assert turns(f"select 1L id, 'do' instruction, {none} input, 'o' output") == [("user", "do"), ("assistant", "o")]
+    assert turns(f"select 1L id, array(named_struct('role', {none}, 'content', 'x'), named_struct('role', 'user', 'content', {none})) messages") == [("", "x"), ("user", "")]
+    assert turns(f"select 1L id, array(named_struct('from', 'gpt', 'value', {none})) conversations") == [("assistant", "")]
+    assert turns(f"select 1L conv_id, 0L turn, {none} role, {none} text") == [("", "")]
+    assert turns("select 1L id, cast(array() as array<struct<role: string, content: string>>) messages") == []
+
+
 def test_json_records_by_nested_paths(spark):
     odd = [
         '{"id": 2, "messages": [{"from": "human", "value": "v"}]}', '{"id": 3, "conversations": [{"role": "user", "content": "c"}]}',
