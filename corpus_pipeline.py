@@ -16,7 +16,8 @@ from loamgrid.llm.common import stored
 
 #: Texts with this probability of being toxic, or more, are rejected.
 REJECT = 0.5
-#: Repeated strings of at least so many bytes are cut: less than any 50 words take.
+#: Repeated strings of at least so many bytes are cut.  Ordinary prose takes more for 50 words; a shorter
+#: repeat of over 50 words, as a run of one- and two-letter words ("it it it"), is left in the texts.
 REPEAT_BYTES = 220
 
 
