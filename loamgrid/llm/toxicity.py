@@ -7,7 +7,8 @@ examples and unlabelled text with the risk of Kiryo et al. (2017),
 
 where ``l`` is the logistic loss and ``prior`` the share of toxic text.  Where
 the bracket would go below zero it counts as zero, which keeps a flexible
-model from calling every unlabelled text clean.
+model from calling every unlabelled text clean; such a step moves along the
+bracket's gradient alone, upwards, until it isn't negative any more.
 
 Features are presences of words (A-Z lower-cased, runs of digits, letters and
 characters outside ASCII) and of their first bytes, as inflected words share
@@ -139,9 +140,11 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
         rest = loss(-fu).mean() - prior * loss(-fp).mean()
         risks.append(prior * loss(fp).mean() + max(0.0, rest))
         # d loss(f) = -sigmoid(-f), d loss(-f) = sigmoid(f)
-        gu, gp = np.zeros(n_u), -prior * sigmoid(-fp) / n_p
+        gu, gp = sigmoid(fu) / n_u, -prior * sigmoid(fp) / n_p
         if rest > 0:
-            gu, gp = sigmoid(fu) / n_u, gp - prior * sigmoid(fp) / n_p
+            gp -= prior * sigmoid(-fp) / n_p
+        else:  # the bracket alone, upwards
+            gu, gp = -gu, -gp
         g = (np.bincount(xu, np.repeat(gu, np.diff(hu)), len(w)) + np.bincount(xp, np.repeat(gp, np.diff(hp)), len(w))).astype(float)
         g[-1] = gu.sum() + gp.sum()
         g[:-1] += SHRINK * w[:-1]
@@ -203,8 +206,9 @@ def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     weights, bias = model.weights.astype(np.float32), model.bias
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = weights.astype(float)
         for b in blocks(batches, name):
-            p = sigmoid(margins(weights.astype(float), bias, *features(texts_as_bytes(b, name))))
+            p = sigmoid(margins(own, bias, *features(texts_as_bytes(b, name))))
             if below is not None:
                 yield b.filter(pa.array(p < below))
             else:
