@@ -56,7 +56,7 @@ def penalty_curvature(b: np.ndarray, lam: float, gamma: float, penalty: str) ->
     return np.where((t > lam) & (t < gamma * lam), -1 / (gamma - 1), 0.0)
 
 
-def exact_minimum(z: np.ndarray, g: np.ndarray, lam: float, gamma: float, penalty: str) -> np.ndarray:
+def exact_minimum(z: np.ndarray, g: np.ndarray, lam: float | np.ndarray, gamma: float, penalty: str) -> np.ndarray:
     """Minimiser of ``g b^2 / 2 - z b + penalty(b)``; of equal values the smaller size.
 
     Each piece of the penalty is a parabola: its vertex, clipped to the piece,

@@ -22,9 +22,11 @@ FIT = (
     "target_id bigint, coef array<double>, fitted double, residual double, converged boolean, iterations int, solver string, "
     "weight_sum double, bandwidth double, objective double, max_kkt_violation double, leverage double, smoother_row_norm2 double, "
     "effective_sample_size double, positive_weights int, condition_number double, local_rank int, map_ss array<double>, "
-    "locally_convex boolean, min_hessian double, post_hat double, post_s2 double, post_coef array<double>, post_map_ss array<double>"
+    "locally_convex boolean, min_hessian double, post_hat double, post_s2 double, post_coef array<double>, post_map_ss array<double>, "
+    "primal_residual double, dual_residual double, max_coordinate_gap double, active_coordinates int, knots int, pair_accepted int, block_accepted int, block_checks int"
 )
-BATCH = 512
+#: Targets solved together: so many, and so many numbers in their predictors.
+BATCH, BATCH_CELLS = 512, 1 << 21
 
 
 def standardisation(data: DataFrame, x: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +62,9 @@ def batches_of(batch: pa.RecordBatch, p: int) -> Iterator[tuple[np.ndarray, np.n
     sizes = np.asarray(pc.list_value_length(batch.column(1)))
     for k in np.unique(sizes):
         rows = np.flatnonzero(sizes == k)
-        for lo in range(0, len(rows), BATCH):
-            own = rows[lo : lo + BATCH]
+        step = max(1, min(BATCH, BATCH_CELLS // max(1, int(k) * max(p, 1))))
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step]
             part = batch.take(pa.array(own))
             flat = [np.asarray(part.column(c).flatten()) for c in range(1, 5)]
             yield own, np.asarray(part.column(0)), flat[0].reshape(-1, k), flat[1].reshape(-1, k), flat[2].reshape(-1, k), flat[3].reshape(-1, k, p)
@@ -96,13 +99,11 @@ def fit_local(hoods: DataFrame, spec: Spec, centre: np.ndarray, scale: np.ndarra
                 hat, s2, ss, ok, least = nan, nan, None, np.ones(n, bool), nan
                 ph, ps, pc, pss = nan, nan, None, None
                 if diagnostics != "none" and train and spec.model != "lad":
-                    s = solvers.smoother(f, spec, x0)
+                    s = solvers.smoother(f, spec, x0, centre / scale if diagnostics == "full" else None)
                     self_ = source == ids[:, None]
                     hat, s2, ok, least = (s["rows"] * self_).sum(1), (s["rows"] ** 2).sum(1), s["convex"], s["least"]
                     if diagnostics == "full":
-                        ss = s["squares"].copy()
-                        for i, maps in f.get("maps", {}).items():
-                            ss[i, 0] = ((m.w[i] - (m.x_mean[i] + centre / scale) @ maps) ** 2).sum()
+                        ss = s["squares"]
                         ss[:, 1:] /= scale**2
                         ph, ps, pc, pss = post_selection(f, x0, self_, centre, scale)
                 eigen = np.linalg.eigvalsh(m.gram) if p else np.zeros((n, 1))
@@ -118,6 +119,8 @@ def fit_local(hoods: DataFrame, spec: Spec, centre: np.ndarray, scale: np.ndarra
                     pa.array(ids, pa.int64()), lists(coef), fitted, (y[:, 0] - fitted) if train else nan, pa.array(f["converged"]), pa.array(f["iterations"], pa.int32()), pa.array(names),
                     m.total, m.bandwidth, f["objective"], f["kkt"], hat, s2, ess, pa.array((m.w > 1e-12).sum(1), pa.int32()), cond, pa.array(rank, pa.int32()), lists(ss),
                     pa.array(ok), least, ph, ps, lists(pc), lists(pss),
+                    f.get("primal", nan), f.get("dual", nan), f.get("gap", nan), pa.array((np.abs(f["beta"]) > 1e-10).sum(1), pa.int32()), pa.array(solvers.knots(f["beta"], spec), pa.int32()),
+                    *[pa.array(f["helps"][:, c] if "helps" in f else [None] * n, pa.int32()) for c in range(3)],
                 ]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.float64()) for c in cols], names=[part.strip().split()[0] for part in FIT.split(", ")])
 
@@ -129,22 +132,20 @@ def post_selection(f: dict, x0: np.ndarray, self_: np.ndarray, centre: np.ndarra
     m, beta = f["m"], f["beta"]
     n, k, p = m.xc.shape
     hat, s2, coef, ss = np.full(n, np.nan), np.full(n, np.nan), np.full((n, p + 1), np.nan), np.full((n, p + 1), np.nan)
-    for i in np.flatnonzero(m.valid & np.isfinite(beta).all(1)):
-        a = np.flatnonzero(np.abs(beta[i]) > 1e-10)
-        maps, b = np.zeros((p, k)), np.zeros(p)
-        if len(a):
-            inverse = pseudo_inverse(m.gram[i][np.ix_(a, a)])
-            maps[a] = inverse @ (m.w[i][:, None] * m.xc[i][:, a]).T
-            b[a] = inverse @ m.score[i, a]
-        row = m.w[i] + (x0[i] - m.x_mean[i]) @ maps
-        hat[i], s2[i] = row[self_[i]].sum(), (row**2).sum()
-        coef[i] = original_scale(m.y_mean[i : i + 1], b[None], m.x_mean[i : i + 1], centre, scale)[0]
-        ss[i, 0] = ((m.w[i] - (m.x_mean[i] + centre / scale) @ maps) ** 2).sum()
-        ss[i, 1:] = (maps**2).sum(1) / scale**2
+    for at, a in solvers.active_groups(beta, m.valid & np.isfinite(beta).all(1), False):
+        inverse = solvers.pseudo(m.gram[np.ix_(at, a, a)]) if len(a) else np.zeros((len(at), 0, 0))
+        maps = inverse @ (m.w[at][:, :, None] * m.xc[np.ix_(at, np.arange(k), a)]).transpose(0, 2, 1)
+        b = np.zeros((len(at), p))
+        b[:, a] = (inverse @ m.score[np.ix_(at, a)][:, :, None])[:, :, 0]
+        row = m.w[at] + np.einsum("ba,bak->bk", (x0 - m.x_mean)[np.ix_(at, a)], maps)
+        hat[at], s2[at] = (row * self_[at]).sum(1), (row**2).sum(1)
+        coef[at] = original_scale(m.y_mean[at], b, m.x_mean[at], centre, scale)
+        ss[at] = 0.0
+        ss[at, 0] = ((m.w[at] - np.einsum("ba,bak->bk", (m.x_mean + centre / scale)[np.ix_(at, a)], maps)) ** 2).sum(1)
+        ss[np.ix_(at, a + 1)] = (maps**2).sum(2) / scale[a] ** 2
     return hat, s2, coef, ss
 
 
-pseudo_inverse = solvers.pseudo
 PATH = "target_id bigint, lambda_idx int, lambda double, coef array<double>, fitted double, residual double, converged boolean, iterations int, max_kkt_violation double, leverage double, smoother_row_norm2 double"
 
 

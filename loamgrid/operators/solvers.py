@@ -92,10 +92,11 @@ def direct(gram: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def pseudo(g: np.ndarray) -> np.ndarray:
+    """Pseudoinverses of symmetric matrices, one or a batch."""
     values, vectors = np.linalg.eigh(g)
-    cut = max(1.0, np.abs(g).sum(1).max()) * 1e-10
+    cut = np.maximum(1.0, np.abs(g).sum(-2).max(-1, initial=0))[..., None] * 1e-10
     inverse = np.where(values > cut, 1 / np.where(values > cut, values, 1), 0)
-    return (vectors * inverse) @ vectors.T
+    return (vectors * inverse[..., None, :]) @ np.swapaxes(vectors, -1, -2)
 
 
 def coordinate_descent(m: Moments, spec: Spec, pilot: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +133,21 @@ def quadratic(gram: np.ndarray, score: np.ndarray, b: np.ndarray, spec: Spec) ->
     return float(0.5 * b @ gram @ b - score @ b + penalty_value(b, spec.lam, spec.gamma, spec.model).sum())
 
 
+def coordinate_gaps(m: Moments, beta: np.ndarray, spec: Spec) -> np.ndarray:
+    """Most that one exact coordinate step could still lower each target's SCAD or MCP objective."""
+    diag = np.einsum("bpp->bp", m.gram)
+    ok = diag > 1e-12
+    g = np.where(ok, diag, 1)
+    z = m.score - np.einsum("bpq,bq->bp", m.gram, beta) + diag * beta
+    value = lambda b: 0.5 * g * b * b - z * b + penalty_value(b, spec.lam, spec.gamma, spec.model)
+    gap = value(beta) - value(exact_minimum(z, g, spec.lam, spec.gamma, spec.model))
+    return np.where(ok, np.maximum(gap, 0), 0).max(1, initial=0)
+
+
+#: Fixed values of the guarded solver: sweeps between helps, coordinates looked at for a pair, least correlation of a pair, sizes of a flat-tail block, least fall of the objective in units of its rounding.
+GUARD_EVERY, GUARD_PAIR_OF, GUARD_CORRELATION, GUARD_BLOCK, GUARD_FALL = 5, 8, 0.99, (3, 32), 64
+
+
 def pair_minimum(g: np.ndarray, z: np.ndarray, spec: Spec) -> np.ndarray:
     """Exact minimiser of a two-coordinate problem.
 
@@ -166,16 +182,18 @@ def pair_minimum(g: np.ndarray, z: np.ndarray, spec: Spec) -> np.ndarray:
     return min(found, key=lambda v: (quadratic(g, z, v, spec), np.abs(v).sum()))
 
 
-def guarded_descent(m: Moments, spec: Spec, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def guarded_descent(m: Moments, spec: Spec, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Coordinate descent for SCAD and MCP with two helps where it stalls.
 
     After every fifth sweep and when sweeps stop moving, the most correlated
     pair among the eight coordinates that moved most is solved exactly, and
     then all coordinates on the flat tail are solved as one block.  Either step
-    is kept only if the objective truly falls.
+    is kept only if the objective truly falls.  The last array counts, for each
+    target, accepted pairs, accepted blocks and blocks tried.
     """
     beta, n = start.copy(), len(start)
     iterations, converged = np.zeros(n, int), np.zeros(n, bool)
+    helps = np.zeros((n, 3), int)
     for i in np.flatnonzero(m.valid):
         g, z, b = m.gram[i], m.score[i], beta[i]
         diag = g.diagonal()
@@ -187,30 +205,32 @@ def guarded_descent(m: Moments, spec: Spec, start: np.ndarray) -> tuple[np.ndarr
             moved = np.abs(b - before)
             still = moved.max(initial=0) <= spec.tolerance * (1 + np.abs(b).max(initial=0))
             helped = False
-            if still or sweep % 5 == 0:
+            if still or sweep % GUARD_EVERY == 0:
                 value = quadratic(g, z, b, spec)
-                top = np.argsort(-moved, kind="stable")[:8]
+                top = np.argsort(-moved, kind="stable")[:GUARD_PAIR_OF]
                 pairs = [(abs(g[p, q]) / np.sqrt(diag[p] * diag[q]), p, q) for k, p in enumerate(top) for q in top[:k] if diag[p] > 1e-12 and diag[q] > 1e-12]
                 trials = []
-                if pairs and (best := max(pairs))[0] >= 0.99:
+                if pairs and (best := max(pairs))[0] >= GUARD_CORRELATION:
                     at = np.array(best[1:])
                     rest = np.setdiff1d(np.arange(len(b)), at)
-                    trials.append((at, pair_minimum(g[np.ix_(at, at)], z[at] - g[np.ix_(at, rest)] @ b[rest], spec)))
+                    trials.append((0, at, pair_minimum(g[np.ix_(at, at)], z[at] - g[np.ix_(at, rest)] @ b[rest], spec)))
                 flat = np.flatnonzero(np.abs(b) >= spec.gamma * spec.lam)
-                if 3 <= len(flat) <= 32:
+                if GUARD_BLOCK[0] <= len(flat) <= GUARD_BLOCK[1]:
                     rest = np.setdiff1d(np.arange(len(b)), flat)
-                    trials.append((flat, np.linalg.lstsq(g[np.ix_(flat, flat)], z[flat] - g[np.ix_(flat, rest)] @ b[rest], rcond=None)[0]))
-                for at, v in trials:
+                    trials.append((1, flat, np.linalg.lstsq(g[np.ix_(flat, flat)], z[flat] - g[np.ix_(flat, rest)] @ b[rest], rcond=None)[0]))
+                    helps[i, 2] += 1
+                for kind, at, v in trials:
                     new = b.copy()
                     new[at] = v
-                    if (now := quadratic(g, z, new, spec)) < value - 64 * np.finfo(float).eps * (1 + abs(value)):
+                    if (now := quadratic(g, z, new, spec)) < value - GUARD_FALL * np.finfo(float).eps * (1 + abs(value)):
                         helped |= bool(np.abs(new - b).max() > spec.tolerance * (1 + np.abs(b).max()))
                         b[:], value = new, now
+                        helps[i, kind] += 1
             if still and not helped:
                 converged[i] = True
                 break
         iterations[i] = sweep
-    return beta, iterations, converged
+    return beta, iterations, converged, helps
 
 
 def absolute_deviations(m: Moments, x: np.ndarray, y: np.ndarray, spec: Spec, pilot: np.ndarray, rho: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,6 +273,35 @@ def absolute_deviations(m: Moments, x: np.ndarray, y: np.ndarray, spec: Spec, pi
     return np.concatenate((theta[:, :1], slopes), axis=1), iterations, done & m.valid, primal, dual
 
 
+def ridge(m: Moments, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge slopes and status codes: Cholesky of p equations, or of k where there are more predictors than neighbours.
+
+    A system without a factor fails; nothing is added to it and no pseudoinverse replaces it.
+    """
+    n, k, p = m.xc.shape
+    half = np.sqrt(m.w)[:, :, None] * m.xc
+    dual = p > k
+    system = np.einsum("bkp,bjp->bkj", half, half) if dual else m.gram
+    system = system + lam * np.eye(system.shape[1])
+    right = np.sqrt(m.w) * m.yc if dual else m.score
+    out, status = np.full(right.shape, np.nan), np.zeros(n, int)
+
+    def solved(at) -> np.ndarray:
+        low = np.linalg.cholesky(system[at])
+        return np.linalg.solve(np.swapaxes(low, -1, -2), np.linalg.solve(low, right[at][..., None]))[..., 0]
+
+    at = np.flatnonzero(m.valid)
+    try:
+        out[at] = solved(at)
+    except np.linalg.LinAlgError:
+        for i in at:
+            try:
+                out[i] = solved(i)
+            except np.linalg.LinAlgError:
+                status[i] = 2
+    return (np.einsum("bkp,bk->bp", half, out) if dual else out), status
+
+
 def solve(dist: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Spec, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Local fit of a batch on standardised predictors: slopes, level at the weighted mean, and the audit."""
     m = moments(dist, x, y, spec)
@@ -260,18 +309,15 @@ def solve(dist: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Spec, start: np.
     l1, l2 = spec.lam * spec.alpha, spec.lam * (1 - spec.alpha)
     out = {"m": m, "level": m.y_mean.copy(), "iterations": np.zeros(n, int)}
     if spec.model == "ridge":
-        beta, status = np.full((n, p), np.nan), np.zeros(n, int)
-        for i in np.flatnonzero(m.valid):
-            try:
-                low = np.linalg.cholesky(m.gram[i] + spec.lam * np.eye(p))
-                beta[i] = np.linalg.solve(low.T, np.linalg.solve(low, m.score[i]))
-            except np.linalg.LinAlgError:
-                status[i] = 2
+        beta, status = ridge(m, spec.lam)
         converged = status == 0
         l1, l2 = 0.0, spec.lam
     elif spec.model in ("scad", "mcp"):
         first = np.zeros((n, p)) if start is None else start
-        beta, out["iterations"], converged = guarded_descent(m, spec, first) if spec.guarded else coordinate_descent(m, spec, np.zeros((n, p)), first)
+        if spec.guarded:
+            beta, out["iterations"], converged, out["helps"] = guarded_descent(m, spec, first)
+        else:
+            beta, out["iterations"], converged = coordinate_descent(m, spec, np.zeros((n, p)), first)
         status = np.zeros(n, int)
     else:
         beta, status = direct(m.gram, m.score)
@@ -292,6 +338,9 @@ def solve(dist: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Spec, start: np.
     loss = 0.5 * (m.w * residual**2).sum(1)
     if spec.model in ("scad", "mcp"):
         out["objective"] = loss + penalty_value(beta, spec.lam, spec.gamma, spec.model).sum(1)
+        # a sweep may move little far from a minimum: a coordinate must also have next to nothing left to gain
+        out["gap"] = coordinate_gaps(m, beta, spec)
+        converged = converged & (out["gap"] <= 10 * spec.tolerance * (1 + np.abs(out["objective"])))
         pull = gradient - np.sign(beta) * penalty_slope(beta, spec.lam, spec.gamma, spec.model)
         out["kkt"] = np.where(np.abs(beta) > 0, np.abs(pull), np.maximum(np.abs(gradient) - spec.lam, 0)).max(1, initial=0)
     else:
@@ -301,55 +350,82 @@ def solve(dist: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Spec, start: np.
             r = y - out["level"][:, None] - np.einsum("bkp,bp->bk", m.xc, beta)
             loss = (m.w * np.abs(r)).sum(1)
         out["objective"] = loss + l1 * np.abs(beta).sum(1) + 0.5 * l2 * ((beta - base) ** 2).sum(1)
-        out["kkt"] = np.where(np.abs(beta) > 0, np.abs(gradient - l1 * np.sign(beta)), np.maximum(np.abs(gradient) - l1, 0)).max(1, initial=0)
+        if spec.model == "lad":
+            # there is no gradient where a residual is zero: the split's own residuals say how far it got
+            out["kkt"] = np.maximum(out["primal"], out["dual"])
+        else:
+            out["kkt"] = np.where(np.abs(beta) > 0, np.abs(gradient - l1 * np.sign(beta)), np.maximum(np.abs(gradient) - l1, 0)).max(1, initial=0)
     return out | {"beta": beta, "status": status, "converged": converged & m.valid & (status < 2)}
 
 
-def smoother(fit: dict[str, np.ndarray], spec: Spec, x0: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows of the smoother at ``x0`` and squared coefficient maps, active set by active set."""
+def active_groups(beta: np.ndarray, good: np.ndarray, all_: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(targets, active predictors) of each active set among the ``good`` targets."""
+    at = np.flatnonzero(good)
+    if not len(at):
+        return []
+    active = np.ones((len(at), beta.shape[1]), bool) if all_ else np.abs(beta[at]) > 1e-10
+    sets, own = np.unique(active, axis=0, return_inverse=True)
+    own = own.reshape(-1)
+    return [(at[own == s], np.flatnonzero(sets[s])) for s in range(len(sets))]
+
+
+def smoother(fit: dict[str, np.ndarray], spec: Spec, x0: np.ndarray, centre: np.ndarray | None = None, keep_maps: bool = False) -> dict[str, np.ndarray]:
+    """Rows of the smoother at ``x0``; with ``centre`` (in units of the scale) also the squared coefficient maps, or the maps themselves.
+
+    Targets of one active set are solved together.
+    """
     m, beta = fit["m"], fit["beta"]
     n, k, p = m.xc.shape
     rows, squares = np.full((n, k), np.nan), np.full((n, p + 1), np.nan)
-    convex = np.zeros(n, bool)
-    least = np.full(n, np.nan)
+    kept = np.zeros((n, k, p + 1)) if keep_maps else None
+    convex, least = np.zeros(n, bool), np.full(n, np.nan)
     l2 = spec.lam if spec.model == "ridge" else spec.lam * (1 - spec.alpha)
-    score_map = m.w[:, :, None] * m.xc
-    if p and spec.model in ("gwr", "ridge") and m.valid.all() and np.isfinite(beta).all():
-        # every predictor is active everywhere: one batched solve
-        h = m.gram + l2 * np.eye(p)
+    whole = spec.model in ("gwr", "ridge") or spec.lam == 0
+    for at, active in active_groups(beta, m.valid & np.isfinite(beta).all(1), whole):
+        if not len(active):
+            rows[at], convex[at], squares[at] = m.w[at], True, 0.0
+            if centre is not None:
+                squares[at, 0] = (m.w[at] ** 2).sum(1)
+            if keep_maps:
+                kept[at, :, 0] = m.w[at]
+            continue
+        h = m.gram[np.ix_(at, active, active)]
+        right = (m.w[at][:, :, None] * m.xc[np.ix_(at, np.arange(k), active)]).transpose(0, 2, 1)
+        own = np.arange(len(active))
+        if spec.model in ("scad", "mcp"):
+            h[:, own, own] += penalty_curvature(beta[np.ix_(at, active)], spec.lam, spec.gamma, spec.model)
+        elif spec.lam > 0 and l2:
+            h[:, own, own] += l2
+            if spec.d and spec.model != "ridge":
+                full = (m.w[at][:, :, None] * m.xc[at]).transpose(0, 2, 1)
+                right = right + l2 * spec.d * (pseudo(m.gram[at]) @ full)[:, active]
         values = np.linalg.eigvalsh(h)
-        if (values[:, 0] > np.maximum(1.0, values[:, -1]) * 1e-12).all():
-            maps = np.linalg.solve(h, score_map.transpose(0, 2, 1))
-            rows = m.w + np.einsum("bp,bpk->bk", x0 - m.x_mean, maps)
-            squares[:, 1:] = (maps**2).sum(2)
-            fit["maps"] = dict(enumerate(maps))
-            return {"rows": rows, "squares": squares, "convex": values[:, 0] > np.maximum(1.0, values[:, -1]) * 1e-10, "least": values[:, 0]}
-    for i in np.flatnonzero(m.valid & np.isfinite(beta).all(1)):
-        active = np.arange(p) if spec.model in ("gwr", "ridge") or spec.lam == 0 else np.flatnonzero(np.abs(beta[i]) > 1e-10)
-        maps = np.zeros((p, k))
-        if len(active):
-            h = m.gram[i][np.ix_(active, active)].copy()
-            right = score_map[i][:, active].T
-            if spec.model in ("scad", "mcp"):
-                h[np.diag_indices(len(active))] += penalty_curvature(beta[i, active], spec.lam, spec.gamma, spec.model)
-            elif spec.lam > 0:
-                h[np.diag_indices(len(active))] += l2
-                if l2 * spec.d:
-                    right = right + l2 * spec.d * (pseudo(m.gram[i]) @ score_map[i].T)[active]
-            values = np.linalg.eigvalsh(h)
-            least[i] = values[0]
-            try:
-                maps[active] = np.linalg.solve(h, right) if values[0] > max(1.0, values[-1]) * 1e-12 else pseudo(h) @ right
-            except np.linalg.LinAlgError:
-                maps[active] = pseudo(h) @ right
-            convex[i] = values[0] > max(1.0, values[-1]) * 1e-10
-        else:
-            convex[i] = True
-        rows[i] = m.w[i] + (x0[i] - m.x_mean[i]) @ maps
-        squares[i, 1:] = (maps**2).sum(1)
-        squares[i, 0] = np.nan  # filled by the caller, who knows centre and scale
-        fit.setdefault("maps", {})[i] = maps
-    return {"rows": rows, "squares": squares, "convex": convex, "least": least}
+        top = np.maximum(1.0, values[:, -1])
+        least[at], convex[at] = values[:, 0], values[:, 0] > top * 1e-10
+        fine = values[:, 0] > top * 1e-12
+        maps = np.empty_like(right)
+        maps[fine] = np.linalg.solve(h[fine], right[fine])
+        if not fine.all():
+            maps[~fine] = pseudo(h[~fine]) @ right[~fine]
+        rows[at] = m.w[at] + np.einsum("ba,bak->bk", (x0 - m.x_mean)[np.ix_(at, active)], maps)
+        if centre is not None:
+            squares[at] = 0.0
+            squares[np.ix_(at, active + 1)] = (maps**2).sum(2)
+            level = m.w[at] - np.einsum("ba,bak->bk", (m.x_mean + centre)[np.ix_(at, active)], maps)
+            squares[at, 0] = (level**2).sum(1)
+            if keep_maps:
+                kept[at, :, 0] = level
+                kept[np.ix_(at, np.arange(k), active + 1)] = maps.transpose(0, 2, 1)
+    return {"rows": rows, "squares": squares, "convex": convex, "least": least, "maps": kept}
+
+
+def knots(beta: np.ndarray, spec: Spec) -> np.ndarray:
+    """How many coefficients of each target lie on a knot of the SCAD or MCP penalty, where its slope has a kink."""
+    if spec.model not in ("scad", "mcp") or not spec.lam:
+        return np.zeros(len(beta), int)
+    at = [spec.gamma * spec.lam] if spec.model == "mcp" else [spec.lam, spec.gamma * spec.lam]
+    slack = 1e-8 * (1 + spec.gamma * spec.lam)
+    return sum((np.abs(np.abs(beta) - k) <= slack).sum(1) for k in at)
 
 
 def lambda_max(m: Moments, alpha: float) -> np.ndarray:
@@ -364,8 +440,7 @@ def nonconvex_lambda_max(m: Moments, spec: Spec) -> np.ndarray:
     low, high = np.zeros_like(z), np.maximum(z, 1e-300)
 
     def zero(lam: np.ndarray) -> np.ndarray:
-        flat = [exact_minimum(np.array([a]), np.array([b]), float(c), spec.gamma, spec.model)[0] == 0 if k else True for a, b, c, k in zip(z.ravel(), np.where(ok, g, 1).ravel(), lam.ravel(), ok.ravel())]
-        return np.array(flat).reshape(z.shape)
+        return ~ok | (exact_minimum(z, np.where(ok, g, 1), lam, spec.gamma, spec.model) == 0)
 
     for _ in range(64):
         good = zero(high)

@@ -106,6 +106,61 @@ def test_leverage_is_a_derivative():
             assert abs((value(up) - value(down)) / 2e-5 - row[j]) < 1e-4
 
 
+@pytest.mark.parametrize("spec", [Spec("lasso", 0.1), Spec("scaled_lasso", 0.2, 0.5, 0.7), Spec("scad", 0.1), Spec("gwr")])
+def test_smoother_by_active_sets(spec):
+    """The batched smoother against one target at a time."""
+    dist, x, y = batch(40, 25, 3, 21)
+    y = y + np.linspace(-1, 1, 40)[:, None] * x[:, :, 2]
+    c = np.array([0.3, -0.2, 0.1])
+    f = solvers.solve(dist, x, y, spec)
+    assert spec.model == "gwr" or len(np.unique(np.abs(f["beta"]) > 1e-10, axis=0)) > 1
+    s = solvers.smoother(f, spec, x[:, 0, :], c, keep_maps=True)
+    for i in range(40):
+        one = solvers.smoother(solvers.solve(dist[i : i + 1], x[i : i + 1], y[i : i + 1], spec), spec, x[i : i + 1, 0, :], c, keep_maps=True)
+        for name in ("rows", "squares", "maps", "convex"):
+            assert np.allclose(s[name][i], one[name][0], atol=1e-9), name
+    # fitted values are the rows applied to y wherever the fit is linear in y at a fixed active set
+    if spec.model == "gwr":
+        assert np.allclose((s["rows"] * y).sum(1), f["level"] + ((x[:, 0] - f["m"].x_mean) * f["beta"]).sum(1))
+        assert np.allclose(np.einsum("bkp,bk->bp", s["maps"][:, :, 1:], y), f["beta"])
+
+
+def test_ridge_with_more_predictors_than_neighbours():
+    dist, x, y = np.sort(np.random.default_rng(2).random((3, 6)), axis=1), *(lambda r: (r.normal(size=(3, 6, 9)), r.normal(size=(3, 6))))(np.random.default_rng(3))
+    f = solvers.solve(dist, x, y, Spec("ridge", 0.3, 0.0))
+    for i in range(3):
+        assert np.allclose(f["beta"][i], np.linalg.solve(f["m"].gram[i] + 0.3 * np.eye(9), f["m"].score[i]))
+    assert f["converged"].all() and f["kkt"].max() < 1e-10
+
+
+@pytest.mark.parametrize("model,gamma", [("scad", 3.7), ("mcp", 3.0)])
+def test_nonconvex_audit(model, gamma):
+    dist, x, y = batch(6, 30, 3, 8)
+    spec = Spec(model, 0.1, gamma=gamma, tolerance=1e-9)
+    f = solvers.solve(dist, x, y, spec)
+    assert f["converged"].all() and f["gap"].max() <= 1e-8
+    assert (solvers.coordinate_gaps(f["m"], f["beta"] + 0.05, spec) > 1e-5).all()
+    # one sweep isn't enough, and the gap says so
+    assert not solvers.solve(dist, x, y, Spec(model, 0.1, gamma=gamma, tolerance=1e-9, max_iterations=1))["converged"].any()
+    top = solvers.nonconvex_lambda_max(f["m"], spec)
+    g = np.einsum("bpp->bp", f["m"].gram)
+    for i in range(6):
+        assert (penalties.exact_minimum(f["m"].score[i], g[i], float(top[i]), gamma, model) == 0).all()
+        assert (penalties.exact_minimum(f["m"].score[i], g[i], float(top[i]) * (1 - 1e-6), gamma, model) != 0).any()
+    at = np.array([[gamma * 0.1, -gamma * 0.1, 0.0], [0.5, 0.02, 0.1]])
+    assert solvers.knots(at, spec).tolist() == ([2, 1] if model == "scad" else [2, 0])
+
+
+def test_audit_columns(example):
+    xy, x = ["cx", "cy"], ["x1", "x2"]
+    lad = workflow.fit(example, "y", x, xy, 18, "lad", lam=0.01).local.first()
+    assert lad["primal_residual"] >= 0 and lad["dual_residual"] >= 0 and lad["max_kkt_violation"] == max(lad["primal_residual"], lad["dual_residual"])
+    g = workflow.fit(example, "y", x, xy, 18, "scad", lam=0.02, guarded=True).local.agg(F.min("block_checks"), F.max("max_coordinate_gap"), F.min("active_coordinates")).first()
+    assert g[0] >= 0 and g[1] < 1e-6 and g[2] >= 0
+    plain = workflow.fit(example, "y", x, xy, 18).local.first()
+    assert plain["max_coordinate_gap"] != plain["max_coordinate_gap"] and plain["pair_accepted"] is None and plain["knots"] == 0
+
+
 def test_singular_predictors_use_the_pseudoinverse():
     dist, x, y = batch(2, 20, 3, 3)
     x[:, :, 2] = x[:, :, 1]
