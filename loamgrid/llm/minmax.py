@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .common import blocks, free_name, slim, stored, texts_as_bytes
+from .common import blocks, free_name, map_arrow, slim, stored, texts_as_bytes
 from .components import components
 
 WIDTH, BANDS, ROWS = 5, 45, 4
@@ -106,7 +106,7 @@ def resolve(sets: list[np.ndarray], percent: int = 75, n_bands: int = BANDS, n_r
     keys = band_keys(signature, n_bands, n_rows)
     root = np.arange(n)
     links: list[tuple[int, int]] = []
-    refuted: set[int] = set()
+    refuted = np.zeros((n, n), bool)
     seen: set[bytes] = set()
     for band in range(n_bands):
         order = np.argsort(keys[:, band], kind="stable")
@@ -115,31 +115,35 @@ def resolve(sets: list[np.ndarray], percent: int = 75, n_bands: int = BANDS, n_r
             if len(members) < 2 or (same := members.tobytes()) in seen:
                 continue
             seen.add(same)
-            roots, counts = np.unique(root[members], return_counts=True)
-            if len(roots) < 2:
-                continue
-            # all but the largest class against all: pairs inside it are connected
-            few = members[root[members] != roots[counts.argmax()]]
-            pairs = []
-            for lo in range(0, len(few), 64):
-                part = few[lo : lo + 64]
+            done = np.zeros(len(members), bool)
+            while True:
+                # all outside the largest class against all, a few at a time: pairs inside a class are connected,
+                # and classes grow as pairs are confirmed
+                roots, own, counts = np.unique(root[members], return_inverse=True, return_counts=True)
+                if len(roots) < 2:
+                    break
+                few = np.flatnonzero(~done & (own.reshape(-1) != counts.argmax()))[:64]
+                if not len(few):
+                    break
+                done[few] = True
+                part = members[few]
                 agree = np.zeros((len(part), len(members)), np.int32)
                 for c in range(signature.shape[1]):
                     agree += signature[part, c][:, None] == signature[members, c][None, :]
                 i, j = np.nonzero((agree >= LEAST_AGREEMENT * signature.shape[1]) & (root[part][:, None] != root[members][None, :]))
-                pairs.append(np.stack((agree[i, j], part[i], members[j])))
-            found = np.concatenate(pairs, axis=1)
-            for _, i, j in found[:, np.argsort(-found[0], kind="stable")].T.tolist():
-                if root[i] == root[j]:
-                    continue
-                pair = min(i, j) * n + max(i, j)
-                if pair in refuted:
-                    continue
-                if linked(sets[i], sets[j], percent):
-                    links.append((i, j))
-                    root[root == root[j]] = root[i]
-                else:
-                    refuted.add(pair)
+                order = np.argsort(-agree[i, j], kind="stable")
+                left, right = part[i[order]], members[j[order]]
+                for lo in range(0, len(left), 256):
+                    x, y = left[lo : lo + 256], right[lo : lo + 256]
+                    open_ = (root[x] != root[y]) & ~refuted[x, y]
+                    for a, b in zip(x[open_].tolist(), y[open_].tolist()):
+                        if root[a] == root[b]:
+                            continue
+                        if linked(sets[a], sets[b], percent):
+                            links.append((a, b))
+                            root[root == root[b]] = root[a]
+                        else:
+                            refuted[a, b] = refuted[b, a] = True
     return links
 
 
@@ -161,7 +165,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text_crc32", "n_shingles", "node", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, text_crc32 bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return docs.transform(map_arrow, run, "doc_id bigint, text_crc32 bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def groups_of(hooks: DataFrame, members: DataFrame, group_nodes: int = GROUP_NODES) -> DataFrame:
@@ -206,7 +210,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int = 75) -> DataFram
             yield done(held)
 
     together = docs.repartition("gid").sortWithinPartitions("gid", "node")
-    return together.select("gid", "node", "key", "text").mapInArrow(run, "a bigint, b bigint")
+    return together.select("gid", "node", "key", "text").transform(map_arrow, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, group_nodes: int = GROUP_NODES) -> DataFrame:
