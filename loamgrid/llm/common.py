@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,18 +16,21 @@ from pyspark.sql import types as T
 
 #: Bytes of text handed to one vectorised kernel call; a longer text is taken alone.
 BLOCK_BYTES = 1 << 19
-#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests on one machine) a local
-    folder is made and set as the checkpoint folder.
+    Only on one machine (a local master, as in tests) may the session have
+    none: a local folder is made then and set as the checkpoint folder.  On a
+    cluster that is an error, as executors wouldn't find each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = process_cache()
         if "own_dir" not in known:
             known["own_dir"] = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
@@ -100,9 +104,32 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to send texts to Python in small batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    known = process_cache()
+    if "trim" not in known:
+        known["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if known["trim"] is not None:
+        known["trim"](0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` whose workers, which Spark keeps for later tasks, don't hold on to a task's memory."""
+
+    def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
 def slim(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key and the text: what else the table holds never meets an operator's own names."""
     return small_batches(df).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

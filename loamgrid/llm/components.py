@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 
 
 #: Links that one task may hold (about 200 bytes each).
@@ -49,7 +49,7 @@ def union_find(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "component"])
 
     kind = edges.schema["u"].dataType.simpleString()
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+    return edges.coalesce(1).transform(map_arrow, run, f"node {kind}, component {kind}")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", few_links: int = FEW_LINKS) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, free_name, slim, small_batches, stored, texts_as_bytes
+from .common import blocks, free_name, map_arrow, slim, small_batches, stored, texts_as_bytes
 
 WIDTH = 13
 #: Words of test items searched in one round; their phrases take about 120 bytes a word.
@@ -116,7 +116,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 2 << 20)
             cells = Shard.of(b, "text", find).row(b.column(0))
             yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in cells[:4]], pa.array([cells[4]], pa.int64())], names=["shard", "terms", "lists", "firsts", "words"])
 
-    return stored(docs.mapInArrow(run, POSTINGS).withColumn("place", F.monotonically_increasing_id()), "postings")
+    return stored(docs.transform(map_arrow, run, POSTINGS).withColumn("place", F.monotonically_increasing_id()), "postings")
 
 
 class Shard:
@@ -282,7 +282,7 @@ def search(index: DataFrame, p: Phrases, slack: int | None = None) -> DataFrame:
                 shard = Shard.read(row, len(p.terms))
                 yield results(row[0], shard.firsts, *hits(shard, p, items, heads, slack))
 
-    return index.mapInArrow(run, RESULT)
+    return index.transform(map_arrow, run, RESULT)
 
 
 def search_rounds(index: DataFrame, rounds: Iterable[Phrases], slack: int | None = None) -> DataFrame:
@@ -303,7 +303,7 @@ def search_rounds(index: DataFrame, rounds: Iterable[Phrases], slack: int | None
                         names = json.dumps([[d, sorted(x)] for d, x in owners.items()]).encode()
                         yield pa.RecordBatch.from_arrays([pa.array([row[5]], pa.int64()), pa.array([press(np.packbits(hit).tobytes())], pa.binary()), pa.array([press(names)], pa.binary())], names=["place", "hit", "owners"])
 
-        return stored(index.mapInArrow(run, "place bigint, hit binary, owners binary"), "hits")
+        return stored(index.transform(map_arrow, run, "place bigint, hit binary, owners binary"), "hits")
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -322,7 +322,7 @@ def search_rounds(index: DataFrame, rounds: Iterable[Phrases], slack: int | None
     for x in parts[1:]:
         found = found.unionByName(x)
     found = found.groupBy("place").agg(F.collect_list(F.struct("hit", "owners")).alias("parts"))
-    return index.select("place", "shard", "firsts", "words").join(found, "place", "left").select("shard", "firsts", "words", "parts").mapInArrow(merge, RESULT)
+    return index.select("place", "shard", "firsts", "words").join(found, "place", "left").select("shard", "firsts", "words", "parts").transform(map_arrow, merge, RESULT)
 
 
 def test_items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
@@ -339,7 +339,7 @@ def vocabulary(rows: DataFrame) -> np.ndarray:
             _, _, hashes = kernels.words(kernels.joined(texts_as_bytes(b))[0], kernels.ALNUM)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["term"])
 
-    return np.sort(np.asarray(rows.mapInArrow(run, "term bigint").distinct().toArrow().column(0)).view(np.uint64))
+    return np.sort(np.asarray(rows.transform(map_arrow, run, "term bigint").distinct().toArrow().column(0)).view(np.uint64))
 
 
 def test_rounds(rows: DataFrame, width: int, terms: np.ndarray) -> Iterator[Phrases]:
@@ -403,4 +403,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
             n_hit, n_words = sums[firsts[1:]] - sums[firsts[:-1]], np.diff(firsts)
             yield b.filter(pa.array(~((n_hit > 0) & (100 * n_hit >= percent * n_words))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, stored
+from .common import map_arrow, slim, stored
 from .tokens import encoded
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -157,7 +157,7 @@ def pack(
 
         return run
 
-    done = stored(slim(docs).mapInArrow(first, PIECE), "packed")
+    done = stored(slim(docs).transform(map_arrow, first, PIECE), "packed")
     parts, turn = [done.filter("sequence_id >= 0")], 0
     rest = done.filter("sequence_id < 0")
     while True:
@@ -168,7 +168,7 @@ def pack(
             break
         # groups of whole partitions' leftovers: their count is bounded by the partitions, not the rows
         ordered = rest.repartitionByRange(tasks, "sequence_id") if tasks > 1 else rest.coalesce(1)
-        done = stored(ordered.sortWithinPartitions("sequence_id", "offset").mapInArrow(again(tasks == 1, turn), PIECE), "packed-again")
+        done = stored(ordered.sortWithinPartitions("sequence_id", "offset").transform(map_arrow, again(tasks == 1, turn), PIECE), "packed-again")
         parts.append(done.filter("sequence_id >= 0"))
         rest = done.filter("sequence_id < 0")
         if tasks == 1:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, schema_plus, slim, small_batches, texts_as_bytes
+from .common import blocks, map_arrow, schema_plus, slim, small_batches, texts_as_bytes
 from .toxicity import held_out, sampled, sigmoid
 
 CHUNK, OVERLAP, STRIDE = 512, 8, 4
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, examp
             short = [t if len(t) <= 64 * CHUNK else b"".join(t[k : k + CHUNK] for k in np.linspace(0, len(t) - CHUNK, 64).astype(int).tolist()) for t in texts_as_bytes(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), b.column(2)], names=["doc_id", "text", "y"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id bigint, text binary, y double").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").transform(map_arrow, run, "doc_id bigint, text binary, y double").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts, y = [x or b"" for x in rows.column("text").to_pylist()], np.asarray(rows.column("y"))
     net = train(texts, y)
     drawn = {int(v): int((y == v).sum()) for v in (0, 1)}
@@ -186,4 +186,4 @@ def scores(docs: DataFrame, net: Network, text: str = "text", score: str = "scor
             p = probabilities(own, texts_as_bytes(b, name))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(float), pa.float64())], names=[*b.schema.names, score])
 
-    return rows.mapInArrow(run, schema_plus(rows, f"`{score}` double"))
+    return rows.transform(map_arrow, run, schema_plus(rows, f"`{score}` double"))

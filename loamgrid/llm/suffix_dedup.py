@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, free_name, slim, stored, texts_as_bytes
+from .common import blocks, free_name, map_arrow, slim, stored, texts_as_bytes
 
 #: Most bytes of a hashed gram; a third of the length where that is less, as shorter grams mean fewer stretches.
 GRAM = 128
 #: Bytes of the stretches of one minimizer that one task may gather.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 18
 STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binary"
@@ -70,25 +70,32 @@ def rank_levels(data: np.ndarray, length: int, every: bool = True) -> tuple[list
     Without ``every`` only the last level is kept.
     """
     n, have = len(data), min(WORD, length)
+    kind = np.int32 if n < 1 << 30 else np.int64
     word = np.zeros(n, np.uint64)
     # nine bits a byte keep the end of the data below every byte
-    wide = np.concatenate((data.astype(np.uint64) + np.uint64(1), np.zeros(WORD, np.uint64)))
+    wide = np.concatenate((data, np.zeros(WORD, np.uint8))).astype(np.uint16)
+    wide[:n] += 1
     for k in range(have):
-        word = (word << np.uint64(9)) | wide[k : k + n]
-    order = np.argsort(word, kind="stable")
+        word <<= np.uint64(9)
+        word |= wide[k : k + n]
     del wide
-    heads = np.concatenate(([True], word[order][1:] != word[order][:-1]))
-    ranks = np.empty(n, np.int64)
-    ranks[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    heads = np.ones(n, bool)
+    np.not_equal(word[1:], word[:-1], out=heads[1:])
+    del word
+    ranks = np.empty(n, kind)
+    ranks[order] = np.maximum.accumulate(np.where(heads, np.arange(n, dtype=kind), kind(0)))
+    del order, heads
     sizes, levels = [have], [ranks]
     while have < length:
         step = min(have, length - have)
         old, ranks = levels[-1], levels[-1].copy()
-        at = np.flatnonzero(np.bincount(old, minlength=n)[old] > 1)
+        at = np.flatnonzero(np.bincount(old, minlength=n)[old] > 1).astype(kind)
         if len(at):
-            later = np.where(at + step < n, old[np.minimum(at + step, n - 1)] + 1, 0)
-            order = np.argsort(old[at] * (n + 1) + later, kind="stable")
-            a, b, place = old[at][order], later[order], np.arange(len(at))
+            later = np.where(at + step < n, old[np.minimum(at + step, n - 1)] + 1, 0).astype(kind)
+            order = np.argsort(old[at].astype(np.int64) * (n + 1) + later, kind="stable")
+            a, b, place = old[at][order], later[order], np.arange(len(at), dtype=kind)
             group = np.concatenate(([True], a[1:] != a[:-1]))
             run = group | np.concatenate(([True], b[1:] != b[:-1]))
             ranks[at[order]] = a + np.maximum.accumulate(np.where(run, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
@@ -114,14 +121,13 @@ def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     out = []
     for v in (values, values[::-1]):
-        wide = np.concatenate((v, [np.iinfo(np.int64).min]))
-        at = np.arange(-1, n - 1)
-        at = np.append(at, -1)
-        open_ = np.arange(n)
+        at = np.arange(-1, n - 1, dtype=values.dtype)
+        open_ = np.flatnonzero(at >= 0).astype(values.dtype)
         while len(open_):
-            open_ = open_[(at[open_] >= 0) & (wide[at[open_]] >= wide[open_])]
+            open_ = open_[v[at[open_]] >= v[open_]]
             at[open_] = at[at[open_]]
-        out.append(at[:n])
+            open_ = open_[at[open_] >= 0]
+        out.append(at)
     return out[0], n - 1 - out[1][::-1]
 
 
@@ -147,40 +153,41 @@ def previous_factors(data: bytes) -> np.ndarray:
     return out
 
 
-def longest_previous_factor(sizes: list[int], levels: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start in suffix order: the start, and whether an earlier start shares ``sizes[-1]`` bytes.
+def longest_previous_factor(levels: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start in suffix order: the start, and an earlier start that shares as many bytes as the last level has (or -1).
 
     The previous and next smaller places in suffix order hold the longest
     previous factor; its length matters here only up to the last level, at
     which equal ranks are equal strings.
     """
     order = suffix_order(levels, starts)
-    before, after = nearest_smaller(order)
     last = levels[-1][order]
-    n = len(order)
-    found = np.zeros(n, bool)
-    ok = before >= 0
-    found[ok] = last[before[ok]] == last[ok]
-    ok = (after < n) & ~found
-    found[ok] |= last[after[ok]] == last[ok]
-    return order, found
+    source = np.full(len(order), -1, order.dtype)
+    for near in nearest_smaller(order):
+        at = np.flatnonzero((near >= 0) & (near < len(order)) & (source < 0))
+        at = at[last[near[at]] == last[at]]
+        source[at] = order[near[at]]
+    return order, source
 
 
 def repeated_starts(strings: list[bytes], counts: list[int], length: int, first_only: bool) -> list[np.ndarray]:
-    """Which of the first ``counts[k]`` starts of each string are repeated; strings come in corpus order."""
+    """Which of the first ``counts[k]`` starts of each string are repeated; strings come in corpus order.
+
+    Later copies are the starts whose longest previous factor is long enough;
+    unless ``first_only``, the earlier places of those factors count too, and
+    the first copy is among them: it is the only smaller place that the second
+    one can have.
+    """
     data = np.frombuffer(b"".join(strings), np.uint8)
     heads = np.cumsum([0, *map(len, strings)])[:-1]
-    starts = np.concatenate([h + np.arange(c) for h, c in zip(heads, counts)])
-    sizes, levels = rank_levels(data, length, every=False)
+    starts = np.concatenate([np.arange(h, h + c, dtype=np.int32 if len(data) < 1 << 30 else np.int64) for h, c in zip(heads, counts)])
+    _, levels = rank_levels(data, length, every=False)
     flags = np.zeros(len(data), bool)
-    order, later = longest_previous_factor(sizes, levels, starts)
-    if first_only:
-        flags[order[later]] = True
-    else:
-        last = levels[-1][order]
-        same = last[1:] == last[:-1]
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
+    order, source = longest_previous_factor(levels, starts)
+    later = source >= 0
+    flags[order[later]] = True
+    if not first_only:
+        flags[source[later]] = True
     return [np.flatnonzero(flags[h : h + c]) for h, c in zip(heads, counts)]
 
 
@@ -244,7 +251,7 @@ def find_stretches(docs: DataFrame, length: int, gram: int, first_only: bool) ->
                     names=["doc_id", "tag", "lo", "n", "minimizer", "digest"],
                 )
 
-    return docs.mapInArrow(run, STRETCH)
+    return docs.transform(map_arrow, run, STRETCH)
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -263,7 +270,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     per_doc = stored(wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "minimizer")).alias("s")).select("doc_id", "tag", "s.lo", "s.n", "s.minimizer"), "wanted")
     met = docs.alias("d").join(per_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.tag", "w.lo", "w.n", "w.minimizer")
-    return met.mapInArrow(run, kind)
+    return met.transform(map_arrow, run, kind)
 
 
 def ranges(docs: DataFrame, length: int = 400, keep: str = "first", gram: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -323,7 +330,7 @@ def _by_arrays(bodies: DataFrame, length: int, first_only: bool) -> DataFrame:
             yield solve(held)
 
     dealt = bodies.repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "tag", "lo")
-    return dealt.mapInArrow(run, "doc_id bigint, tag int, lo int, n int")
+    return dealt.transform(map_arrow, run, "doc_id bigint, tag int, lo int, n int")
 
 
 def _by_digests(bodies: DataFrame, length: int, first_only: bool) -> DataFrame:
@@ -338,7 +345,7 @@ def _by_digests(bodies: DataFrame, length: int, first_only: bool) -> DataFrame:
                     names=["doc_id", "tag", "lo", "own"],
                 )
 
-    each = stored(bodies.mapInArrow(run, "doc_id bigint, tag int, lo int, own binary"), "hot-strings")
+    each = stored(bodies.transform(map_arrow, run, "doc_id bigint, tag int, lo int, own binary"), "hot-strings")
     at = F.struct(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("lo").alias("l"))
     again = each.groupBy("own").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("first")).filter("copies > 1")
     met = each.join(again, "own")
@@ -393,7 +400,7 @@ def digest_repeats(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
 
     docs = slim(docs)
     met = _with_ranges(docs, ranges(docs, length, keep), "doc_id")
-    return met.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return met.transform(map_arrow, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, keep: str = "first", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,4 +430,4 @@ def cut_repeats(docs: DataFrame, length: int = 400, keep: str = "first", key: st
             cols = [pa.array(values, pa.string()) if k == at else b.column(k) for k in range(len(schema))]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return _with_ranges(docs, ranges(slim(docs, text, key), length, keep), key).mapInArrow(run, schema)
+    return _with_ranges(docs, ranges(slim(docs, text, key), length, keep), key).transform(map_arrow, run, schema)

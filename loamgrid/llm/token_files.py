@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slim, stored
+from .common import map_arrow, scratch, slim, stored
 from .tokens import encoded
 
 MAGIC = b"LGPLANE1"
@@ -190,7 +190,7 @@ def write_token_files(
     rows = slim(docs)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return stored(ordered.transform(map_arrow, write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -225,4 +225,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield batch(out)
 
-    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.transform(map_arrow, read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

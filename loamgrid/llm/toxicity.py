@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, schema_plus, slim, small_batches, texts_as_bytes
+from .common import blocks, map_arrow, schema_plus, slim, small_batches, texts_as_bytes
 
 BUCKETS = 1 << 18
 POSITIVES, UNLABELLED = 4000, 12_000
@@ -177,7 +177,7 @@ def _collect(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             own = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(buckets, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), own], names=["doc_id", "buckets"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, buckets array<int>")
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").transform(map_arrow, run, "doc_id bigint, buckets array<int>")
     got = rows.toArrow().sort_by("doc_id").column("buckets").combine_chunks()
     got = pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
     heads = np.concatenate(([0], np.cumsum(np.asarray(got.value_lengths(), np.int64)))).astype(np.int64)
@@ -215,4 +215,4 @@ def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, score])
 
     schema = rows.schema if below is not None else schema_plus(rows, f"`{score}` double")
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_arrow, run, schema)
