@@ -7,9 +7,9 @@ of the chunks' outputs gives one probability.  Every weight is trained by
 back-propagation with Adam.
 
 The network is fitted at the driver on a bounded sample: at most ``EXAMPLES``
-labelled texts of either label, those with the least hash of the id, and of
-each at most ``TRAIN_CHUNKS`` chunks drawn from all over the text.  Scores
-take all chunks and nothing but the text.
+labelled texts of either label, those with the least hash of the id.  Whole
+texts come to the driver, and each epoch draws ``TRAIN_CHUNKS`` of a text's
+chunks anew from all over it.  Scores take all chunks and nothing but the text.
 
 Defined cases: a null or empty text is one chunk of padding; null labels are
 no labels, an id with several gets the least; without labels of both kinds
@@ -155,14 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, examp
     known = known.filter(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = dict(known.groupBy((F.col("quality") > 0).cast("int").alias("q")).count().collect())
     ids = sampled(known.filter("quality > 0"), examples, 3).withColumn("y", F.lit(1.0)).unionByName(sampled(known.filter("quality <= 0"), examples, 4).withColumn("y", F.lit(0.0)))
-    # a text's chunks beyond what training draws from needn't leave the executors
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            short = [t if len(t) <= 64 * CHUNK else b"".join(t[k : k + CHUNK] for k in np.linspace(0, len(t) - CHUNK, 64).astype(int).tolist()) for t in texts_as_bytes(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), b.column(2)], names=["doc_id", "text", "y"])
-
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").transform(map_arrow, run, "doc_id bigint, text binary, y double").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts, y = [x or b"" for x in rows.column("text").to_pylist()], np.asarray(rows.column("y"))
     net = train(texts, y)
     drawn = {int(v): int((y == v).sum()) for v in (0, 1)}
