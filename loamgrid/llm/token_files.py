@@ -15,8 +15,8 @@ byte; planes above the largest id of the chunk are left out.  High planes are
 nearly constant and shrink to nothing.  Byte planes are the default: they take
 a tenth of the time and, on ids of words, an eighth less space.
 
-Documents are dealt by ranges of ``doc_id`` and sorted, and each partition
-writes one file to shared storage under a name of its own per attempt.  Only
+Documents are dealt by ranges of ``doc_id``, as many as their bytes ask for
+(``FILE_BYTES`` each), and sorted, and each partition writes one file to shared storage under a name of its own per attempt.  Only
 the manifest, a table made of what successful tasks return, makes a file part
 of the result, so repeated or lost tasks leave no trace in it.
 
@@ -45,6 +45,8 @@ from .tokens import encoded
 MAGIC = b"LGPLANE1"
 FOOTER = struct.Struct("<QQQQII8s")
 CHUNK_IDS = 1 << 16
+#: Bytes of text that go into one file.
+FILE_BYTES = 16 << 20
 LEVEL = 1
 MANIFEST = "part int, file string, documents bigint, ids bigint"
 #: Stands for a null doc_id inside a file.
@@ -188,7 +190,7 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.ids], pa.int64())], names=["part", "file", "documents", "ids"])
 
     rows = slim(docs)
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stored(ordered.transform(map_arrow, write, MANIFEST), "token-manifest")
 
