@@ -7,8 +7,8 @@ moves the fewest slots that even the load out and appends a new version, and
 no record is ever hashed anew.
 
 Equal texts hash alike, so a group of copies stays in one slot and one shard.
-A group larger than ``split_share`` of a shard's fair load would make that
-impossible to balance; its rows are spread over the slots by their id instead.
+Only a group that alone is more than a shard's fair load can't be kept whole
+with near equal shards; its rows are spread over the slots by their id instead.
 
 Only the table of slots (its size is the constant ``n_slots``) comes to the
 driver.  Defined cases: a null text has no bytes, so size is 16; a null id
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import scratch, stored
 
 ROW_OVERHEAD = 16
 
@@ -34,15 +34,13 @@ def slot_loads(placed: DataFrame) -> DataFrame:
     return placed.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-def place(docs: DataFrame, n_slots: int = 8192, n_shards: int = 40, split_share: float = 1 / 32) -> DataFrame:
-    """``doc_id, text_crc32, size, vslot`` of each row."""
+def place(docs: DataFrame, n_slots: int = 8192, n_shards: int = 40) -> DataFrame:
+    """``doc_id, text_crc32, size, vslot`` of each row; texts are read and hashed once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.xxhash64(text).alias("_group"))
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    limit = max(1, int(total / n_shards * split_share))
-    # A group above the limit holds that share of all bytes, so there are at most n_shards / split_share of them.
-    hot = groups.filter(F.col("_bytes") > limit).select("_group", F.lit(True).alias("_hot"))
+    rows = stored(docs.select(F.col("doc_id"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.xxhash64(text).alias("_group")), "sizes")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    # groups of more than a fair load are fewer than the shards
+    hot = rows.groupBy("_group").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") * n_shards > total).select("_group", F.lit(True).alias("_hot"))
     key = F.when(F.col("_hot"), F.xxhash64("doc_id", "_group")).otherwise(F.xxhash64("_group"))
     return rows.join(F.broadcast(hot), "_group", "left").select("doc_id", "text_crc32", "size", F.pmod(key, F.lit(n_slots)).cast("int").alias("vslot"))
 
