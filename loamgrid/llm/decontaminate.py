@@ -8,9 +8,11 @@ Another test set needs another index, unless its terms are among these.
 
 A search reads shard after shard.  Each phrase starts from the shard's
 shortest posting list among its terms, shifted by that term's offset, and the
-candidates are intersected with the other terms' lists at their own offsets.
-All phrases go through this together, as arrays.  A proximity search instead
-takes the spans in which all terms of a phrase lie within so many words.
+candidates are intersected with the other terms' lists, the shorter ones
+first, each shifted by its own offset; an intersection is a binary search in
+the sorted lists.  All phrases go through this together, as arrays.  A
+proximity search instead takes the spans in which all terms of a phrase lie
+within so many words.
 
 A test set goes to every task whole up to ``MAX_TEST_WORDS`` of 8 bytes.  A
 larger one is searched in several rounds over the same stored index, which
@@ -21,15 +23,17 @@ before words and items are counted.
 Words: A-Z lower-cased, then runs of digits, letters and all characters
 outside ASCII.  A phrase is each run of ``width`` words of an item; a shorter
 item is one phrase.  Defined cases: null and empty texts have no words and no
-hits; items without words are never hit; items of one id count once; equal
-rows get equal results; an empty table, or an empty test set, gives no hits;
-only key and text of either table are read.
+hits; items without words are never hit; items of one id count once, and those
+without an id mark words but aren't counted; equal rows get equal results; an
+empty table, or an empty test set, gives no hits; only key and text of either
+table are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,14 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, free_name, map_arrow, slim, small_batches, stored, texts_as_bytes
+from .common import blocks, free_name, map_arrow, slim, stored, texts_as_bytes
 
 WIDTH = 13
 #: Words of test items searched in one round; their phrases take about 120 bytes a word.
 MAX_TEST_WORDS = 500_000
 #: Candidates looked at together, which bounds a task's memory.
 STEP = 1 << 20
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<first: bigint, end: bigint>>"
+#: A table of contaminated documents is broadcast only up to so many rows (about 30 bytes each).
+BROADCAST_ROWS = 300_000
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, text_crc32 bigint, spans array<struct<first: bigint, end: bigint>>"
 POSTINGS = "shard binary, terms binary, lists binary, firsts binary, words bigint"
 
 
@@ -107,13 +113,14 @@ class Lookup:
 
 
 def build_index(docs: DataFrame, terms: np.ndarray, shard_bytes: int = 2 << 20) -> DataFrame:
-    """Posting lists of the test terms, a row per shard: the ids of its documents,
+    """Posting lists of the test terms, a row per shard: the ids and checksums of its documents,
     term numbers with list lengths, the lists as gaps, each document's first position, and the row's own number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(terms)
         for b in blocks(batches, limit=shard_bytes):
-            cells = Shard.of(b, "text", find).row(b.column(0))
+            texts = texts_as_bytes(b)
+            cells = Shard.of(texts, find).row(b.column(0), texts)
             yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in cells[:4]], pa.array([cells[4]], pa.int64())], names=["shard", "terms", "lists", "firsts", "words"])
 
     return stored(docs.transform(map_arrow, run, POSTINGS).withColumn("place", F.monotonically_increasing_id()), "postings")
@@ -130,19 +137,19 @@ class Shard:
         self.start = np.cumsum(self.start)
         # which document a position is in, to keep matches inside it
         self.document = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        self.term_at = np.full(words + 1, -1, np.int32)
-        self.term_at[places] = np.repeat(terms, counts)
+        # all lists behind one another, as one sorted array
+        self.keys = np.repeat(np.asarray(terms, np.int64), counts) * (words + 1) + places
 
     @classmethod
-    def of(cls, batch: pa.RecordBatch, column: str, find: Lookup) -> Shard:
-        """The shard of the texts of a batch."""
-        buf, starts, ends = kernels.joined(texts_as_bytes(batch, column))
+    def of(cls, texts: list[bytes], find: Lookup) -> Shard:
+        """The shard of some texts."""
+        buf, starts, ends = kernels.joined(texts)
         at, _, hashes = kernels.words(buf, kernels.ALNUM)
         place, term = find(hashes)
         terms, counts = np.unique(term, return_counts=True)
         return cls(np.append(np.searchsorted(at, starts), len(at)), len(at), place[np.argsort(term, kind="stable")], terms, counts, len(find.terms))
 
-    def row(self, ids: pa.Array) -> list[bytes | int]:
+    def row(self, ids: pa.Array, texts: list[bytes]) -> list[bytes | int]:
         """The stored form: lists as gaps, everything compressed."""
         press = zstandard.ZstdCompressor(level=1).compress
         counts = np.diff(self.start)
@@ -150,7 +157,7 @@ class Shard:
         gaps = np.diff(self.places, prepend=0)
         heads = self.start[terms]
         gaps[heads] = self.places[heads]
-        key = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64)))
+        key = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))))
         return [press(key.tobytes()), press(np.stack((terms, counts[terms])).tobytes()), press(gaps.astype(np.int32).tobytes()), press(self.firsts.astype(np.int64).tobytes()), self.words]
 
     @classmethod
@@ -165,6 +172,20 @@ class Shard:
     def counts(self) -> np.ndarray:
         return np.diff(self.start)
 
+    def holds(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each place is in its term's list."""
+        want = terms * (self.words + 1) + places
+        at = np.searchsorted(self.keys, want)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == want if len(self.keys) else np.zeros(len(want), bool)
+
+    def term_at(self, lo: int, hi: int) -> np.ndarray:
+        """Term numbers of the words from ``lo`` to before ``hi``, -1 for words that aren't terms."""
+        if not hasattr(self, "dense"):
+            self.dense = np.full(self.words, -1, np.int64)
+            self.dense[self.keys % (self.words + 1)] = self.keys // (self.words + 1)
+        return self.dense[lo:hi]
+
 
 def exact_matches(shard: Shard, p: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrase, start position) of every occurrence, in bounded steps."""
@@ -172,7 +193,8 @@ def exact_matches(shard: Shard, p: Phrases) -> Iterator[tuple[np.ndarray, np.nda
         return
     filled = p.grid >= 0
     have = np.where(filled, shard.counts()[np.where(filled, p.grid, 0)], np.iinfo(np.int64).max)
-    rare = have.argmin(axis=1)
+    turns = np.argsort(have, axis=1, kind="stable")
+    rare = turns[:, 0]
     size = have[np.arange(len(rare)), rare]
     term = p.grid[np.arange(len(rare)), rare]
     rows = np.flatnonzero(size > 0)
@@ -188,9 +210,10 @@ def exact_matches(shard: Shard, p: Phrases) -> Iterator[tuple[np.ndarray, np.nda
         place = shard.places[np.repeat(shard.start[term[own]], n) + step] - np.repeat(rare[own], n)
         good = (place >= 0) & (place + p.lengths[which] <= shard.words)
         which, place = which[good], place[good]
-        for k in range(p.grid.shape[1]):
+        for turn in range(1, p.grid.shape[1]):
+            k = turns[which, turn]
             want = p.grid[which, k]
-            good = (want < 0) | (shard.term_at[np.minimum(place + k, shard.words)] == want)
+            good = (want < 0) | shard.holds(want, place + k)
             which, place = which[good], place[good]
             if not len(which):
                 break
@@ -218,7 +241,7 @@ def near_matches(shard: Shard, p: Phrases, slack: int) -> Iterator[tuple[np.ndar
         for x in shard.places[shard.start[rarest] : shard.start[rarest + 1]].tolist():
             d = shard.document[x]
             lo, hi = max(shard.firsts[d], x - reach + 1), min(shard.firsts[d + 1], x + reach)
-            part = shard.term_at[lo:hi]
+            part = shard.term_at(lo, hi)
             places = np.flatnonzero(np.isin(part, kinds))
             for a in places.tolist():
                 inside = places[(places >= a) & (places < a + reach)]
@@ -252,7 +275,7 @@ def hits(shard: Shard, p: Phrases, items: np.ndarray, heads: np.ndarray, slack:
 
 def results(shard: bytes, firsts: np.ndarray, hit: np.ndarray, owners: dict[int, set[str]]) -> pa.RecordBatch:
     """The rows of a shard's documents; ``shard`` is its cell of ids."""
-    ids, null = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard), np.int64).reshape(2, -1)
+    ids, null, crc = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard), np.int64).reshape(3, -1)
     sums = np.concatenate(([0], np.cumsum(hit)))
     n_hit = sums[firsts[1:]] - sums[firsts[:-1]]
     spans: list[list[dict]] = [[] for _ in ids]
@@ -263,13 +286,13 @@ def results(shard: bytes, firsts: np.ndarray, hit: np.ndarray, owners: dict[int,
     items = [sorted(owners.get(d, ())) for d in range(len(ids))]
     digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64(), mask=null > 0), pa.array(np.diff(firsts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+        [pa.array(ids, pa.int64(), mask=null > 0), pa.array(np.diff(firsts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array(crc, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "text_crc32", "spans"],
     )
 
 
 def search(index: DataFrame, p: Phrases, slack: int | None = None) -> DataFrame:
-    """Per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, spans``.
+    """Per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, text_crc32, spans``.
 
     ``spans`` lists the hit runs as word positions (first, end).  ``slack``
     None asks for exact phrases, a number for proximity matches.
@@ -372,35 +395,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, per
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, percent: int = 5) -> DataFrame:
-    """``docs`` without contaminated rows, all columns kept, in one pass.
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 5) -> DataFrame:
+    """``docs`` without contaminated rows, all columns kept.
 
-    Each task indexes a shard of its rows and searches it at once, so the
-    rows need not be joined to a result.  Test items of several rounds are
-    searched over a stored index instead, and the rows leave by a join.
+    The index is stored and searched as in :func:`contamination`; what leaves
+    the rows is a join with the contaminated ones by id and checksum of the text.
     """
-    rows, single = test_items(benchmark)
-    at = [c.lower() for c in small_batches(docs).columns].index(text)
-    name = docs.columns[at]
-    if not single:
-        row = free_name(docs, "_row")
-        kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-        bad = contamination(kept.select(F.col(row).alias("doc_id"), F.col(f"`{name}`").alias("text")), benchmark, width, percent)
-        bad = bad.filter("contaminated").select(F.col("doc_id").alias(row))
-        return kept.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    p = phrases([(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()], width)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(p.terms)
-        for b in blocks(batches, name, 2 << 20):
-            shard = Shard.of(b, name, find)
-            firsts = shard.firsts
-            change = np.zeros(shard.words + 1, np.int64)
-            for which, lo in exact_matches(shard, p):
-                np.add.at(change, lo, 1)
-                np.add.at(change, lo + p.lengths[which], -1)
-            sums = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
-            n_hit, n_words = sums[firsts[1:]] - sums[firsts[:-1]], np.diff(firsts)
-            yield b.filter(pa.array(~((n_hit > 0) & (100 * n_hit >= percent * n_words))))
-
-    return docs.transform(map_arrow, run, docs.schema)
+    doc, crc = free_name(docs, "_doc"), free_name(docs, "_crc")
+    bad = contamination(slim(docs, text, key), benchmark, width, percent).filter("contaminated")
+    bad = stored(bad.select(F.col("doc_id").alias(doc), F.col("text_crc32").alias(crc)).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    met = docs[key].cast("long").eqNullSafe(F.col(doc)) & (F.crc32(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col(crc))
+    return docs.join(bad, met, "left_anti")
