@@ -70,7 +70,7 @@ def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,7 +86,78 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
+#: A-Z and what they become, as the contracts lower-case them.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 SQL: dict[str, str] = {
+    # bytes as pairs of hexadecimal digits, so that a string of 400 bytes is one of 800 characters
+    "op3_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents
+), starts AS (
+  SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i, h FROM d WHERE length(h) >= 800
+), strings AS (
+  SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS s FROM starts
+), cut AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM strings) WHERE n > 1
+), runs AS (
+  SELECT r, min(i) AS lo, max(i) + 400 AS hi
+  FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run
+        FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM cut))
+  GROUP BY r, run
+), edges AS (
+  SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prior FROM runs
+), kept AS (
+  SELECT e.r, e.lo, substr(h, CAST(2 * prior + 1 AS BIGINT), CAST(2 * (lo - prior) AS BIGINT)) AS part FROM edges e JOIN d USING (r)
+  UNION ALL
+  SELECT d.r, 9223372036854775807, substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)) FROM d LEFT JOIN (SELECT r, max(hi) AS last FROM runs GROUP BY r) USING (r)
+), rest AS (
+  SELECT r, string_agg(part, '' ORDER BY lo) AS h FROM kept GROUP BY r
+), sums AS (
+  SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest.h)) AS kept_sha256
+FROM d JOIN rest USING (r) LEFT JOIN sums USING (r)""",
+    "op9_minmax": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT x.a, x.b
+  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM sets p JOIN sets q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2) x
+  JOIN sizes m ON m.doc_id = x.a JOIN sizes n ON n.doc_id = x.b
+  WHERE 100 * shared >= 75 * (m.n + n.n - shared)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), classes AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN classes USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op10_decontamination": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), windows AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n)
+), hits AS (
+  SELECT r, i, n, item_id FROM windows JOIN wanted USING (n, s)
+), hit AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, unnest(range(0, n)) AS k FROM hits) GROUP BY r
+), held AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)""",
     "op6_chat": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
