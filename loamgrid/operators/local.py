@@ -183,6 +183,23 @@ def fit_path(hoods: DataFrame, spec: Spec, lambdas: np.ndarray, centre: np.ndarr
     return own.mapInArrow(run, PATH)
 
 
+def predict_at(hoods: DataFrame, spec: Spec, ks: list[int], at: DataFrame, xs: list[str], key: str = "id") -> DataFrame:
+    """``target_id, k, fitted`` at new points for several numbers of neighbours, in one pass."""
+    own = hoods.join(at.select(F.col(key).cast("long").alias("target_id"), F.array(*[F.col(c).cast("double") for c in xs]).alias("x0")), "target_id")
+    p = len(xs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rows, ids, _, dist, y, x in batches_of(whole, p):
+                x0 = np.asarray(whole.take(pa.array(rows)).column(5).flatten()).reshape(-1, p)
+                for k in ks:
+                    f = solvers.solve(dist[:, :k], x[:, :k], y[:, :k], spec)
+                    fitted = f["level"] + ((x0 - f["m"].x_mean) * f["beta"]).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), k, np.int32)), pa.array(fitted)], names=["target_id", "k", "fitted"])
+
+    return own.mapInArrow(run, "target_id bigint, k int, fitted double")
+
+
 def lambda_max(hoods: DataFrame, spec: Spec, p: int) -> float:
     """The least lambda at which every target's slopes are zero."""
 

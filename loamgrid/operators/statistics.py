@@ -48,7 +48,7 @@ def smoother_diagnostics(rows: DataFrame, y: str = "y", residual: str = "residua
     by = by or []
     a = rows.groupBy(*by).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(e * e).alias("rss"), (F.var_pop(y) * F.count(F.lit(1))).alias("tss"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
-        F.sum(h).alias("trS"), F.sum(s2).alias("trStS"), F.bool_and(~F.isnan(1 - h) & (F.abs(1 - h) > 1e-10)).alias("_loo"), F.sum((e / (1 - h)) ** 2).alias("_cv"),
+        F.sum(h).alias("trS"), F.sum(s2).alias("trStS"), F.bool_and(~F.isnan(1 - h) & (F.abs(1 - h) > 1e-10)).alias("_loo"), F.sum((e / F.when(F.abs(1 - h) > 1e-10, 1 - h)) ** 2).alias("_cv"),
     )
     n, rss, tss, tr = F.col("n"), F.col("rss"), F.col("tss"), F.col("trS")
     a = a.withColumn("rmse", F.sqrt(rss / n)).withColumn("r_squared", F.when(tss > 0, 1 - rss / tss).otherwise(nan()))
@@ -138,35 +138,65 @@ def cluster_label(z: Column, lag: Column, p: Column, alpha: float = 0.05) -> Col
     return F.when(p.isNotNull() & ~F.isnan(p) & (p <= alpha), named).otherwise("Not Significant")
 
 
+#: Rows of a permutation that one task sorts, and permutations whose sums are columns of one aggregate.
+SORTED_ROWS, PERMUTATION_BLOCK = 200_000, 50
+
+
+def _slots(z: DataFrame, n: int, numbers: range, seed: int) -> DataFrame:
+    """``perm, i, z, slot``: each row's place from 1 in the order of md5(seed:permutation:id), for each permutation.
+
+    Digests are uniform, so their first digits deal each permutation to even
+    buckets; a place is the rows of the buckets before plus the place inside.
+    """
+    spark = z.sparkSession
+    perms = spark.range(numbers.start, numbers.stop).select(F.col("id").alias("perm"))
+    rows = z.crossJoin(F.broadcast(perms)).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("i").cast("string"))))
+    buckets = max(1, -(-n // SORTED_ROWS))
+    rows = rows.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / F.lit(4294967296)).cast("int") if buckets > 1 else F.lit(0))
+    place = F.row_number().over(Window.partitionBy("perm", "_b").orderBy("_h", "i"))
+    if buckets == 1:
+        return rows.select("perm", "i", "z", place.alias("slot"))
+    # a row per permutation and bucket
+    total = rows.groupBy("perm", "_b").agg(F.count(F.lit(1)).alias("_t"))
+    total = total.withColumn("_off", F.sum("_t").over(Window.partitionBy("perm").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).drop("_t")
+    return rows.withColumn("_in", place).join(F.broadcast(total), ["perm", "_b"]).select("perm", "i", "z", (F.col("_off") + F.col("_in")).alias("slot"))
+
+
 def permutation_moran(weights: DataFrame, values: DataFrame, permutations: int = 99, seed: int = 1, value: str = "residual", key: str = "id", alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Permutation tests of global and local Moran statistics.
 
-    Each permutation is a rank by a seeded hash of (seed, number, id), so it
-    doesn't depend on partitions; the statistics are joins and sums over
-    (permutation, location).
+    In permutation p the location whose place in the order 0 is s gets the
+    value whose place in the order p is s; orders are by a seeded digest of
+    the id, so they depend on nothing else.  A location's permuted values
+    travel as arrays, so edges are shuffled once for all permutations.
     """
     z = values.select(F.col(key).alias("i"), F.col(value).cast("double").alias("z"))
     mean, m2, n = z.agg(F.avg("z"), F.var_pop("z"), F.count(F.lit(1))).first()
     s0 = weights.agg(F.sum("v")).first()[0]
-    z = z.withColumn("z", F.col("z") - F.lit(mean)).withColumn("slot", F.row_number().over(Window.orderBy("i"))).persist()
-    spark = z.sparkSession
-    number = spark.range(permutations).select(F.col("id").alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "i"), "i")
-    mixed = z.crossJoin(F.broadcast(number)).withColumn("to", F.row_number().over(order))
-    shuffled = mixed.select("perm", F.col("to").alias("slot"), F.col("z").alias("zp")).join(z.select("slot", "i"), "slot").select("perm", "i", "zp").persist()
-    lag = weights.join(shuffled.select("perm", F.col("i").alias("j"), F.col("zp").alias("_z")), "j").groupBy("perm", "i").agg(F.sum(F.col("v") * F.col("_z")).alias("lag"))
-    stars = lag.join(shuffled, ["perm", "i"]).withColumn("local", F.col("zp") * F.col("lag") / F.lit(m2))
+    z = z.withColumn("z", F.col("z") - F.lit(mean))
+    size = min(PERMUTATION_BLOCK, permutations)
+    # values of a slot by permutation, in blocks of so many
+    dealt = _slots(z, n, range(1, permutations + 1), seed).select("slot", F.floor((F.col("perm") - 1) / size).cast("int").alias("block"), "perm", "z")
+    cells = dealt.groupBy("slot", "block").agg(F.sort_array(F.collect_list(F.struct("perm", "z"))).alias("_c")).select("slot", "block", F.col("_c.z").alias("zp"))
+    mixed = cells.join(_slots(z, n, range(0, 1), seed).select("slot", "i"), "slot").select("i", "block", "zp").persist()
+    sums = [F.sum(F.col("v") * F.get("zp", F.lit(p))).alias(f"_l{p}") for p in range(size)]
+    lag = weights.join(mixed.withColumnRenamed("i", "j"), "j").groupBy("i", "block").agg(*sums).select("i", "block", F.array(*[f"_l{p}" for p in range(size)]).alias("lag"))
+    stars = lag.join(mixed, ["i", "block"]).select("i", "block", F.zip_with("zp", F.slice("lag", 1, F.size("zp")), lambda a, b: a * b / F.lit(m2)).alias("local"))
+    each = stars.groupBy(F.col("i").alias("location")).agg(F.flatten(F.collect_list("local")).alias("s"))
+    total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
+    each = each.withColumn("_m", total(lambda x: x) / permutations)
+    each = each.withColumn("_s", F.sqrt(total(lambda x: (x - F.col("_m")) ** 2) / F.lit(permutations - 1 or None)))
     observed = local_moran(weights, values, value, key)
-    moments = stars.groupBy(F.col("i").alias("location")).agg(F.avg("local").alias("_m"), F.stddev_samp("local").alias("_s"))
-    joined = stars.select(F.col("i").alias("location"), "local").join(observed.join(moments, "location"), "location")
-    beyond = joined.groupBy("location").agg(F.sum((F.abs(F.col("local") - F.col("_m")) >= F.abs(F.col("local_I") - F.col("_m"))).cast("int")).alias("_c"))
-    local = observed.join(moments, "location", "left").join(beyond, "location", "left")
-    p = (F.col("_c") + 1) / F.lit(permutations + 1.0)
-    local = local.select("location", "local_I", ((F.col("local_I") - F.col("_m")) / F.col("_s")).alias("z_score"), p.alias("p_value"), cluster_label(F.col("residual_centered"), F.col("spatial_lag"), p, alpha).alias("cluster"), "residual", "residual_centered", "spatial_lag")
-    i_star = stars.groupBy("perm").agg((F.sum(F.col("local")) / F.lit(s0)).alias("I"))
+    local = observed.join(each, "location", "left")
+    beyond = F.size(F.filter("s", lambda x: F.abs(x - F.col("_m")) >= F.abs(F.col("local_I") - F.col("_m"))))
+    local = local.withColumn("p_value", F.when(F.col("s").isNotNull(), (beyond + 1) / F.lit(permutations + 1.0)))
+    cluster = cluster_label(F.col("residual_centered"), F.col("spatial_lag"), F.col("p_value"), alpha)
+    local = local.select("location", "local_I", ((F.col("local_I") - F.col("_m")) / F.col("_s")).alias("z_score"), "p_value", cluster.alias("cluster"), "residual", "residual_centered", "spatial_lag")
+    i_star = stars.select("block", F.posexplode("local").alias("p", "x")).groupBy("block", "p").agg((F.sum("x") / F.lit(s0)).alias("I"))
     now = moran(weights, values, value, key).select("n", "observed", "expected", "s0")
-    sums = i_star.crossJoin(F.broadcast(now)).agg(F.first("n").alias("n"), F.first("observed").alias("observed"), F.first("expected").alias("expected"), F.avg("I").alias("permutation_mean"), F.stddev_samp("I").alias("permutation_sd"), ((F.sum((F.abs(F.col("I") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected"))).cast("int")) + 1) / F.lit(permutations + 1.0)).alias("p_value"))
-    return sums.withColumn("z_score", (F.col("observed") - F.col("permutation_mean")) / F.col("permutation_sd")), local
+    far = F.abs(F.col("I") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected"))
+    out = i_star.crossJoin(F.broadcast(now)).agg(F.first("n").alias("n"), F.first("observed").alias("observed"), F.first("expected").alias("expected"), F.avg("I").alias("permutation_mean"), F.stddev_samp("I").alias("permutation_sd"), ((F.sum(far.cast("int")) + 1) / F.lit(permutations + 1.0)).alias("p_value"))
+    return out.withColumn("z_score", (F.col("observed") - F.col("permutation_mean")) / F.col("permutation_sd")), local
 
 
 # --- collinearity ---------------------------------------------------------

@@ -112,5 +112,5 @@ def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[fl
 
 def bivariate(cells: DataFrame, first: str = "value_1", second: str = "value_2", bins: int = 3) -> DataFrame:
     """Quantile bins of two values by average rank, and their class ``(b2 - 1) * bins + b1``."""
-    out = cells.withColumn("bin_1", rank_bin(first, bins, [])).withColumn("bin_2", rank_bin(second, bins, []))
+    out = rank_bin(rank_bin(cells, first, bins, [], "bin_1"), second, bins, [], "bin_2")
     return out.withColumn("class", (F.col("bin_2") - 1) * bins + F.col("bin_1"))

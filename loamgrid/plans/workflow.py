@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -15,6 +15,10 @@ from ..functions.ranking import p_adjust
 from ..functions.weights import weighted_edges
 from ..operators import local, neighbors, statistics
 from ..operators.solvers import Spec, lambda_path
+from . import selection
+from .selection import rank_candidates, refit, select, stepwise, subsets
+
+__all__ = ["Fit", "NotConverged", "best_lambda_nested", "bandwidth_search", "cross_validate", "fit", "global_fit", "ols", "path", "rank_candidates", "refit", "report", "require_converged", "select", "spatial_folds", "spec_of", "stepwise", "subsets", "with_lambda"]
 
 #: Presets of the named penalties: model, alpha (None: the caller's).
 PENALTIES = {"gwr": ("gwr", 1.0), "scaled_lasso": ("scaled_lasso", None), "lasso": ("lasso", 1.0), "ridge": ("ridge", 0.0), "elastic_net": ("en", None), "scad": ("scad", 1.0), "mcp": ("mcp", 1.0), "lad": ("lad", None)}
@@ -172,28 +176,33 @@ def path(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, penal
     return local.fit_path(hoods, spec, lambdas, centre, scale)
 
 
+def fold_neighbourhoods(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, fold: str, key: str = "id") -> Iterator[tuple[object, DataFrame, DataFrame, np.ndarray, np.ndarray]]:
+    """For each fold: its rows, their neighbourhoods of k training rows, and the training rows' centre and scale."""
+    sizes = dict(data.groupBy(fold).count().orderBy(fold).collect())  # a row per fold
+    if len(sizes) < 2:
+        raise ValueError("at least two folds are needed")
+    total = sum(sizes.values())
+    for f, n in sizes.items():
+        train, test = data.filter(F.col(fold) != f), data.filter(F.col(fold) == f)
+        if total - n < k:
+            raise ValueError(f"fold {f} leaves fewer than {k} rows")
+        centre, scale = local.standardisation(train, x)
+        edges = neighbors.knn(train, k, coords, key, test)
+        yield f, test, local.neighbourhoods(edges, local.standardised(train, x, centre, scale), y, x, key), centre, scale
+
+
 def cross_validate(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, fold: str, lambdas: list[float], penalty: str = "lasso", ds: tuple[float, ...] = (0.0,), key: str = "id", **options) -> tuple[DataFrame, DataFrame]:
     """Spatial cross-validation: (scores per d and lambda, scores per fold).
 
     Each fold is standardised and searched on its training rows alone; errors
     are pooled over folds.  The best row is ``ranking.argmin(scores, 'rmse', 'lambda_idx')``.
     """
-    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
-    if len(folds) < 2:
-        raise ValueError("at least two folds are needed")
     parts = []
-    for f in folds:
-        train, test = data.filter(F.col(fold) != f).persist(), data.filter(F.col(fold) == f)
-        if train.count() < k:
-            raise ValueError(f"fold {f} leaves fewer than {k} rows")
-        centre, scale = local.standardisation(train, x)
-        edges = neighbors.knn(train, k, coords, key, test)
-        hoods = local.neighbourhoods(edges, local.standardised(train, x, centre, scale), y, x, key).persist()
+    for f, test, hoods, centre, scale in fold_neighbourhoods(data, y, x, coords, k, fold, key):
         at = local.standardised(test, x, centre, scale)
+        seen = test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("_y"))
         for d in ds:
-            spec = spec_of(penalty, 1.0, d=d, **options)
-            got = local.fit_path(hoods, spec, np.asarray(lambdas, float), centre, scale, at, x, key)
-            seen = test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("_y"))
+            got = local.fit_path(hoods, spec_of(penalty, 1.0, d=d, **options), np.asarray(lambdas, float), centre, scale, at, x, key)
             parts.append(got.join(seen, "target_id").select(F.lit(f).cast(data.schema[fold].dataType).alias("fold"), F.lit(float(d)).alias("d"), "lambda_idx", "lambda", (F.col("fitted") - F.col("_y")).alias("e"), "converged"))
     rows = parts[0]
     for p in parts[1:]:
@@ -216,80 +225,29 @@ def spatial_folds(data: DataFrame, coords: list[str], k: int = 5, seed: int = 1)
 
 
 def bandwidth_search(data: DataFrame, y: str, x: list[str], coords: list[str], fold: str, ks: list[int], key: str = "id", **options) -> DataFrame:
-    """GWR cross-validation scores by number of neighbours; the best is the least RMSE, then the smaller k."""
-    out = None
-    for k in ks:
-        s, _ = cross_validate(data, y, x, coords, k, fold, [0.0], "gwr", key=key, **options)
-        s = s.select(F.lit(k).alias("k"), "rmse", "mae")
-        out = s if out is None else out.unionByName(s)
-    return out.orderBy("rmse", "k")
-
+    """GWR cross-validation scores by number of neighbours; the best is the least RMSE, then the smaller k.
 
-def ols(data: DataFrame, y: str, x: list[str]) -> dict:
-    """Global least squares from one aggregate of cross-products."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
-    yy = F.col(y).cast("double")
-    p = len(cols)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    row = data.agg(F.count(F.lit(1)), F.sum(yy * yy), F.var_pop(yy), *[F.sum(cols[i] * cols[j]) for i, j in pairs], *[F.sum(c * yy) for c in cols]).first()
-    n, g = row[0], np.zeros((p, p))
-    for (i, j), v in zip(pairs, row[3:]):
-        g[i, j] = g[j, i] = v
-    s = np.array(row[3 + len(pairs) :], float)
-    beta = np.linalg.lstsq(g, s, rcond=None)[0]
-    rss = float(row[1] - 2 * beta @ s + beta @ g @ beta)
-    deviance = n * (np.log(max(rss, 1e-308) / n) + np.log(2 * np.pi) + 1)
-    tr = float(np.linalg.matrix_rank(g))
-    aicc = deviance + 2 * n * (tr + 1) / (n - tr - 2) if n - tr - 2 > 0 else np.inf
-    scalars = {"rss": rss, "r_squared": 1 - rss / (n * row[2]) if row[2] > 0 else np.nan, "trS": tr, "aic": deviance + 2 * (tr + 1), "aicc": aicc, "bic": deviance + np.log(n) * (tr + 1), "gcv": rss / n / (1 - tr / n) ** 2}
-    return {"coefficients": dict(zip(["(Intercept)", *x], beta.tolist())), "n": n} | {k: float(v) for k, v in scalars.items()}
-
-
-def subsets(optional: list[str], required: list[str] = (), cap: int = 1000) -> list[list[str]]:
-    """All non-empty term subsets that hold the required terms, an interaction ``a:b`` only with both its parts."""
-    out = []
-    for r in range(len(optional) + 1):
-        for extra in itertools.combinations(optional, r):
-            terms = [*required, *extra]
-            if terms and all(part in terms for t in terms if ":" in t for part in t.split(":")):
-                out.append(terms)
-    if len(out) > cap:
-        raise ValueError(f"{len(out)} subsets; at most {cap} are allowed")
-    return out
-
-
-def select(data: DataFrame, y: str, terms: list[str], coords: list[str], kernels: list[str], ks: list[int], criterion: str = "aicc", required: list[str] = (), key: str = "id", dry_run: bool = False) -> DataFrame | list[dict]:
-    """Exhaustive search over predictors, kernels and neighbours; one ranked row per candidate.
-
-    The neighbours are searched once at the largest k and reused by prefix.
+    Each fold is searched once, at the largest k, and all k go through one pass over it.
     """
-    grid = [{"terms": s, "kernel": w, "k": k} for s in subsets(terms, required) for w in kernels for k in ks if k >= len(s) + 2]
-    if dry_run:
-        return grid
-    edges = neighbors.knn(data, max(ks), coords, key).persist()
-    parts = []
-    for i, c in enumerate(grid):
-        f = fit(data, y, c["terms"], coords, c["k"], "gwr", key, edges=edges, kernel=c["kernel"])
-        ok = f.local.agg(F.bool_and(F.col("converged") & (F.col("solver") == "direct_solve") & (F.col("local_rank") == len(c["terms"]))).alias("eligible"), F.min("local_rank").alias("min_rank"))
-        d = f.diagnostics().crossJoin(ok)
-        parts.append(d.select(F.lit(i).alias("candidate_id"), F.lit("+".join(c["terms"])).alias("terms"), F.lit(len(c["terms"])).alias("n_terms"), F.lit("gwr").alias("family"), F.lit(c["kernel"]).alias("kernel"), F.lit(c["k"]).alias("k"), "aic", "aicc", "bic", "gcv", "loo_cv", "rss", "trS", "trStS", "edf", "r_squared", "min_rank", (F.col("eligible") & (F.col("edf") > 0)).alias("eligible")))
+    spec, parts = spec_of("gwr", **options), []
+    for _, test, hoods, centre, scale in fold_neighbourhoods(data, y, x, coords, max(ks), fold, key):
+        got = local.predict_at(hoods, spec, ks, local.standardised(test, x, centre, scale), x, key)
+        seen = test.select(F.col(key).alias("target_id"), F.col(y).cast("double").alias("_y"))
+        parts.append(got.join(seen, "target_id").select("k", (F.col("fitted") - F.col("_y")).alias("e")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    for i, s in enumerate(subsets(terms, required)):
-        o = ols(data, y, s)
-        base = data.sparkSession.createDataFrame([(len(grid) + i, "+".join(s), len(s), "ols", o["aic"], o["aicc"], o["bic"], o["gcv"], o["rss"], o["trS"], o["r_squared"])], "candidate_id int, terms string, n_terms int, family string, aic double, aicc double, bic double, gcv double, rss double, trS double, r_squared double")
-        rows = rows.unionByName(base.withColumn("eligible", F.lit(True)), allowMissingColumns=True)
-    return rank_candidates(rows, criterion)
-
+    e = F.col("e")
+    return rows.groupBy("k").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).orderBy("rmse", "k")
 
-def rank_candidates(rows: DataFrame, criterion: str = "aicc") -> DataFrame:
-    """Rank of eligible candidates and distance to the best: criterion, fewer terms, OLS first, more neighbours, kernel, terms, id."""
-    from pyspark.sql.window import Window
 
-    order = Window.partitionBy("eligible").orderBy(F.col(criterion), "n_terms", F.when(F.col("family") == "ols", 0).otherwise(1), F.desc("k"), "kernel", "terms", "candidate_id")
-    best = F.first(criterion).over(order)
-    return rows.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(order))).withColumn("delta", F.when(F.col("eligible"), F.col(criterion) - best))
+def ols(data: DataFrame, y: str, x: list[str]) -> dict:
+    """Global least squares: coefficients and the scalars of its smoother."""
+    m = selection.global_moments(data, y, x)
+    beta, _, rank = m.solve(x)
+    d = statistics.smoother_diagnostics(selection.evaluate_global(data, y, m, [(0, x)], None)).first()
+    scalars = {k: float(d[k]) for k in ("rss", "r_squared", "trS", "edf", "aic", "aicc", "bic", "gcv", "loo_cv")}
+    return {"coefficients": dict(zip(["(Intercept)", *x], [m.level - float(beta @ m.centre), *beta.tolist()])), "n": m.n, "rank": rank + 1} | scalars
 
 
 def report(f: Fit) -> dict:
@@ -323,47 +281,6 @@ def best_lambda_nested(data: DataFrame, y: str, x: list[str], coords: list[str],
     return out
 
 
-def stepwise(data: DataFrame, y: str, terms: list[str], coords: list[str], kernels: list[str], ks: list[int], criterion: str = "aicc", required: list[str] = (), key: str = "id", max_models: int = 50_000) -> DataFrame:
-    """Search by adding and dropping single terms from the best model so far, until no neighbour is unvisited.
-
-    Starts from the full set, the required terms, and these with one more.
-    ``complete`` says whether no neighbour is left, and ``reason`` why the
-    search ended before that: ``max_models`` subsets, or no eligible model to
-    go on from.
-    """
-    seen: set[tuple[str, ...]] = set()
-    best: tuple[float, tuple[str, ...]] | None = None
-    order = lambda s: tuple(t for t in [*required, *[t for t in terms if t not in required]] if t in s)
-    legal = lambda s: s and all(p in s for t in s if ":" in t for p in t.split(":"))
-    frontier = {order({*required, *terms}), order(set(required)), *[order({*required, t}) for t in terms]}
-    rows: list[tuple] = []
-    reason = schema = None
-    while frontier := {s for s in frontier if legal(s) and s not in seen}:
-        for s in sorted(frontier):
-            if len(seen) >= max_models:
-                reason = "max_models"
-                break
-            got = select(data, y, list(s), coords, kernels, ks, criterion, required=list(s), key=key)
-            seen.add(s)
-            got = got.drop("rank", "delta").withColumn("subset", F.lit("+".join(s)))
-            schema, own = got.schema, got.collect()
-            rows += own
-            values = [r[criterion] for r in own if r["eligible"] and r["family"] == "gwr" and r[criterion] is not None and not np.isnan(r[criterion])]
-            if values and (best is None or (min(values), s) < best):
-                best = (min(values), s)
-        if reason or best is None:
-            reason = reason or "no eligible model"
-            break
-        centre = set(best[1])
-        frontier = {order(centre | {t}) for t in terms} | {order(centre - {t}) for t in centre if t not in required}
-    if schema is None:
-        raise ValueError("no model was searched")
-    for f in schema.fields:
-        f.nullable = True
-    out = data.sparkSession.createDataFrame(rows, schema).withColumn("complete", F.lit(reason is None)).withColumn("reason", F.lit(reason).cast("string"))
-    return rank_candidates(out.withColumn("candidate_id", F.xxhash64("subset", "family", "kernel", "k")), criterion)
-
-
 def global_fit(data: DataFrame, y: str, x: list[str], penalty: str = "lasso", **options) -> dict:
     """One penalised model for all rows: moments by a single aggregate, then the local solvers on them."""
     from ..operators import solvers

@@ -356,9 +356,18 @@ def local_moran(spark, sf_dir):
     return m.select(F.col("location").alias("id"), r6("local_I").alias("local_i"), r6("spatial_lag").alias("spatial_lag"))
 
 
-@query()
+@query(f"""{MORAN}, perms AS (SELECT unnest(range(0, 50)) AS perm), m2 AS (SELECT avg(z*z) AS m2 FROM z),
+sl AS (SELECT perm, id, z, row_number() OVER (PARTITION BY perm ORDER BY md5('1:' || perm || ':' || id), id) AS slot FROM z, perms),
+zp AS (SELECT a.perm, b.id AS i, a.z FROM sl a JOIN sl b ON b.perm = 0 AND b.slot = a.slot WHERE a.perm > 0),
+lg AS (SELECT zp.perm, wt.i, sum(v*zp.z) AS lag FROM wt JOIN zp ON zp.i = wt.j GROUP BY zp.perm, wt.i),
+st AS (SELECT lg.i, zp.z*lag/m2 AS s FROM lg JOIN zp ON zp.perm = lg.perm AND zp.i = lg.i, m2),
+mo AS (SELECT i, avg(s) AS m, stddev_samp(s) AS d FROM st GROUP BY i),
+ob AS (SELECT a.id, any_value(a.z) AS z, sum(v*b.z) AS lag FROM z a JOIN wt ON wt.i = a.id JOIN z b ON b.id = wt.j GROUP BY a.id),
+pv AS (SELECT ob.id, any_value(ob.z) AS z, any_value(lag) AS lag, any_value(ob.z*lag/m2) AS li, any_value(m) AS m, any_value(d) AS d, (count(*) FILTER (WHERE abs(s-m) >= abs(ob.z*lag/m2-m)) + 1) / 50::DOUBLE AS p FROM ob JOIN mo ON mo.i = ob.id JOIN st ON st.i = ob.id, m2 GROUP BY ob.id)
+SELECT id, round(li, 6) + 0.0 AS local_i, round((li-m)/d, 4) + 0.0 AS z_score, round(p, 6) AS p_value, CASE WHEN p > 0.05 THEN 'Not Significant' WHEN z > 0 AND lag > 0 THEN 'High-High' WHEN z < 0 AND lag < 0 THEN 'Low-Low' WHEN z > 0 AND lag < 0 THEN 'High-Low' WHEN z < 0 AND lag > 0 THEN 'Low-High' ELSE 'Not Significant' END AS cluster FROM pv""")
 def moran_permutations(spark, sf_dir):
-    return statistics.permutation_moran(*_moran_input(spark, sf_dir), permutations=49)[1]
+    found = statistics.permutation_moran(*_moran_input(spark, sf_dir), permutations=49)[1]
+    return found.select(F.col("location").alias("id"), r6("local_I").alias("local_i"), (F.round("z_score", 4) + F.lit(0.0)).alias("z_score"), r6("p_value").alias("p_value"), "cluster")
 
 
 @query(f"WITH {PTS}, a AS (SELECT id, cx-0.5 AS z, cy-0.5 AS lag, x2/5 AS p FROM pts) SELECT id, CASE WHEN p > 0.05 THEN 'Not Significant' WHEN z > 0 AND lag > 0 THEN 'High-High' WHEN z < 0 AND lag < 0 THEN 'Low-Low' WHEN z > 0 AND lag < 0 THEN 'High-Low' WHEN z < 0 AND lag > 0 THEN 'Low-High' ELSE 'Not Significant' END AS cluster FROM a")
@@ -373,6 +382,27 @@ def global_least_squares(spark, sf_dir):
     return spark.range(1).select(*[F.round(F.lit(float(v)), 4).alias(n) for n, v in zip(("beta0", "beta1", "beta2", "r_squared"), [*c.values(), o["r_squared"]])])
 
 
+@query(f"""{base_sql()}, {linear_sql()}, n AS (SELECT count(*)::DOUBLE AS n, corr(z1, z2) AS r, avg(y) AS my, avg(z1*y) AS q1, avg(z2*y) AS q2 FROM zp),
+sm AS (SELECT e.target_id AS i, e.source_id AS j, wn*((g22*(z1-f.m1)-g12*(z2-f.m2))/det) AS c1, wn*((g11*(z2-f.m2)-g12*(z1-f.m1))/det) AS c2, wn, f.m1, f.m2, o1, o2 FROM ez e JOIN ff f USING (target_id)),
+st AS (SELECT i, j, wn + (o1-m1)*c1 + (o2-m2)*c2 AS s, c1/d1 AS b1, c2/d2 AS b2, wn - (m1+c1_/d1)*c1 - (m2+c2_/d2)*c2 AS b0 FROM sm, (SELECT c1 AS c1_, d1, c2 AS c2_, d2 FROM sd)),
+ls AS (SELECT i, j, (CASE WHEN i = j THEN 1 ELSE 0 END) - s AS s FROM st),
+en AS (SELECT 'F' AS v, i, j, s AS x FROM ls UNION ALL SELECT '(Intercept)', i, j, b0 FROM st UNION ALL SELECT 'x1', i, j, b1 FROM st UNION ALL SELECT 'x2', i, j, b2 FROM st),
+pr AS (SELECT a.v, a.j, b.j AS k, sum(a.x*b.x) AS q FROM en a JOIN en b ON a.v = b.v AND a.i = b.i GROUP BY a.v, a.j, b.j),
+sq AS (SELECT v, sum(q*q) AS sq FROM pr GROUP BY v), one AS (SELECT v, sum(x*x) AS one FROM en GROUP BY v),
+cs AS (SELECT v, j, sum(x) AS a FROM en GROUP BY v, j), aa AS (SELECT v, sum(a*a) AS aa FROM cs GROUP BY v),
+ca AS (SELECT v, sum(x*x) AS ca FROM (SELECT en.v, i, sum(x*a) AS x FROM en JOIN cs ON cs.v = en.v AND cs.j = en.j GROUP BY en.v, i) GROUP BY v),
+du AS (SELECT i, sum(s) AS u0, sum(s*z1) AS u1, sum(s*z2) AS u2 FROM ls JOIN zp ON zp.id = j GROUP BY i),
+qh AS (SELECT sum(u0*u0/n + (u1*u1 - 2*r*u1*u2 + u2*u2)/(n*(1-r*r))) AS qh FROM du, n),
+r1 AS (SELECT sum(pow(y-fitted, 2)) AS rss1, var_pop(beta0) AS v0, var_pop(beta1) AS v1, var_pop(beta2) AS v2 FROM ff),
+r0 AS (SELECT sum(pow(y - my - (q1-r*q2)/(1-r*r)*z1 - (q2-r*q1)/(1-r*r)*z2, 2)) AS rss0 FROM zp, n),
+g AS (SELECT one AS delta1, sq AS delta2, qh, rss0, rss1, n-3 AS df0, v0, v1, v2, n FROM one JOIN sq USING (v), qh, r0, r1, n WHERE v = 'F'),
+f3 AS (SELECT one.v, (one - aa/n)/n AS g1, (sq - 2*ca/n + aa*aa/(n*n))/(n*n) AS g2, CASE one.v WHEN '(Intercept)' THEN v0 WHEN 'x1' THEN v1 ELSE v2 END AS spread, rss1/delta1 AS sigma2, delta1*delta1/delta2 AS d1 FROM one JOIN sq USING (v) JOIN aa USING (v) JOIN ca USING (v), g WHERE one.v <> 'F'),
+al AS (SELECT 'F1' AS test, (rss1/delta1)/(rss0/df0) AS statistic, delta1*delta1/delta2 AS df1, df0 AS df2 FROM g UNION ALL SELECT 'F2', ((rss0-rss1)/(df0-delta1))/(rss0/df0), pow(df0-delta1, 2)/(df0-2*(delta1-qh)+delta2), df0 FROM g UNION ALL SELECT 'F3 ' || v, spread/g1/sigma2, g1*g1/g2, d1 FROM f3)
+SELECT test, round(statistic, 5) AS statistic, round(df1, 4) AS df1, round(df2, 4) AS df2 FROM al""")
+def f_statistics(spark, sf_dir):
+    return f_tests(spark, sf_dir).select("test", F.round("statistic", 5).alias("statistic"), F.round("df1", 4).alias("df1"), F.round("df2", 4).alias("df2"))
+
+
 @query()
 def f_tests(spark, sf_dir):
     a, b = advanced.f_tests(_fit(spark, sf_dir))
@@ -380,6 +410,16 @@ def f_tests(spark, sf_dir):
     return spark.createDataFrame(rows, "test string, statistic double, df1 double, df2 double, p_value double")
 
 
+@query(f"""{base_sql()}, {linear_sql()}, {HAT}, vr AS (SELECT sum(pow(y-fitted, 2))/(count(*) - 2*sum(h) + sum(s2)) AS sigma2 FROM ff JOIN sm USING (target_id)),
+mp AS (SELECT e.target_id, wn*(g22*(z1-f.m1)-g12*(z2-f.m2))/det AS a1, wn*(g11*(z2-f.m2)-g12*(z1-f.m1))/det AS a2, wn, f.m1, f.m2, beta0, beta1, beta2 FROM ez e JOIN ff f USING (target_id)),
+va AS (SELECT target_id, any_value(beta0) AS beta0, any_value(beta1) AS beta1, any_value(beta2) AS beta2, sum(pow(wn - (m1+c1/d1)*a1 - (m2+c2/d2)*a2, 2)) AS v0, sum(a1*a1)/any_value(d1*d1) AS v1, sum(a2*a2)/any_value(d2*d2) AS v2 FROM mp, sd GROUP BY target_id),
+al AS (SELECT target_id, '(Intercept)' AS coefficient, beta0 AS b, v0 AS v FROM va UNION ALL SELECT target_id, 'x1', beta1, v1 FROM va UNION ALL SELECT target_id, 'x2', beta2, v2 FROM va)
+SELECT target_id AS location, coefficient, round(b, 6) + 0.0 AS estimate, round(sqrt(v*sigma2), 6) AS standard_error, round(b/sqrt(v*sigma2), 4) + 0.0 AS statistic FROM al, vr""")
+def local_t_statistics(spark, sf_dir):
+    i = _fit(spark, sf_dir, diagnostics="full").inference()
+    return i.select("location", "coefficient", r6("estimate").alias("estimate"), r6("standard_error").alias("standard_error"), (F.round("statistic", 4) + F.lit(0.0)).alias("statistic"))
+
+
 @query()
 def local_inference(spark, sf_dir):
     return _fit(spark, sf_dir, diagnostics="full").inference()
@@ -441,14 +481,41 @@ def fold_results(spark, sf_dir):
     return s.select("fold", "lambda_idx", r6("rmse").alias("rmse"))
 
 
-@query()
+@query(f"""WITH {PTS}, nn AS (SELECT * FROM (SELECT t.id AS target_id, s.id AS source_id, {DIST} AS dist, row_number() OVER (PARTITION BY t.id ORDER BY {DIST}, s.id) AS r FROM pts t JOIN pts s ON t.id % 3 <> s.id % 3) WHERE r <= 40),
+ks AS (SELECT unnest([15, 25, 40])::INTEGER AS k), e AS (SELECT k, target_id, source_id, dist / (max(dist) OVER (PARTITION BY k, target_id) * (1 + 1e-10)) AS u FROM nn JOIN ks ON r <= k),
+w AS (SELECT k, target_id, x1, x2, y, CASE WHEN u < 1 THEN pow(1-u*u, 2) ELSE 0 END AS w FROM e JOIN pts ON id = source_id),
+m AS (SELECT k, target_id, sum(w) AS tw, sum(w*x1)/sum(w) AS m1, sum(w*x2)/sum(w) AS m2, sum(w*y)/sum(w) AS my FROM w GROUP BY k, target_id),
+g AS (SELECT k, target_id, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum(w/tw*(x1-m1)*(x1-m1)) AS g11, sum(w/tw*(x1-m1)*(x2-m2)) AS g12, sum(w/tw*(x2-m2)*(x2-m2)) AS g22, sum(w/tw*(x1-m1)*(y-my)) AS s1, sum(w/tw*(x2-m2)*(y-my)) AS s2 FROM w JOIN m USING (k, target_id) GROUP BY k, target_id),
+er AS (SELECT k, my + (g22*s1-g12*s2)/(g11*g22-g12*g12)*(x1-m1) + (g11*s2-g12*s1)/(g11*g22-g12*g12)*(x2-m2) - y AS e FROM g JOIN pts ON id = target_id)
+SELECT k, round(sqrt(avg(e*e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM er GROUP BY k""")
 def bandwidth_search(spark, sf_dir):
-    return workflow.bandwidth_search(points(spark, sf_dir).withColumn("fold", F.col("id") % 3), "y", ["x1", "x2"], XY, "fold", [15, 25, 40])
-
-
-@query()
+    found = workflow.bandwidth_search(points(spark, sf_dir).withColumn("fold", F.col("id") % 3), "y", ["x1", "x2"], XY, "fold", [15, 25, 40])
+    return found.select("k", r6("rmse").alias("rmse"), r6("mae").alias("mae"))
+
+
+CANDIDATES = f"""WITH {PTS}, {STD}, {knn_sql(30)}, ks AS (SELECT unnest([20, 30])::INTEGER AS k), kern AS (SELECT unnest(['bisquare', 'gaussian']) AS kernel),
+subs AS (SELECT * FROM (VALUES ('x1', 1, 1, 0), ('x2', 1, 0, 1), ('x1+x2', 2, 1, 1)) v(terms, n_terms, u1, u2)),
+ed AS (SELECT k, target_id, source_id, dist / (max(dist) OVER (PARTITION BY k, target_id) * (1 + 1e-10)) AS u FROM knn JOIN ks ON rank < k),
+wa AS (SELECT k, kernel, target_id, source_id, z1, z2, y, CASE WHEN kernel = 'gaussian' THEN exp(-0.5*u*u) WHEN u < 1 THEN pow(1-u*u, 2) ELSE 0 END AS w FROM ed JOIN zp ON zp.id = source_id, kern),
+wn AS (SELECT *, w / sum(w) OVER (PARTITION BY k, kernel, target_id) AS wn FROM wa),
+ma AS (SELECT k, kernel, target_id, sum(wn*z1) AS m1, sum(wn*z2) AS m2, sum(wn*y) AS my FROM wn GROUP BY k, kernel, target_id),
+ga AS (SELECT k, kernel, target_id, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum(wn*(z1-m1)*(z1-m1)) AS g11, sum(wn*(z1-m1)*(z2-m2)) AS g12, sum(wn*(z2-m2)*(z2-m2)) AS g22, sum(wn*(z1-m1)*(y-my)) AS s1, sum(wn*(z2-m2)*(y-my)) AS s2 FROM wn JOIN ma USING (k, kernel, target_id) GROUP BY k, kernel, target_id),
+ia AS (SELECT *, CASE WHEN u1+u2 = 2 THEN g22/(g11*g22-g12*g12) WHEN u1 = 1 THEN 1/g11 ELSE 0 END AS i11, CASE WHEN u1+u2 = 2 THEN -g12/(g11*g22-g12*g12) ELSE 0 END AS i12, CASE WHEN u1+u2 = 2 THEN g11/(g11*g22-g12*g12) WHEN u2 = 1 THEN 1/g22 ELSE 0 END AS i22 FROM ga, subs),
+ta AS (SELECT k, kernel, terms, n_terms, target_id, m1, m2, my, s1, s2, o.y AS oy, i11*(o.z1-m1)+i12*(o.z2-m2) AS a1, i12*(o.z1-m1)+i22*(o.z2-m2) AS a2 FROM ia JOIN zp o ON o.id = target_id),
+ra AS (SELECT ta.k, ta.kernel, terms, n_terms, target_id, any_value(oy) AS y, any_value(my+a1*s1+a2*s2) AS f, sum(pow(wn*(1+a1*(z1-m1)+a2*(z2-m2)), 2)) AS s2, sum(CASE WHEN source_id = target_id THEN wn*(1+a1*(z1-m1)+a2*(z2-m2)) ELSE 0 END) AS h FROM ta JOIN wn USING (k, kernel, target_id) GROUP BY ta.k, ta.kernel, terms, n_terms, target_id),
+og AS (SELECT count(*) AS n, avg(z1*z2) AS r, avg(z1*y) AS s1, avg(z2*y) AS s2, avg(y) AS my FROM zp),
+ot AS (SELECT * FROM subs UNION ALL SELECT '1', 0, 0, 0),
+ob AS (SELECT NULL::INTEGER AS k, NULL::VARCHAR AS kernel, terms, n_terms, id AS target_id, y, my, s1, s2, n, z1, z2, CASE WHEN u1+u2 = 2 THEN (z1-r*z2)/(1-r*r) WHEN u1 = 1 THEN z1 ELSE 0 END AS a1, CASE WHEN u1+u2 = 2 THEN (z2-r*z1)/(1-r*r) WHEN u2 = 1 THEN z2 ELSE 0 END AS a2 FROM zp, og, ot),
+al AS (SELECT k, kernel, terms, n_terms, 'gwr' AS family, y, f, s2, h FROM ra UNION ALL SELECT k, kernel, terms, n_terms, 'ols', y, my+a1*s1+a2*s2, (1+a1*z1+a2*z2)/n, (1+a1*z1+a2*z2)/n FROM ob),
+cr AS (SELECT k, kernel, terms, n_terms, family, count(*)::DOUBLE AS n, sum(pow(y-f, 2)) AS rss, sum(h) AS trS, sum(s2) AS trStS, sum(pow((y-f)/(1-h), 2)) AS loo_cv, max(h) AS max_leverage FROM al GROUP BY k, kernel, terms, n_terms, family),
+ca AS (SELECT *, n*(ln(rss/n)+ln(2*pi())+1) + 2*n*(trS+1)/(n-trS-2) AS aicc FROM cr)"""
+
+
+@query(f"{CANDIDATES} SELECT terms, family, kernel, k, round(aicc, 4) AS aicc, round(loo_cv, 4) AS loo_cv, round(trS, 4) AS trS, round(trStS, 4) AS trStS, round(max_leverage, 6) AS max_leverage, row_number() OVER (ORDER BY aicc)::INTEGER AS rank, round(aicc - min(aicc) OVER (), 4) + 0.0 AS delta FROM ca")
 def model_selection(spark, sf_dir):
-    return workflow.select(points(spark, sf_dir), "y", ["x1", "x2"], XY, ["bisquare", "gaussian"], [20, 30])
+    found = workflow.select(points(spark, sf_dir), "y", ["x1", "x2"], XY, ["bisquare", "gaussian"], [20, 30])
+    r4 = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("aicc", "loo_cv", "trS", "trStS", "delta")]
+    return found.select("terms", "family", "kernel", "k", *r4, r6("max_leverage").alias("max_leverage"), "rank")
 
 
 @query("""SELECT id AS candidate_id, row_number() OVER (ORDER BY crit, n_terms, CASE WHEN family = 'ols' THEN 0 ELSE 1 END, k DESC, kernel, terms, id)::INTEGER AS rank, round(crit - min(crit) OVER (), 6) AS delta FROM
@@ -480,7 +547,7 @@ _adjust("bonferroni", "least(1, p*n)")
 
 @query("WITH a AS (SELECT p_partkey AS id, p_brand AS g, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1)/2.0 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT id, least(greatest(ceil(r/n*4), 1), 4)::INTEGER AS bin FROM a")
 def rank_bins(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ranking.rank_bin("p_size", 4, ["p_brand"]).alias("bin"))
+    return ranking.rank_bin(table(spark, sf_dir, "part"), "p_size", 4, ["p_brand"]).select(F.col("p_partkey").alias("id"), "bin")
 
 
 # --- surfaces and summaries -----------------------------------------------

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from loamgrid import api
 from loamgrid.functions import formula
-from loamgrid.operators import solvers, surfaces
+from loamgrid.operators import neighbors, solvers, statistics, surfaces
 from loamgrid.operators.solvers import Spec
-from loamgrid.plans import workflow
+from loamgrid.plans import selection, workflow
 
 
 @pytest.fixture(scope="module")
@@ -91,17 +91,76 @@ def test_subsets_keep_hierarchy():
         workflow.subsets([str(i) for i in range(12)])
 
 
-def test_stepwise_goes_on_until_no_neighbour_is_left(spark, points, monkeypatch):
+def test_stepwise_goes_on_until_no_neighbour_is_left(points, monkeypatch):
     terms = [f"t{k:02d}" for k in range(26)]
-    wanted = set(terms[:12])
+    wanted, data = set(terms[:12]), points
+    for t in terms:
+        data = data.withColumn(t, F.lit(1.0))
 
-    def scored(data, y, s, *args, **options):
-        return spark.sql(f"SELECT '{'+'.join(s)}' terms, {len(s)} n_terms, 'gwr' family, 'bisquare' kernel, 25 k, {len(wanted ^ set(s))}D aicc, true eligible, 0L candidate_id, 1 rank, 0D delta")
+    def scored(self, candidates):
+        blank = {f: None for f in ("rss tss rmse mae bias r_squared adjusted_r_squared trS trStS enp edf sigma2 deviance logLik model_df aic bic gcv loo_cv min_rank min_neff min_positive_weights max_leverage min_abs_loo_denominator max_condition_number max_vif moran_I moran_status n flags reason").split()}
+        return [blank | g | {"aicc": float(len(wanted ^ set(g["columns"]))), "eligible": True, "status": "eligible"} for g in candidates]
 
-    monkeypatch.setattr(workflow, "select", scored)
-    got = workflow.stepwise(points, "y", terms, ["cx", "cy"], ["bisquare"], [25]).collect()
+    monkeypatch.setattr(selection.Search, "evaluate", scored)
+    got = workflow.stepwise(data, "y", terms, ["cx", "cy"], ["bisquare"], [40], include_ols=False).collect()
     best = min(got, key=lambda r: r["rank"])
     assert len(got) > 200 and best["aicc"] == 0 and set(best["subset"].split("+")) == wanted
-    assert {(r["complete"], r["reason"]) for r in got} == {(True, None)}
-    cut = workflow.stepwise(points, "y", terms, ["cx", "cy"], ["bisquare"], [25], max_models=30).collect()
-    assert len(cut) == 30 and {(r["complete"], r["reason"]) for r in cut} == {(False, "max_models")}
+    assert {(r["complete"], r["search_reason"]) for r in got} == {(True, None)}
+    cut = workflow.stepwise(data, "y", terms, ["cx", "cy"], ["bisquare"], [40], include_ols=False, max_models=30).collect()
+    assert len(cut) <= 30 and {(r["complete"], r["search_reason"]) for r in cut} == {(False, "max_models")}
+
+
+def test_search_by_single_fits(points, tmp_path):
+    """One pass over all candidates against a fit each, resumed after a stop, and the winner again."""
+    xy, grid = ["cx", "cy"], {"kernels": ["bisquare", "gaussian"], "ks": [20, 35], "bandwidths": [0.4, 0.9]}
+    w = statistics.spatial_weights(neighbors.knn(points, 6, xy))
+    path = f"file://{tmp_path}/search"
+    cut = workflow.select(points, "y", ["a", "b"], xy, **grid, moran_weights=w, checkpoint=path, max_evaluations=9).collect()
+    assert len(cut) == 9 and {r["search_reason"] for r in cut} == {"max_evaluations"} and not any(r["complete"] for r in cut)
+    done = workflow.select(points, "y", ["a", "b"], xy, **grid, moran_weights=w, checkpoint=path)
+    whole = workflow.select(points, "y", ["a", "b"], xy, **grid, moran_weights=w)
+    key = lambda t: [(r["rank"], r["candidate_id"], round(r["aicc"], 9), r["flags"], round(r["moran_I"], 9)) for r in t.orderBy("rank", "candidate_id").collect()]
+    assert key(done) == key(whole) and len(key(whole)) == 1 + 3 + 3 * 2 * 4
+    with pytest.raises(ValueError):
+        workflow.select(points, "y", ["a"], xy, **grid, checkpoint=path)
+    for r in whole.filter("family = 'gwr'").collect():
+        fixed = r["bandwidth_type"] == "fixed"
+        f = workflow.fit(points, "y", r["terms"].split("+"), xy, r["k"], kernel=r["kernel"], bandwidth=r["bw"] if fixed else None)
+        d, local_ = f.diagnostics().first(), f.local.agg(F.min("local_rank"), F.max("leverage"), F.min("effective_sample_size"), F.min("positive_weights")).first()
+        for c in ("aicc", "loo_cv", "trS", "trStS", "rss"):
+            assert abs(d[c] - r[c]) <= 1e-8 * max(1, abs(d[c])) or d[c] == r[c], (r["candidate_id"], c)
+        assert (local_[0], local_[3]) == (r["min_rank"], r["min_positive_weights"]) and abs(local_[1] - r["max_leverage"]) < 1e-9 and abs(local_[2] - r["min_neff"]) < 1e-8
+    x = np.array([[1, r["a"], r["b"]] for r in points.orderBy("id").collect()])
+    y = np.array([r["y"] for r in points.orderBy("id").collect()])
+    o = {r["terms"]: r for r in whole.filter("family = 'ols'").collect()}
+    assert set(o) == {"1", "a", "b", "a+b"}
+    e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    hat = np.einsum("ij,jk,ik->i", x, np.linalg.inv(x.T @ x), x)
+    assert abs(o["a+b"]["rss"] - e @ e) < 1e-9 and abs(o["a+b"]["max_leverage"] - hat.max()) < 1e-10 and abs(o["a+b"]["loo_cv"] - ((e / (1 - hat)) ** 2).sum()) < 1e-8
+    assert abs(o["1"]["rss"] - ((y - y.mean()) ** 2).sum()) < 1e-9
+    best = workflow.refit(whole, points, "y", xy)
+    assert best.local.first()["map_ss"] is not None
+
+
+def test_search_grid(points):
+    plan = workflow.select(points, "y", ["a", "b"], ["cx", "cy"], ["bisquare"], None, dry_run=True)
+    assert len([g for g in plan if g["terms"] == "a"]) == 1 + 140 - 3 + 1 and [g["terms"] for g in plan][0] == "1"
+    auto = selection.auto_bandwidths(points, ["cx", "cy"])
+    xy = np.array([[r["cx"], r["cy"]] for r in points.collect()])
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    assert len(auto) == 30 and abs(auto[0] - d[d > 0].min()) < 1e-12 and abs(auto[-1] - 2 * d.max()) < 1e-9
+    got = workflow.select(points, "y", ["a"], ["cx", "cy"], ["bisquare"], [], bandwidths="auto").collect()
+    assert len(got) == 2 + 30
+    least = min((r for r in got if r["family"] == "gwr"), key=lambda r: r["bw"])
+    assert least["status"] == "invalid" and "rank_deficient_local_design" in least["reason"] and "grid_boundary" in least["flags"]
+    with pytest.raises(ValueError):
+        workflow.select(points, "y", ["a", "b"], ["cx", "cy"], ["bisquare"], [20], max_models=3)
+
+
+def test_least_squares_far_from_zero(spark):
+    df = spark.range(50).select((F.col("id") * 1.0 + 1e8).alias("x"), (2.0 * F.col("id") + 3e8 + F.sin("id")).alias("y"))
+    o = workflow.ols(df, "y", ["x"])
+    x, y = np.arange(50.0), 2 * np.arange(50.0) + np.sin(np.arange(50.0))
+    z = np.column_stack((np.ones(50), x))
+    e = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+    assert abs(o["rss"] - e @ e) < 1e-4 and o["rank"] == 2 and abs(o["trS"] - 2) < 1e-9
