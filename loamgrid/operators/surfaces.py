@@ -84,7 +84,7 @@ def convex_hull(points: DataFrame, x: str, y: str, grow: float = 1.02) -> list[t
     return [tuple(map(float, middle + grow * (p - middle))) for p in hull]
 
 
-def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[float, float]] | None = None, method: str = "gaussian", k: int = 200, extrapolation: float = 3.0) -> DataFrame:
+def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[float, float]] | None = None, method: str = "gaussian", k: int = 200, extrapolation: float = 3.0, layers: DataFrame | None = None) -> DataFrame:
     """``grid_id, x, y, inside_boundary, value_1 .., nearest_observation_distance, within_extrapolation, interpolation_valid``."""
     if not 25 <= resolution <= 1000:
         raise ValueError("resolution must be from 25 to 1000")
@@ -93,7 +93,11 @@ def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[fl
     src = tables[0]
     for t in tables[1:]:
         src = src.join(t.drop(cx, cy), "id")
-    src = statistics.merge_duplicates(src, [cx, cy], [f"value_{i + 1}" for i in range(len(names))]).withColumn("id", F.xxhash64(cx, cy)).persist()
+    more = [c for c in layers.columns if c != "id"] if layers is not None else []
+    if layers is not None:
+        src = src.join(layers, "id")
+    values = [*[f"value_{i + 1}" for i in range(len(names))], *more]
+    src = statistics.merge_duplicates(src, [cx, cy], values).withColumn("id", F.xxhash64(cx, cy)).persist()
     boundary = boundary or convex_hull(src, cx, cy)
     low, high = np.min(boundary, axis=0), np.max(boundary, axis=0)
     long = max(high - low)
@@ -103,13 +107,35 @@ def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[fl
     own = statistics.nearest_distances(neighbors.knn(src, min(n, 21), [cx, cy])).first()
     targets = cells.select(F.col("grid_id").alias("id"), F.col("x").alias(cx), F.col("y").alias(cy))
     e = neighbors.knn(src, min(n, k), [cx, cy], targets=targets)
-    values = [f"value_{i + 1}" for i in range(len(names))]
     s = statistics.interpolate(e, src, values, method, own["auto_bandwidth"] or own["typical_nn"])
     near = F.col("nearest_observation_distance") <= extrapolation * own["typical_nn"]
     out = cells.join(s.withColumnRenamed("target_id", "grid_id"), "grid_id").withColumn("within_extrapolation", near)
     return out.withColumn("interpolation_valid", F.col("inside_boundary") & F.col("within_extrapolation") & F.col(values[0]).isNotNull())
 
 
+def heatmap(fit, name: str, resolution: int = 50, significance: bool = False, threshold: float = 0.5, alpha: float = 0.05, adjust: str = "BH", estimator: str = "auto", **options) -> DataFrame:
+    """A variable's surface with its layers of selection and, for coefficients, significance.
+
+    ``selection_support`` and ``significance_support`` are interpolated shares
+    of selected and significant locations; a cell has the layer where they
+    reach ``threshold``.
+    """
+    layers = ["selected"]
+    v = resolve_variable(fit, name)
+    rows = variable(fit, name).withColumn("selected", F.col("selected").cast("double"))
+    if significance:
+        if v not in fit.names:
+            raise ValueError("only coefficients have tests")
+        tests = fit.inference(adjust=adjust, estimator=estimator, alpha=alpha).filter(F.col("coefficient") == v)
+        rows = rows.join(tests.select(F.col("location").alias("id"), F.coalesce(F.col("significant"), F.lit(False)).cast("double").alias("significant")), "id", "left")
+        layers.append("significant")
+    out = surface(fit, [name], resolution, layers=rows.select("id", *layers), **options)
+    for layer, support in (("selected", "selection_support"), ("significant", "significance_support")):
+        if layer in layers:
+            out = out.withColumnRenamed(layer, support).withColumn(layer, F.coalesce(F.col(support) >= threshold, F.lit(False)))
+    return out if significance else out.withColumn("significant", F.lit(True))
+
+
 def bivariate(cells: DataFrame, first: str = "value_1", second: str = "value_2", bins: int = 3) -> DataFrame:
     """Quantile bins of two values by average rank, and their class ``(b2 - 1) * bins + b1``."""
     out = rank_bin(rank_bin(cells, first, bins, [], "bin_1"), second, bins, [], "bin_2")

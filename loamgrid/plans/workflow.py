@@ -18,7 +18,7 @@ from ..operators.solvers import Spec, lambda_path
 from . import selection
 from .selection import rank_candidates, refit, select, stepwise, subsets
 
-__all__ = ["Fit", "NotConverged", "best_lambda_nested", "bandwidth_search", "cross_validate", "fit", "global_fit", "ols", "path", "rank_candidates", "refit", "report", "require_converged", "select", "spatial_folds", "spec_of", "stepwise", "subsets", "with_lambda"]
+__all__ = ["Fit", "NotConverged", "Tuned", "tune", "best_lambda_nested", "bandwidth_search", "cross_validate", "fit", "global_fit", "ols", "path", "rank_candidates", "refit", "report", "require_converged", "select", "spatial_folds", "spec_of", "stepwise", "subsets", "with_lambda"]
 
 #: Presets of the named penalties: model, alpha (None: the caller's).
 PENALTIES = {"gwr": ("gwr", 1.0), "scaled_lasso": ("scaled_lasso", None), "lasso": ("lasso", 1.0), "ridge": ("ridge", 0.0), "elastic_net": ("en", None), "scad": ("scad", 1.0), "mcp": ("mcp", 1.0), "lad": ("lad", None)}
@@ -71,7 +71,14 @@ class Fit:
         return obs.join(self.local.select("target_id", "fitted"), "target_id").withColumn("residual", F.col("y") - F.col("fitted"))
 
     def solver(self) -> DataFrame:
-        return self.local.select(F.col("target_id").alias("location"), "converged", "iterations", "solver", "weight_sum", "bandwidth", "objective", "max_kkt_violation")
+        return self.local.select(F.col("target_id").alias("location"), "converged", "iterations", "solver", "weight_sum", "bandwidth", "objective", "max_kkt_violation", *self._audit())
+
+    def _audit(self) -> list[str]:
+        if self.spec.model == "lad":
+            return ["primal_residual", "dual_residual"]
+        if self.spec.model not in ("scad", "mcp"):
+            return []
+        return ["max_coordinate_gap", "active_coordinates", *(["pair_accepted", "block_accepted", "block_checks"] if self.spec.guarded else [])]
 
     def diagnostics(self) -> DataFrame:
         """The global scalars, one row."""
@@ -79,10 +86,30 @@ class Fit:
             raise ValueError("information criteria aren't defined for absolute deviations")
         return statistics.smoother_diagnostics(self.local.withColumn("y", F.col("fitted") + F.col("residual")))
 
+    def validity(self) -> dict:
+        """What the smoother's scalars mean for this model; the strings are fixed values."""
+        model, lam, alpha = self.spec.model, self.spec.lam, self.spec.alpha
+        if model in ("scad", "mcp"):
+            row = self.local.agg(F.avg(F.col("locally_convex").cast("double")), F.sum("knots")).first()
+            note = (
+                "Trace, information-criterion, and coefficient-derivative quantities condition on the selected local stationary solution. Non-locally convex fits and "
+                "coefficients at penalty knots require additional caution; these are not exact post-selection inference."
+            )
+            return {"basis": "conditional local-stationary nonconvex smoother", "exact_linear": False, "conditional": True, "locally_convex_fraction": row[0], "penalty_knots": row[1], "information_criteria": True, "note": note}
+        linear = model == "ridge" or lam <= 0 or alpha <= 0
+        if lam <= 0:
+            basis, note = "classical GWR linear smoother", "Local coefficient tests remain exploratory because neighboring local fits are dependent."
+        elif linear:
+            basis, note = "exact linear penalized smoother", "Trace quantities are exact for the fitted linear smoother; penalized coefficient inference remains bias-aware and exploratory."
+        else:
+            basis, note = "conditional active-set smoother", "Degrees of freedom and information criteria condition on the selected local active sets; they are intended for model comparison, not exact post-selection inference."
+        return {"basis": basis, "exact_linear": linear, "conditional": not linear, "information_criteria": model != "lad", "note": note}
+
     def local_diagnostics(self) -> DataFrame:
         w = weighted_edges(self.edges, self.spec.kernel, self.spec.bandwidth)
         q = statistics.local_fit_quality(w, self.local.select(F.col("target_id").alias("id"), (F.col("fitted") + F.col("residual")).alias("y"), "fitted"))
-        cols = self.local.select("target_id", "leverage", "smoother_row_norm2", "condition_number", "local_rank", "solver")
+        more = ["locally_convex", "min_hessian", "knots"] if self.spec.model in ("scad", "mcp") else []
+        cols = self.local.select("target_id", "leverage", "smoother_row_norm2", "condition_number", "local_rank", "solver", *more)
         return cols.join(q, "target_id").withColumnRenamed("target_id", "location").withColumnRenamed("solver", "operator_solver")
 
     def summary(self) -> DataFrame:
@@ -133,12 +160,25 @@ class Fit:
 
     def inference_summary(self, **options) -> DataFrame:
         i = self.inference(**options)
-        return i.groupBy("coefficient").agg((100 * F.avg(F.col("selected").cast("double"))).alias("selected_percent"), (100 * F.avg(F.col("significant").cast("double"))).alias("significant_percent"), F.percentile(F.abs("statistic"), F.lit(0.5)).alias("median_abs_t"), F.min("p_adjusted").alias("min_adjusted_p"), F.count(F.lit(1)).alias("n"))
+        hit = F.col("significant").cast("double")
+        return i.groupBy("coefficient").agg(
+            (100 * F.avg(F.col("selected").cast("double"))).alias("selected_percent"), (100 * F.avg(hit)).alias("significant_percent"), F.percentile(F.abs("statistic"), F.lit(0.5)).alias("median_abs_t"), F.min("p_adjusted").alias("min_adjusted_p"),
+            F.count(F.lit(1)).alias("n"), F.count("p_value").alias("defined_tests"), F.count_if(F.col("selected")).alias("selected"), F.count_if(F.col("significant")).alias("significant"),
+        )
+
+
+def check_response(data: DataFrame, y: str) -> None:
+    """Every response is a finite number."""
+    v = F.col(y).cast("double")
+    bad = data.agg(F.sum(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 1).otherwise(0))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} responses are missing or aren't finite")
 
 
 def fit(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, penalty: str = "gwr", key: str = "id", diagnostics: str = "standard", edges: DataFrame | None = None, **options) -> Fit:
     """Fit a local model at every observation."""
     spec = spec_of(penalty, **options)
+    check_response(data, y)
     centre, scale = local.standardisation(data, x)
     edges = (neighbors.knn(data, k, coords, key) if edges is None else neighbors.prefix(edges, k)).persist()
     hoods = local.neighbourhoods(edges, local.standardised(data, x, centre, scale), y, x, key)
@@ -209,10 +249,42 @@ def cross_validate(data: DataFrame, y: str, x: list[str], coords: list[str], k:
         rows = rows.unionByName(p)
     rows = rows.persist()
     e = F.col("e")
-    score = [F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.col("converged").cast("double")).alias("convergence_rate")]
+    n = F.count(F.lit(1))
+    # with the guarded solver one target that didn't converge voids its lambda: no score, the same denominator
+    usable = F.bool_and("converged") if options.get("guarded") else F.lit(True)
+    scored = lambda c: F.when(usable, c)
+    score = [n.alias("n"), scored(F.sqrt(F.avg(e * e))).alias("rmse"), scored(F.avg(e * e)).alias("mse"), scored(F.avg(F.abs(e))).alias("mae"), F.avg(F.col("converged").cast("double")).alias("convergence_rate")]
     return rows.groupBy("d", "lambda_idx", "lambda").agg(*score), rows.groupBy("fold", "d", "lambda_idx", "lambda").agg(*score)
 
 
+@dataclass
+class Tuned:
+    """Scores of a cross-validation, its best row, and the model refitted on all rows with it."""
+
+    scores: DataFrame
+    folds: DataFrame
+    best: dict
+    refit: Fit
+
+    def predict(self, targets: DataFrame, k: int | None = None) -> DataFrame:
+        return self.refit.predict(targets, k)
+
+    def coefficients(self) -> DataFrame:
+        return self.refit.coefficients()
+
+
+def tune(data: DataFrame, y: str, x: list[str], coords: list[str], k: int, fold: str, lambdas: list[float], penalty: str = "lasso", ds: tuple[float, ...] = (0.0,), key: str = "id", metric: str = "rmse", **options) -> Tuned:
+    """Cross-validate, take the least error (then the smaller d and the first lambda), and refit on all rows."""
+    scores, folds = cross_validate(data, y, x, coords, k, fold, lambdas, penalty, ds, key, **options)
+    rows = [r.asDict() for r in scores.orderBy("d", "lambda_idx").collect()]  # a row per d and lambda
+    usable = [r for r in rows if r[metric] is not None and np.isfinite(r[metric])]
+    if not usable:
+        raise ValueError("no lambda has a score")
+    best = min(usable, key=lambda r: r[metric])
+    own = {"d": best["d"]} if penalty in ("scaled_lasso", "lad") else {}
+    return Tuned(scores, folds, best, fit(data, y, x, coords, k, penalty, key, lam=best["lambda"], **own, **options))
+
+
 def spatial_folds(data: DataFrame, coords: list[str], k: int = 5, seed: int = 1) -> DataFrame:
     """``data`` with a ``fold`` of k-means on standardised coordinates."""
     from pyspark.ml.clustering import KMeans

@@ -449,6 +449,18 @@ def lasso_path(spark, sf_dir):
     return got.select(F.col("target_id").alias("id"), "lambda_idx", r6(F.element_at("coef", 2)).alias("beta1"), r6("fitted").alias("fitted"))
 
 
+@query(f"""{base_sql()}, la AS (SELECT * FROM (VALUES (0, 0.6::DOUBLE), (1, 0.4::DOUBLE), (2, 0.2::DOUBLE)) v(lambda_idx, lam)),
+cc AS (SELECT *, sign(s1)*CASE WHEN abs(s1) <= lam THEN 0 WHEN abs(s1) <= lam*(1+g11) THEN (abs(s1)-lam)/g11 WHEN abs(s1) <= g11*20*lam THEN (abs(s1)-20*lam/19)/(g11-1/19.0) ELSE abs(s1)/g11 END AS beta FROM gg, la),
+hh AS (SELECT cc.*, o.z1 AS o1, o.y AS oy, my+beta*(o.z1-m1) AS f, g11 - CASE WHEN abs(beta) > lam AND abs(beta) < 20*lam THEN 1/19.0 ELSE 0 END AS h FROM cc JOIN zp o ON o.id = cc.target_id),
+ro AS (SELECT e.target_id, e.source_id, lambda_idx, beta, oy, f, wn * (1 + CASE WHEN abs(beta) > 1e-10 THEN (o1-m1)*(z1-m1)/h ELSE 0 END) AS s FROM ez e JOIN hh USING (target_id)),
+tg AS (SELECT lambda_idx, target_id, any_value(beta) AS beta, any_value(oy) AS y, any_value(f) AS f, sum(CASE WHEN source_id = target_id THEN s ELSE 0 END) AS hat, sum(s*s) AS s2 FROM ro GROUP BY lambda_idx, target_id),
+ag AS (SELECT lambda_idx, count(*)::DOUBLE AS n, avg((abs(beta) > 1e-10)::INTEGER) AS mean_nonzero, max((abs(beta) > 1e-10)::INTEGER)::BIGINT AS surface_size, sum(pow(y-f, 2)) AS rss, sum(hat) AS trS, sum(s2) AS trStS FROM tg GROUP BY lambda_idx)
+SELECT lambda_idx, surface_size, round(mean_nonzero, 6) AS mean_nonzero, round(rss, 4) AS rss, round(trS, 4) AS trS, round(trStS, 4) AS trStS, round(n*(ln(rss/n)+ln(2*pi())+1) + ln(n)*(trS+1), 4) AS ebic FROM ag""")
+def scad_path_criteria(spark, sf_dir):
+    got = statistics.path_criteria(workflow.path(points(spark, sf_dir), "y", ["x1"], XY, K, "scad", [0.6, 0.4, 0.2], gamma=20.0, tolerance=1e-12), 1)
+    return got.select("lambda_idx", "surface_size", r6("mean_nonzero").alias("mean_nonzero"), *[F.round(c, 4).alias(c) for c in ("rss", "trS", "trStS", "ebic")])
+
+
 @query()
 def path_criteria(spark, sf_dir):
     return statistics.path_criteria(workflow.path(points(spark, sf_dir), "y", ["x1", "x2"], XY, K, "scad", count=8, ratio=0.01), 2)

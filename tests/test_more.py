@@ -164,3 +164,67 @@ def test_least_squares_far_from_zero(spark):
     z = np.column_stack((np.ones(50), x))
     e = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
     assert abs(o["rss"] - e @ e) < 1e-4 and o["rank"] == 2 and abs(o["trS"] - 2) < 1e-9
+
+
+def test_what_scalars_mean(points):
+    xy = ["cx", "cy"]
+    f = {p: workflow.fit(points, "y", ["a", "b"], xy, 30, p, lam=l) for p, l in (("gwr", 0.0), ("ridge", 0.1), ("lasso", 0.05), ("scad", 0.05))}
+    got = {p: v.validity() for p, v in f.items()}
+    assert [got[p]["exact_linear"] for p in ("gwr", "ridge", "lasso", "scad")] == [True, True, False, False]
+    assert got["scad"]["basis"].startswith("conditional local-stationary") and 0 <= got["scad"]["locally_convex_fraction"] <= 1
+    assert {"max_coordinate_gap", "active_coordinates"} <= set(f["scad"].solver().columns) and "knots" in f["scad"].local_diagnostics().columns
+    with pytest.raises(ValueError):
+        workflow.fit(points.withColumn("y", F.when(F.col("id") > 3, F.col("y"))), "y", ["a"], xy, 30)
+    s = workflow.fit(points, "y", ["a", "b"], xy, 30, diagnostics="full").inference_summary().collect()
+    assert all(r["defined_tests"] == r["n"] == r["selected"] == 140 for r in s)
+
+
+def test_tuned_model(points):
+    df = points.withColumn("fold", F.col("id") % 3)
+    t = workflow.tune(df, "y", ["a", "b"], ["cx", "cy"], 30, "fold", [0.3, 0.1, 0.02], "lasso")
+    rows = t.scores.collect()
+    assert t.best["rmse"] == min(r["rmse"] for r in rows) and t.refit.spec.lam == t.best["lambda"]
+    assert t.predict(points.limit(4)).count() == 4 and t.coefficients().count() == 140
+    loose = workflow.cross_validate(df, "y", ["a", "b"], ["cx", "cy"], 30, "fold", [0.1], "scad", guarded=True, max_iterations=1, tolerance=1e-14)[0].first()
+    assert loose["rmse"] is None and loose["n"] == 140 and loose["convergence_rate"] < 1
+
+
+def test_heatmap_layers(points):
+    f = workflow.fit(points, "y", ["a", "b"], ["cx", "cy"], 30, "lasso", lam=0.2, diagnostics="full")
+    h = surfaces.heatmap(f, "a", 25, significance=True, k=20)
+    r = h.agg(F.min("selection_support"), F.max("selection_support"), F.count_if("selected"), F.count_if("significant"), F.count(F.lit(1))).first()
+    assert 0 <= r[0] <= r[1] <= 1 + 1e-12 and r[3] <= r[2] <= r[4] and r[2] > 0
+    assert {"value_1", "significance_support", "inside_boundary"} <= set(h.columns)
+    with pytest.raises(ValueError):
+        surfaces.heatmap(f, "fitted", 25, significance=True)
+
+
+def test_ranks_of_whole_tables(spark):
+    from loamgrid.functions import ranking
+
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=300).round(1).tolist(), 0.0, -0.0, 1e300, -1e-300, float("inf"), float("-inf"), None, float("nan"), *np.exp(rng.normal(size=200) * 9).tolist()]
+    rows = [(i, "g" if i % 2 else None, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    for by in ([], ["g"]):
+        got = {r["id"]: (r["average_rank"], r["bin"]) for r in ranking.rank_bin(ranking.average_rank(df, "v", by), "v", 4, by).collect()}
+        for group in ([None, "g"] if by else [0]):
+            own = [(i, v) for i, g, v in rows if (not by or g == group) and v is not None and v == v]
+            n = len(own)
+            for i, v in own:
+                rank = sum(w < v for _, w in own) + (sum(w == v for _, w in own) + 1) / 2
+                assert got[i] == (rank, min(max(int(np.ceil(rank / n * 4)), 1), 4)), (i, v)
+    assert got[rows[306][0]] == (None, None) and got[rows[307][0]] == (None, None) and len(got) == len(rows)
+    p = spark.createDataFrame([(i, float(x)) for i, x in enumerate([0.01, 0.04, 0.03, 0.03, 0.5, 0.0005])], "id int, p double")
+    for method, want in (("BH", [0.03, 0.048, 0.045, 0.045, 0.5, 0.003]), ("holm", [0.05, 0.12, 0.12, 0.12, 0.5, 0.003]), ("bonferroni", [0.06, 0.24, 0.18, 0.18, 1.0, 0.003])):
+        assert np.allclose([r["p_adjusted"] for r in ranking.p_adjust(p, "p", [], method).orderBy("id").collect()], want)
+
+
+def test_permuted_places(spark, monkeypatch):
+    """Places are the same permutation whatever the number of buckets."""
+    z = spark.range(300).select(F.col("id").alias("i"), F.lit(0.0).alias("z"))
+    one = statistics._slots(z, 300, range(0, 4), 1).collect()
+    monkeypatch.setattr(statistics, "SORTED_ROWS", 17)
+    many = statistics._slots(z, 300, range(0, 4), 1).collect()
+    assert {(r["perm"], r["i"], r["slot"]) for r in one} == {(r["perm"], r["i"], r["slot"]) for r in many}
+    assert all(sorted(r["slot"] for r in many if r["perm"] == p) == list(range(1, 301)) for p in range(4))
