@@ -61,8 +61,36 @@ SPACED = byte_set(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 ALNUM = byte_set(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
+#: Bytes that are hashed at once; a buffer is cut between words.
+SEGMENT = 1 << 20
+
+
 def words(buf: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word of a buffer that ends in a separator."""
+    """Start, end and hash of every word of a buffer that ends in a separator.
+
+    A long buffer goes through in segments, which bounds what its hashing
+    holds, unless a single word is longer.
+    """
+    parts, at = [], 0
+    while at < len(buf):
+        end = len(buf)
+        if end - at > SEGMENT:
+            gaps = np.flatnonzero(~inside[buf[at : at + SEGMENT]])
+            size = SEGMENT
+            while not len(gaps) and at + size < len(buf):
+                size *= 2
+                gaps = np.flatnonzero(~inside[buf[at : at + size]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end
+        starts, ends, hashes = _words(buf[at:end], inside, lower)
+        parts.append((starts + at, ends + at, hashes))
+        at = end
+    if len(parts) == 1:
+        return parts[0]
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (none, none, np.empty(0, U64))
+
+
+def _words(buf: np.ndarray, inside: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flags = inside[buf]
     edges = np.flatnonzero(flags[1:] != flags[:-1]) + 1
     if len(flags) and flags[0]:

@@ -54,6 +54,8 @@ GRAM = 128
 GROUP_BYTES = 1 << 20
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 18
+#: Starts of a long text that are hashed together.
+PIECE_BYTES = 1 << 19
 STRETCH = "doc_id bigint, tag int, lo int, n int, minimizer bigint, digest binary"
 
 
@@ -220,13 +222,29 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, n
     return which, lo - starts[which], hi - starts[which], h[place[lo]].view(np.int64), lo
 
 
+def bounded_stretches(texts: list[bytes], length: int, gram: int, most: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same without the buffer place, a long text in overlapping pieces.
+
+    A start's minimizer depends on its own ``length`` bytes alone, so a piece
+    that holds them gives the same one; a stretch may be cut where pieces meet.
+    """
+    if sum(map(len, texts)) <= 2 * most:
+        return stretches(texts, length, gram)[:4]
+    parts = []
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), most):
+            _, lo, hi, minimizer, _ = stretches([t[at : at + most + length - 1]], length, gram)
+            parts.append((np.full(len(lo), k), lo + at, hi + at, minimizer))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def find_stretches(docs: DataFrame, length: int, gram: int, first_only: bool) -> DataFrame:
     """Stretches of all documents, each kind once a document; those whose fate is known have no digest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             texts, ids = texts_as_bytes(b), b.column(0).to_pylist()
-            which, lo, hi, minimizer, _ = stretches(texts, length, gram)
+            which, lo, hi, minimizer = bounded_stretches(texts, length, gram)
             seen: dict[tuple[int, bytes], int] = {}
             rows: list[tuple] = []
             known: list[tuple] = []

@@ -153,9 +153,69 @@ def repeats(data, length, first):
 def test_repeated_strings(docs, keep, group_bytes, monkeypatch):
     real = suffix_dedup.ranges
     monkeypatch.setattr(suffix_dedup, "ranges", lambda d, length, k: real(d, length, k, group_bytes=group_bytes))
-    small = docs.filter("length(text) < 5000 or text is null")
-    got = suffix_dedup.digest_repeats(small, 200, keep).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == repeats(plain(small), 200, keep == "first")
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 5000)  # the longest text goes through in pieces
+    got = suffix_dedup.digest_repeats(docs, 200, keep).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == repeats(plain(docs), 200, keep == "first")
+
+
+def test_previous_factors_give_the_copies():
+    """Later copies by factors, first ones as their sources, against counting strings."""
+    r = np.random.default_rng(1)
+    for trial in range(60):
+        length = int(r.integers(2, 30))
+        texts = [bytes(r.integers(97, 99, int(r.integers(length, 80))).astype(np.uint8)) for _ in range(int(r.integers(1, 6)))]
+        if trial % 3 == 0:
+            texts = [b"a" * len(t) for t in texts]
+        counts, places = [len(t) - length + 1 for t in texts], {}
+        for d, t in enumerate(texts):
+            for k in range(counts[d]):
+                places.setdefault(t[k : k + length], []).append((d, k))
+        for first in (True, False):
+            want = {p for v in places.values() if len(v) > 1 for p in (v[1:] if first else v)}
+            got = suffix_dedup.repeated_starts(texts, counts, length, first)
+            assert {(d, int(k)) for d, f in enumerate(got) for k in f} == want
+
+
+def test_long_texts_in_pieces():
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (0, 60, 2000, 1_300_000)]
+    whole, pieces = suffix_dedup.stretches(texts, 50, 16), suffix_dedup.bounded_stretches(texts, 50, 16, 1000)
+
+    def starts(x):
+        return {(d, k, m) for d, lo, hi, m in zip(*[c.tolist() for c in x[:4]]) for k in range(lo, hi)}
+
+    assert starts(whole) == starts(pieces) and len(starts(whole)) == sum(max(0, len(t) - 49) for t in texts)
+    text = b" ".join(texts) * 2 + b"\n"
+    buf = np.frombuffer(text, np.uint8)
+    one = kernels._words(buf, kernels.ALNUM, True)
+    assert all((a == b).all() for a, b in zip(one, kernels.words(buf, kernels.ALNUM)))
+    short = np.frombuffer(b"ab cd " * 400_000, np.uint8)
+    assert all((a == b).all() for a, b in zip(kernels._words(short, kernels.ALNUM, True), kernels.words(short, kernels.ALNUM)))
+
+
+def test_classes_of_many_similar_sets():
+    """Confirmed links against all pairs, in a group where most pairs are near the threshold."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = []
+    for k in range(240):
+        s = np.roll(base, k % 4 * 50).copy()
+        s[r.integers(0, 200, int(r.integers(5, 40)))] = r.integers(0, 1 << 63, dtype=np.uint64)
+        sets.append(np.unique(s))
+    sets += [np.unique(np.concatenate((base[:150], r.integers(0, 1 << 63, 60, dtype=np.uint64)))) for _ in range(30)]
+    links = minmax.resolve(sets)
+    assert all(minmax.linked(sets[i], sets[j]) for i, j in links)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    got = [find(i) for i in range(len(sets))]
+    assert all(got[i] == got[j] for i in range(len(sets)) for j in range(i) if minmax.linked(sets[i], sets[j]))
 
 
 def test_cut_repeats_keeps_whole_characters(docs, empty):
@@ -292,6 +352,20 @@ def test_token_files(docs, empty, bits):
     assert token_files.read_token_files(token_files.write_token_files(empty, BYTE)).count() == 0
 
 
+def test_very_long_texts_and_files_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1 << 20)
+    texts = {1: "word number 7, " * 90_000, 2: "", 3: "x" * 300_000, 4: "漢字 " * 50_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    manifest = token_files.write_token_files(df, BYTE)
+    assert manifest.count() > 1 and manifest.agg(F.sum("documents")).first()[0] == 4
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(manifest).collect()}
+    assert got == {d: (len(ids_of(BYTE, t, 0)) // 4, zlib.crc32(ids_of(BYTE, t, 0))) for d, t in texts.items()}
+    pieces = {}
+    for r in packing.pack(df, WORD, length=256).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert {d: b"".join(x for _, x in sorted(p)) for d, p in pieces.items()} == {d: ids_of(WORD, t, 1) for d, t in texts.items()}
+
+
 @pytest.mark.parametrize("bits", [True, False])
 def test_planes(bits):
     r = np.random.default_rng(1)
@@ -357,6 +431,45 @@ def test_json_records_by_nested_paths(spark):
 
 # --- 7 --------------------------------------------------------------------
 
+def test_sharding_by_a_plain_version(spark, docs):
+    """Slots by group or, above a fair load, by row; a map by falling loads; places by slot and row."""
+    r = random.Random(8)
+    texts = [("copy " * 40) if k % 3 == 0 else "pair %d " % (k // 6) * r.randint(1, 9) if k % 5 else None for k in range(600)]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").unionByName(slim(docs).filter("length(text) < 5000 or text is null"))
+    got = [tuple(x) for x in sharding.shard(many, n_shards=5, n_slots=128).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot").collect()]
+    hashed = many.withColumn("t", F.coalesce("text", F.lit(""))).select("doc_id", "t", F.xxhash64("t").alias("g"), F.xxhash64(F.xxhash64("t")).alias("own_group"), F.xxhash64("doc_id", F.xxhash64("t")).alias("own")).collect()
+    size = lambda t: len(t.encode()) + 16
+    groups = {}
+    for x in hashed:
+        groups[x["g"]] = groups.get(x["g"], 0) + size(x["t"])
+    total = sum(groups.values())
+    hot = {g for g, n in groups.items() if n * 5 > total}
+    by_text = {}
+    key = lambda x: x["own"] if x["g"] in hot else x["own_group"]
+    slot_of = {(x["doc_id"], x["t"]): r2["s"] for x, r2 in zip(hashed, spark.createDataFrame([(k, key(x)) for k, x in enumerate(hashed)], "k int, v bigint").select("k", F.pmod("v", F.lit(128)).alias("s")).orderBy("k").collect())}
+    loads, rows_ = {}, {}
+    for x in hashed:
+        s = slot_of[x["doc_id"], x["t"]]
+        loads[s] = loads.get(s, 0) + size(x["t"])
+        rows_.setdefault(s, []).append((x["doc_id"] is not None, x["doc_id"] or 0, zlib.crc32(x["t"].encode()), size(x["t"])))
+    held, shard_of = [0] * 5, {}
+    for s in sorted(range(128), key=lambda s: (-loads.get(s, 0), s)):
+        to = min(range(5), key=lambda k: (held[k], k))
+        shard_of[s] = to
+        held[to] += loads.get(s, 0)
+    want, filled = [], [0] * 5
+    for s in range(128):
+        for h, d, crc, n in sorted(rows_.get(s, [])):
+            want.append((d if h else None, n, crc, shard_of[s], filled[shard_of[s]], s))
+            filled[shard_of[s]] += 1
+    order = lambda x: (x[3], x[4])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    for d, n, crc, k, _, _ in got:
+        by_text.setdefault((crc, n), set()).add(k)
+    whole = [k for (crc, n), k in by_text.items() if crc != zlib.crc32(("copy " * 40).encode())]
+    assert hot and all(len(k) == 1 for k in whole) and len(by_text[zlib.crc32(("copy " * 40).encode()), 216]) > 1
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard(slim(docs), n_shards=4, n_slots=64).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((d is None, d or 0, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in plain(docs))
@@ -386,7 +499,9 @@ def test_rebalancing_moves_little(spark):
 
 # --- 8 --------------------------------------------------------------------
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("list_rows", [2048, 25])
+def test_neighbours(spark, list_rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", list_rows)  # 25: every list is cut in blocks
     r = np.random.default_rng(2)
     x = r.normal(size=(900, 16)) * r.random((900, 1)) * 3
     x[40:80] = x[0]
@@ -448,6 +563,34 @@ def test_toxicity(labelled):
     assert toxicity.scores(docs, none).select("score").distinct().count() == 1 and toxicity.scores(docs.limit(0), none).count() == 0
 
 
+def test_few_toxic_labels_reject_little(spark):
+    """Where the bracket of the risk is negative the model must not drift towards calling everything toxic."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(60)) + (" vile scummy" if i % 9 == 0 else "") for i in range(160)]
+    p = toxicity.features([t.encode() for i, t in enumerate(texts) if i % 18 == 0])
+    m = toxicity.train(p, toxicity.features([t.encode() for t in texts]), 0.11)
+    s = toxicity.sigmoid(toxicity.margins(m.weights, m.bias, *toxicity.features([t.encode() for t in texts])))
+    assert (s >= 0.5).tolist() == [i % 9 == 0 for i in range(160)]
+
+
+def test_scores_of_very_long_texts(spark, labelled):
+    docs, labels = labelled
+    net, model = quality.fit(docs, labels), toxicity.fit(docs, labels)
+    calm = "abc defg hab " * 100_000
+    long = spark.createDataFrame([(1, calm + "vile scummy wretch"), (2, calm), (3, "vile scummy wretch " + calm)], "doc_id bigint, text string")
+    s = {r["doc_id"]: r["score"] for r in toxicity.scores(long, model).collect()}
+    assert s[1] == s[3] > s[2]
+    assert {r["doc_id"]: round(r["score"], 5) for r in quality.scores(long, net).collect()}[2] == round(float(quality.probabilities(net, [calm.encode()])[0]), 5)
+
+
+def test_least_of_several_quality_labels(labelled):
+    docs, labels = labelled
+    twice = labels.unionByName(labels.withColumn("quality", F.lit(0)))
+    bad = quality.fit(docs, twice)  # every id's least label is bad, so there is one kind of label
+    assert quality.scores(docs, bad).select("score").distinct().count() == 1 and quality.scores(docs, bad).first()["score"] < 0.5
+
+
 def test_risk_never_goes_below_zero():
     f = toxicity.features([b"a b", b"c d", b"a c"])
     assert min(toxicity.train(f, f, 0.3).risks) >= 0
