@@ -44,6 +44,22 @@ def t_two_sided(t: np.ndarray, df: float) -> np.ndarray:
     return np.where(np.isfinite(t), incomplete_beta(df / 2, 0.5, df / (df + np.where(np.isfinite(t), t, 0) ** 2)), np.where(np.isnan(t), np.nan, 0.0))
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value below which a t variable lies with probability ``p``, by bisection of its tail."""
+    if not 0 < p < 1 or df <= 0:
+        return math.nan
+    if p < 0.5:
+        return -t_quantile(1 - p, df)
+    low, high = 0.0, 1.0
+    tail = lambda t: float(t_two_sided(np.array([t]), df)[0]) / 2
+    while tail(high) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tail(middle) > 1 - p else (low, middle)
+    return (low + high) / 2
+
+
 def f_upper(f: float, df1: float, df2: float) -> float:
     if not all(map(math.isfinite, (f, df1, df2))) or min(df1, df2) <= 0:
         return math.nan

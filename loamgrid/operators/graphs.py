@@ -19,6 +19,36 @@ def queen_contiguity(vertices: DataFrame, snap: float = 1.0) -> DataFrame:
     return a.join(b, ["_x", "_y"]).filter("i <> j").select("i", "j").distinct()
 
 
+def edge_contacts(rings: DataFrame, snap: float = 1.0) -> DataFrame:
+    """Directed pairs ``i, j`` of polygons of which one has a vertex within ``snap`` of an edge of the other.
+
+    ``rings`` is (id, seq, x, y), each ring's vertices in order.  Edges and
+    vertices meet on grid cells of the mean edge length, so an edge meets the
+    vertices around it and not all of them.
+    """
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("id").orderBy("seq")
+    whole = Window.partitionBy("id")
+    p = rings.select("id", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    first = lambda c: F.min_by(c, "seq").over(whole)
+    e = p.select(F.col("id").alias("i"), "x", "y", F.coalesce(F.lead("x").over(order), first("x")).alias("x2"), F.coalesce(F.lead("y").over(order), first("y")).alias("y2"))
+    length = F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2)
+    side = max(e.agg(F.avg(length)).first()[0] or 0.0, 4 * snap)
+    cells = e
+    for a, b, g in (("x", "x2", "gx"), ("y", "y2", "gy")):
+        low, high = F.floor((F.least(a, b) - snap) / side), F.floor((F.greatest(a, b) + snap) / side)
+        cells = cells.withColumn(g, F.explode(F.sequence(low, high)))
+    v = p.select(F.col("id").alias("j"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy")).distinct()
+    met = cells.join(v, ["gx", "gy"]).filter("i <> j")
+    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    norm = dx * dx + dy * dy
+    t = F.when(norm > 0, F.least(F.greatest(((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / norm, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    far = F.sqrt((F.col("px") - F.col("x") - t * dx) ** 2 + (F.col("py") - F.col("y") - t * dy) ** 2)
+    touching = met.filter(far <= snap).select("i", "j")
+    return touching.unionByName(touching.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+
+
 def repair_isolates(pairs: DataFrame, centres: DataFrame) -> DataFrame:
     """``i, j, repaired``: polygons without neighbours are linked both ways to the nearest that has some.
 

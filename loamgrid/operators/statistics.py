@@ -359,6 +359,41 @@ def paired_loss(rows: DataFrame, by: list[str], method: str, sample: str, base:
     return d.groupBy(*by, method).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_difference"), (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("standard_error"))
 
 
+def paired_interval(losses: DataFrame, base: str = "ols", method: str = "method", level: float = 0.95) -> DataFrame:
+    """:func:`paired_loss` with a t interval of the mean difference and whom it favours.
+
+    A negative difference means a smaller loss of the method; an interval that
+    holds zero, or a single sample, favours nobody.
+    """
+    from ..functions.distributions import t_quantile
+
+    sizes = [r[0] for r in losses.select("n").distinct().collect()]  # numbers of samples, few
+    table = losses.sparkSession.createDataFrame([(n, float(t_quantile(0.5 + level / 2, n - 1))) for n in sizes], "n bigint, _t double")
+    out = losses.join(F.broadcast(table), "n")
+    half = F.col("_t") * F.col("standard_error")
+    low, high = F.col("mean_difference") - half, F.col("mean_difference") + half
+    favours = F.when(high < 0, F.col(method)).when((low > 0) & ~F.isnan(low), F.lit(base)).otherwise(F.lit("neither"))
+    return out.withColumn("low", low).withColumn("high", high).withColumn("favours", favours).drop("_t")
+
+
+def sample_flow(rows: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """``step, name, n_before, n_removed, n_left``: conditions that rows must meet, one after another, in one pass."""
+    ok, counts = F.lit(True), [F.count(F.lit(1)).alias("_0")]
+    for k, c in enumerate(steps.values()):
+        ok = ok & F.coalesce(c, F.lit(False))
+        counts.append(F.count_if(ok).alias(f"_{k + 1}"))
+    cells = [F.struct(F.lit(k + 1).alias("step"), F.lit(n).alias("name"), F.col(f"_{k}").alias("n_before"), (F.col(f"_{k}") - F.col(f"_{k + 1}")).alias("n_removed"), F.col(f"_{k + 1}").alias("n_left")) for k, n in enumerate(steps)]
+    return rows.agg(*counts).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
+def column_quantiles(rows: DataFrame, columns: list[str], probabilities: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """Interpolated quantiles of the finite values of each column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    v = F.col("v")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return rows.select(F.explode(cells).alias("s")).select("s.*").groupBy("column").agg(*[F.percentile(finite, F.lit(p)).alias(f"q{round(100 * p)}") for p in probabilities])
+
+
 def missingness(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls, non-finite values, zeros and negatives of each column."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])

@@ -84,6 +84,12 @@ def convex_hull(points: DataFrame, x: str, y: str, grow: float = 1.02) -> list[t
     return [tuple(map(float, middle + grow * (p - middle))) for p in hull]
 
 
+def diameter(points: DataFrame, x: str, y: str) -> float:
+    """Largest distance between two points: it lies between corners of the hull."""
+    hull = np.array(convex_hull(points, x, y, grow=1.0))
+    return float(np.sqrt(((hull[:, None] - hull[None]) ** 2).sum(2)).max()) if len(hull) else 0.0
+
+
 def surface(fit, names: list[str], resolution: int = 50, boundary: list[tuple[float, float]] | None = None, method: str = "gaussian", k: int = 200, extrapolation: float = 3.0, layers: DataFrame | None = None) -> DataFrame:
     """``grid_id, x, y, inside_boundary, value_1 .., nearest_observation_distance, within_extrapolation, interpolation_valid``."""
     if not 25 <= resolution <= 1000:

@@ -72,6 +72,40 @@ def oracle_union(data: DataFrame, y: str, truth: str, x: list[str], coords: list
     return workflow.fit(data, y, names, coords, k, key=key, **options)
 
 
+def oracle_local(data: DataFrame, y: str, truth: str, x: list[str], coords: list[str], k: int, key: str = "id", **options) -> DataFrame:
+    """Unpenalised fits of each location on the predictors that are active there: ``target_id, support, coef, fitted, residual``.
+
+    ``truth`` is the array of true slopes.  Targets of one support in a batch
+    are solved together; coefficients that aren't in it are zero.
+    """
+    spec = workflow.spec_of("gwr", **options)
+    centre, scale = local.standardisation(data, x)
+    hoods = local.neighbourhoods(neighbors.knn(data, k, coords, key), local.standardised(data, x, centre, scale), y, x, key)
+    active = data.select(F.col(key).cast("long").alias("target_id"), F.transform(F.col(truth), lambda v: (F.abs(v) > 0)).alias("on"))
+    p = len(x)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for rows, ids, _, dist, xs, z in local.batches_of(whole, p):
+                on = np.asarray(whole.take(pa.array(rows)).column(5).flatten()).reshape(-1, p).astype(bool)
+                kinds, own = np.unique(on, axis=0, return_inverse=True)
+                for c, kind in enumerate(kinds):
+                    at, cols = np.flatnonzero(own.reshape(-1) == c), np.flatnonzero(kind)
+                    f = solvers.solve(dist[at], z[np.ix_(at, np.arange(z.shape[1]), cols)], xs[at], spec)
+                    beta = np.zeros((len(at), p))
+                    beta[:, cols] = f["beta"]
+                    mean = np.zeros((len(at), p))
+                    mean[:, cols] = f["m"].x_mean
+                    coef = local.original_scale(f["level"], beta, mean, centre, scale)
+                    fitted = f["level"] + ((z[at, 0] - mean) * beta).sum(1)
+                    name = "".join("1" if b else "0" for b in kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array([name] * len(at)), pa.array(list(coef), pa.list_(pa.float64())), pa.array(fitted), pa.array(xs[at, 0] - fitted)], names=["target_id", "support", "coef", "fitted", "residual"])
+
+    return hoods.join(active, "target_id").mapInArrow(run, "target_id bigint, support string, coef array<double>, fitted double, residual double")
+
+
 def fold_cache(data: DataFrame, x: list[str], coords: list[str], k: int, fold: str, key: str = "id") -> dict:
     """Per fold: training scale and cross-fold edges, kept for reuse; no response enters."""
     out = {}

@@ -669,7 +669,7 @@ def aligned_observations(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     nation = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return c.join(F.broadcast(nation), "c_nationkey").join(n, "c_custkey").select(F.col("c_custkey").alias("id"), "c_acctbal", "n")
+    return tables.align([c.join(F.broadcast(nation), "c_nationkey"), n], "c_custkey", ["c_nationkey"]).select(F.col("c_custkey").alias("id"), "c_acctbal", "n")
 
 
 # --- formulas, graphs, maps, audits ---------------------------------------
@@ -725,6 +725,21 @@ def collinearity_summary(spark, sf_dir):
     return out(statistics.collinearity_summary(c, ["condition_number", "max_abs_correlation"]), "median", "q90", "max", keys=("measure",))
 
 
+@query("SELECT 'c_acctbal' AS \"column\", round(quantile_cont(c_acctbal, 0), 6) AS q0, round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.5), 6) AS q50, round(quantile_cont(c_acctbal, 0.75), 6) AS q75, round(quantile_cont(c_acctbal, 1), 6) AS q100 FROM customer")
+def column_quantiles(spark, sf_dir):
+    return statistics.column_quantiles(table(spark, sf_dir, "customer"), ["c_acctbal"]).select("column", *[r6(f"q{p}").alias(f"q{p}") for p in (0, 25, 50, 75, 100)])
+
+
+@query("WITH s AS (SELECT count(*) AS a, count(*) FILTER (WHERE c_acctbal > 0) AS b, count(*) FILTER (WHERE c_acctbal > 0 AND c_nationkey < 12) AS c FROM customer) SELECT 1 AS step, 'positive' AS name, a AS n_before, a-b AS n_removed, b AS n_left FROM s UNION ALL SELECT 2, 'nation', b, b-c, c FROM s")
+def sample_flow(spark, sf_dir):
+    return statistics.sample_flow(table(spark, sf_dir, "customer"), {"positive": F.col("c_acctbal") > 0, "nation": F.col("c_nationkey") < 12})
+
+
+@query(f"WITH {PTS} SELECT round(max({DIST}), 6) AS diameter FROM pts t, pts s")
+def diameter(spark, sf_dir):
+    return spark.range(1).select(r6(F.lit(surfaces.diameter(points(spark, sf_dir), "cx", "cy"))).alias("diameter"))
+
+
 @query("SELECT 'c_acctbal' AS \"column\", count(*) AS n, 0::BIGINT AS n_null, 0::BIGINT AS n_not_finite, count(*) FILTER (WHERE c_acctbal = 0) AS n_zero, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative FROM customer UNION ALL SELECT 'odd', count(*), count(*) FILTER (WHERE c_custkey % 2 = 0), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM customer")
 def missingness(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("odd", F.when(F.col("c_custkey") % 2 > 0, F.col("c_custkey")))

@@ -46,6 +46,29 @@ def merge_batches(parts: list[DataFrame], on: list[str]) -> DataFrame:
     return out
 
 
+def align(parts: list[DataFrame], key: str, coords: list[str]) -> DataFrame:
+    """Rows that every table has, on one key; a shared row whose coordinates differ, or a repeated key, is an error.
+
+    Tables without some of the coordinates aren't compared on them.
+    """
+    for p in parts:
+        if not p.groupBy(key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{key} repeats")
+    out = parts[0]
+    for n, p in enumerate(parts[1:]):
+        shared = [c for c in coords if c in p.columns and c in out.columns]
+        p = p.withColumnsRenamed({c: f"_{n}_{c}" for c in shared})
+        out = out.join(p, key)
+        if shared:
+            differ = F.lit(False)
+            for c in shared:
+                differ = differ | ~F.col(c).eqNullSafe(F.col(f"_{n}_{c}"))
+            if not out.filter(differ).isEmpty():
+                raise ValueError("a row's coordinates differ between tables")
+            out = out.drop(*[f"_{n}_{c}" for c in shared])
+    return out
+
+
 def link_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join that must find exactly one partner for every row."""
     if not right.groupBy(*on).count().filter("count > 1").isEmpty() or not left.join(right, on, "left_anti").isEmpty():

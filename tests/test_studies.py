@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loamgrid.functions import distributions
+from loamgrid.operators import graphs, statistics
 from loamgrid.operators.solvers import Spec
 from loamgrid.plans import studies, workflow
+from loamgrid.sources import tables
 
 
 @pytest.mark.parametrize("scenario", ["smooth", "regional", "stationary", "null", "collinear"])
@@ -51,3 +54,43 @@ def test_progress_and_palette(tmp_path):
     studies.progress(p, 5, 10, time.time() - 1)
     assert json.load(open(p))["total"] == 10
     assert len(studies.bivariate_palette(3)) == 9 and studies.bivariate_palette(2) == ["#e8e8e8", "#be64ac", "#5ac8c8", "#3b4994"]
+
+
+def test_local_oracle(spark):
+    df = spark.range(80).select("id", (F.col("id") * 37 % 101 / 101.0).alias("cx"), (F.col("id") * 53 % 97 / 97.0).alias("cy"), F.sin(F.col("id") / 3.0).alias("a"), F.cos(F.col("id") / 5.0).alias("b"))
+    df = df.withColumn("truth", F.array((F.col("id") % 2).cast("double"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0))).withColumn("y", 1 + F.col("truth")[0] * F.col("a") + F.col("truth")[1] * F.col("b") + 0.1 * F.sin(F.col("id") * 1.3)).persist()
+    got = {r["target_id"]: r for r in studies.oracle_local(df, "y", "truth", ["a", "b"], ["cx", "cy"], 20).collect()}
+    assert {r["support"] for r in got.values()} == {"00", "01", "10", "11"}
+    for names, support in ((["a"], "10"), (["b"], "01"), (["a", "b"], "11")):
+        f = {r["target_id"]: r for r in workflow.fit(df, "y", names, ["cx", "cy"], 20).local.collect()}
+        for i, r in got.items():
+            if r["support"] == support:
+                assert abs(r["fitted"] - f[i]["fitted"]) < 1e-9 and abs(r["coef"][0] - f[i]["coef"][0]) < 1e-8
+                assert [c for c in r["coef"][1:] if c] == pytest.approx(f[i]["coef"][1:])
+
+
+def test_intervals_of_paired_differences(spark):
+    assert abs(distributions.t_quantile(0.975, 9) - 2.2621571628540993) < 1e-9 and abs(distributions.t_quantile(0.05, 3) + 2.353363434801823) < 1e-9
+    rows = [(k, m, 0.0, v) for k in range(10) for m, v in (("ols", 2.0 + 0.01 * k), ("good", 1.0), ("same", 2.0 + 0.01 * ((k * 7) % 10)))]
+    losses = statistics.paired_loss(spark.createDataFrame(rows, "sample int, method string, observed double, prediction double"), [], "method", "sample")
+    got = {r["method"]: r for r in statistics.paired_interval(losses).collect()}
+    assert got["good"]["favours"] == "good" and got["good"]["high"] < 0 and got["same"]["favours"] == "neither"
+    assert abs(got["good"]["high"] - got["good"]["mean_difference"] - 2.2621571628540993 * got["good"]["standard_error"]) < 1e-9
+
+
+def test_alignment_asserts_coordinates(spark):
+    a = spark.createDataFrame([(1, 0.0, 5), (2, 1.0, 6)], "id int, cx double, u int")
+    b = spark.createDataFrame([(2, 1.0, 7), (3, 2.0, 8)], "id int, cx double, v int")
+    assert [tuple(r) for r in tables.align([a, b], "id", ["cx"]).select("id", "cx", "u", "v").collect()] == [(2, 1.0, 6, 7)]
+    for bad in (b.withColumn("cx", F.col("cx") + 1), b.unionByName(b)):
+        with pytest.raises(ValueError):
+            tables.align([a, bad], "id", ["cx"])
+
+
+def test_contact_along_an_edge(spark):
+    """A square whose side touches the middle of a longer side, without a shared corner."""
+    rings = {1: [(0, 0), (10, 0), (10, 30), (0, 30)], 2: [(10, 10), (20, 10), (20, 20), (10, 20)], 3: [(40, 0), (50, 0), (50, 10)], 4: [(20, 20), (30, 20), (30, 30)]}
+    df = spark.createDataFrame([(i, k, float(x), float(y)) for i, ring in rings.items() for k, (x, y) in enumerate(ring)], "id int, seq int, x double, y double")
+    pairs = lambda d: {(r["i"], r["j"]) for r in d.collect()}
+    assert pairs(graphs.queen_contiguity(df, 0.5)) == {(2, 4), (4, 2)}
+    assert pairs(graphs.edge_contacts(df, 0.5)) == {(1, 2), (2, 1), (2, 4), (4, 2)}
