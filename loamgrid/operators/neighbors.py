@@ -6,13 +6,15 @@ smaller source id.  In a self join each point is its own first neighbour
 
 Two physical ways give the same edges.  Sources whose coordinates fit
 ``BROADCAST_BYTES`` go to every task, where targets are searched cell by cell.
-Above that, sources and targets meet in an equi-join on grid cells; targets
-whose k-th neighbour may lie outside the ring searched go on to a wider one.
+Above that, sources and targets meet in the boxes of a k-d tree that a sample
+of the points shapes; targets whose k-th neighbour may lie in other boxes are
+sent on to just those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ class CellIndex:
     def search(self, xy: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) of the k nearest of each point; ``own`` ids come first."""
         rows, dist = np.empty((len(xy), k), np.int64), np.empty((len(xy), k))
-        grid = self.cell(xy)
+        grid = self.nearest_cell(xy)
         _, which = np.unique(grid, axis=0, return_inverse=True)
         which = which.reshape(-1)
         order = np.argsort(which, kind="stable")
@@ -87,10 +89,17 @@ class CellIndex:
                 ring = ring * 2
         return rows, dist
 
+    def nearest_cell(self, xy: np.ndarray) -> np.ndarray:
+        """The cell of a point, or the nearest one of a point beside the grid."""
+        with np.errstate(over="ignore"):
+            at = np.floor((xy[:, : self.dims] - self.low) / self.side)
+        return np.clip(at, 0, self.shape - 1).astype(np.int64)
+
     def border(self, xy: np.ndarray, cell: np.ndarray, ring: int) -> np.ndarray:
-        lo = self.low + (cell - ring) * self.side
-        hi = self.low + (cell + ring + 1) * self.side
+        """How near a point outside the ring can be; beyond the grid's own ends there is none."""
         x = xy[:, : self.dims]
+        lo = np.where(cell - ring <= 0, -np.inf, self.low + (cell - ring) * self.side)
+        hi = np.where(cell + ring >= self.shape - 1, np.inf, self.low + (cell + ring + 1) * self.side)
         return np.minimum((x - lo).min(1), (hi - x).min(1)) * (1 - 1e-9)
 
 
@@ -121,7 +130,7 @@ def knn(points: DataFrame, k: int, coords: list[str], key: str = "id", targets:
     tgt = src if targets is None else _coords(targets, key, coords)
     if n * 8 * (len(coords) + 1) <= broadcast_bytes:
         return _knn_broadcast(src, tgt, k, targets is None, len(coords))
-    return _knn_cells(src, tgt, k, n, targets is None, len(coords))
+    return _knn_boxes(src, tgt, k, n, targets is None, len(coords))
 
 
 def _knn_broadcast(src: DataFrame, tgt: DataFrame, k: int, self_join: bool, dims: int) -> DataFrame:
@@ -146,40 +155,163 @@ def _knn_broadcast(src: DataFrame, tgt: DataFrame, k: int, self_join: bool, dims
     return tgt.repartition(width).mapInArrow(run, EDGE)
 
 
-def _knn_cells(src: DataFrame, tgt: DataFrame, k: int, n: int, self_join: bool, dims: int) -> DataFrame:
-    """Ring-by-ring equi-join on grid cells; every join key is one cell, so no pair outside a ring is made."""
-    used = min(2, dims)
-    lows = src.agg(*[F.min(f"c{i}") for i in range(used)], *[F.max(f"c{i}") for i in range(used)]).first()
-    side = max((max(lows[used + i] - lows[i] for i in range(used))) / max(1, int(np.sqrt(n / max(4, k)))), 1e-300)
-    cell = [F.floor((F.col(f"c{i}") - lows[i]) / side) for i in range(used)]
-    s = src.select(F.col("id").alias("source_id"), *[F.col(f"c{i}").alias(f"s{i}") for i in range(dims)], *[c.alias(f"g{i}") for i, c in enumerate(cell)])
-    left = tgt.select(F.col("id").alias("target_id"), *[f"c{i}" for i in range(dims)], *[c.alias(f"t{i}") for i, c in enumerate(cell)])
-    # the most rings any target needs spans the grid from its own cell
-    reach = max([1, *[int(x or 0) for x in left.agg(*[F.max(F.abs(F.col(f"t{i}"))) for i in range(used)]).first()]]) + max(int((lows[used + i] - lows[i]) / side) for i in range(used)) + 1
-    parts, ring = [], 1
-    dist = F.sqrt(sum((F.col(f"c{i}") - F.col(f"s{i}")) ** 2 for i in range(1, dims)) + (F.col("c0") - F.col("s0")) ** 2) if dims > 1 else F.abs(F.col("c0") - F.col("s0"))
-    while True:
-        seen = left
-        for i in range(used):
-            seen = seen.withColumn(f"g{i}", F.explode(F.sequence(F.col(f"t{i}") - ring, F.col(f"t{i}") + ring)))
-        met = seen.join(s, [f"g{i}" for i in range(used)]).withColumn("dist", dist)
-        first = F.when(F.col("source_id") == F.col("target_id"), -1.0).otherwise(F.col("dist")) if self_join else F.col("dist")
-        order = Window.partitionBy("target_id").orderBy(first, "source_id")
-        met = met.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
-        edge = F.least(*[F.least(F.col(f"c{i}") - (lows[i] + (F.col(f"t{i}") - ring) * side), (lows[i] + (F.col(f"t{i}") + ring + 1) * side) - F.col(f"c{i}")) for i in range(used)], *([F.lit(float("inf"))] if used == 1 else []))
-        whole = Window.partitionBy("target_id")
-        met = met.withColumn("_sure", (F.count(F.lit(1)).over(whole) == k) & ((F.max("dist").over(whole) < F.first(edge).over(whole) * (1 - 1e-9)) | F.lit(ring >= reach)))
-        met = met.persist()
-        good = met.filter("_sure").select("target_id", "source_id", F.col("rank").cast("int").alias("rank"), "dist")
-        parts.append(good)
-        left = left.join(good.select("target_id").distinct(), "target_id", "left_anti").persist()
-        if left.isEmpty():
-            break
-        ring *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+@dataclass(frozen=True)
+class Boxes:
+    """A k-d tree of boxes that hold about equally many points; leaves are numbered from 0."""
+
+    axis: np.ndarray
+    value: np.ndarray
+    child: np.ndarray
+    leaf: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def split(cls, sample: np.ndarray, most: int) -> Boxes:
+        """Halve the sample along its widest side until a box has at most so many of its points."""
+        dims = sample.shape[1]
+        axis, value, child, leaf, low, high = [], [], [], [], [], []
+
+        def grow(own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
+            k = len(axis)
+            for column, v in ((axis, -1), (value, 0.0), (child, [-1, -1]), (leaf, -1), (low, lo), (high, hi)):
+                column.append(v)
+            wide = np.ptp(own, axis=0) if len(own) else np.zeros(dims)
+            d = int(wide.argmax())
+            if len(own) > most and wide[d] > 0:
+                at = np.sort(own[:, d])
+                cut = at[len(at) // 2]
+                cut = cut if cut > at[0] else at[np.searchsorted(at, at[0], "right")]
+                axis[k], value[k] = d, float(cut)
+                below, above = hi.copy(), lo.copy()
+                below[d] = above[d] = cut
+                child[k] = [grow(own[own[:, d] < cut], lo, below), grow(own[own[:, d] >= cut], above, hi)]
+            return k
+
+        grow(sample, np.full(dims, -np.inf), np.full(dims, np.inf))
+        ends = [k for k, a in enumerate(axis) if a < 0]
+        for n, k in enumerate(ends):
+            leaf[k] = n
+        return cls(np.array(axis), np.array(value), np.array(child), np.array(leaf), np.array(low), np.array(high))
+
+    def home(self, xy: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        at = np.zeros(len(xy), int)
+        open_ = np.flatnonzero(self.axis[at] >= 0)
+        while len(open_):
+            d = self.axis[at[open_]]
+            at[open_] = self.child[at[open_], (xy[open_, d] >= self.value[at[open_]]).astype(int)]
+            open_ = open_[self.axis[at[open_]] >= 0]
+        return self.leaf[at]
+
+    def touched(self, xy: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) for every leaf no farther from a point than its reach."""
+        point, node, out = np.arange(len(xy)), np.zeros(len(xy), int), []
+        while len(point):
+            gap = np.maximum(np.maximum(self.low[node] - xy[point], xy[point] - self.high[node]), 0)
+            near = np.sqrt((gap * gap).sum(1)) <= reach[point] * (1 + 1e-12)
+            point, node = point[near], node[near]
+            ends = self.axis[node] < 0
+            out.append((point[ends], self.leaf[node[ends]]))
+            point, node = point[~ends], node[~ends]
+            point, node = np.repeat(point, 2), self.child[node].reshape(-1)
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+#: Points that shape the boxes, and points of a box: enough for a task, few enough for its memory.
+SHAPE_POINTS, BOX_POINTS = 65_536, 50_000
+
+
+def _knn_boxes(src: DataFrame, tgt: DataFrame, k: int, n: int, self_join: bool, dims: int) -> DataFrame:
+    """Search by boxes of a k-d tree: each target in its own box, then in those its k-th distance reaches.
+
+    Boxes follow the points, so crowded places have small ones.  Of equal
+    locations only the ``k + 1`` least ids can be anyone's neighbour, and only
+    those are searched: no box fills up with copies.
+    """
+    spark, xy = src.sparkSession, [f"c{i}" for i in range(dims)]
+    rate = min(1.0, SHAPE_POINTS / max(n, 1))
+    shape = src.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(rate * (1 << 20)))).select(*xy).toArrow()
+    sample = np.stack([np.asarray(shape.column(i)) for i in range(dims)], axis=1) if shape.num_rows else np.zeros((1, dims))
+    width = spark.sparkContext.defaultParallelism
+    points = min(BOX_POINTS, max(8 * k, n // (4 * width)))
+    tree = Boxes.split(sample, max(4, int(points * len(sample) / max(n, 1))))
+    place = Window.partitionBy(*xy).orderBy("id")
+    few = src.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k + 1).drop("_r")
+    names = ["box", "target", "id", *xy]
+    kind = "box int, target boolean, id bigint, " + ", ".join(f"{c} double" for c in xy)
+
+    def deal(target: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = tree.home(np.stack([np.asarray(b.column(i + 1)) for i in range(dims)], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(b.num_rows, target)), *b.columns], names=names)
+
+        return run
+
+    def search(first: bool):
+        """Up to k neighbours of each target of a box; in the first turn also the other boxes within reach."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            box, held, index = None, [], None
+            for whole in batches:
+                boxes, asks = np.asarray(whole.column(0)), np.asarray(whole.column(1))
+                turn = np.flatnonzero((np.diff(boxes) != 0) | (asks[1:] != asks[:-1])) + 1
+                for lo, hi in zip([0, *turn.tolist()], [*turn.tolist(), whole.num_rows]):
+                    if lo == hi:
+                        continue
+                    part = whole.slice(lo, hi - lo)
+                    if boxes[lo] != box:
+                        box, held, index = boxes[lo], [], None
+                    ids, at = np.asarray(part.column(2)), np.stack([np.asarray(part.column(3 + i)) for i in range(dims)], axis=1)
+                    if not asks[lo]:
+                        held.append((ids, at))
+                        index = None
+                        continue
+                    if index is None and held:
+                        index = CellIndex(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k)
+                    for s in range(0, len(ids), 4096):
+                        yield one(index, ids[s : s + 4096], at[s : s + 4096], int(box))
+
+        def one(index: CellIndex | None, ids: np.ndarray, at: np.ndarray, box: int) -> pa.RecordBatch:
+            have = min(k, len(index.ids)) if index is not None else 0
+            if have:
+                rows, dist = index.search(at, have, None)
+                found = index.ids[rows]
+            else:
+                found, dist = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            cells = [pa.array(ids, pa.int64()), pa.array(list(found), pa.list_(pa.int64())), pa.array(list(dist), pa.list_(pa.float64()))]
+            if first:
+                reach = dist[:, -1] if have == k else np.full(len(ids), np.inf)
+                point, other = tree.touched(at, reach)
+                keep = other != box
+                point, other = point[keep], other[keep]
+                order = np.argsort(point, kind="stable")
+                heads = np.concatenate(([0], np.cumsum(np.bincount(point, minlength=len(ids)))))
+                cells += [pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(other[order], pa.int32())), *[pa.array(at[:, i]) for i in range(dims)]]
+            return pa.RecordBatch.from_arrays(cells, names=["id", "found", "dist", *(["others", *xy] if first else [])])
+
+        return run
+
+    def met(sources: DataFrame, targets: DataFrame) -> DataFrame:
+        return sources.unionByName(targets).repartition("box").sortWithinPartitions("box", "target")
+
+    dealt = few.select("id", *xy).mapInArrow(deal(False), kind)
+    homes = tgt.select("id", *xy).mapInArrow(deal(True), kind)
+    own = met(dealt, homes).mapInArrow(search(True), "id bigint, found array<bigint>, dist array<double>, others array<int>, " + ", ".join(f"{c} double" for c in xy)).persist()
+    away = own.select(F.explode("others").alias("box"), F.lit(True).alias("target"), "id", *xy)
+    more = met(dealt, away).mapInArrow(search(False), "id bigint, found array<bigint>, dist array<double>")
+    near = own.select("id", "found", "dist").unionByName(more)
+    pairs = F.arrays_zip(F.col("dist").alias("dist"), F.col("found").alias("source_id"))
+    every = near.groupBy("id").agg(F.flatten(F.collect_list(pairs)).alias("_all"))
+    if self_join:
+        others = F.filter("_all", lambda p: p["source_id"] != F.col("id"))
+        mine = F.array(F.struct(F.lit(0.0).alias("dist"), F.col("id").alias("source_id")))
+        best = F.concat(mine, F.slice(F.array_sort(others), 1, k - 1)) if k > 1 else mine
+    else:
+        best = F.slice(F.array_sort("_all"), 1, k)
+    out = every.select(F.col("id").alias("target_id"), F.posexplode(best).alias("rank", "_p"))
+    return out.select("target_id", F.col("_p.source_id").alias("source_id"), F.col("rank").cast("int").alias("rank"), F.col("_p.dist").alias("dist"))
 
 
 def prefix(edges: DataFrame, k: int) -> DataFrame:

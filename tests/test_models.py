@@ -62,6 +62,28 @@ def test_neighbours_by_brute_force(spark):
         neighbors.knn(df.withColumn("cx", F.when(F.col("id") > 0, F.col("cx"))), 3, ["cx", "cy"])
 
 
+def test_neighbours_of_clusters_by_brute_force(spark, monkeypatch):
+    """Crowded places, hundreds of copies of one location, three coordinates, and targets far outside."""
+    monkeypatch.setattr(neighbors, "BOX_POINTS", 60)
+    r = np.random.default_rng(9)
+    xyz = np.concatenate((r.normal(size=(300, 3)) * 0.01, r.normal(size=(150, 3)) + 5, np.full((250, 3), 2.0), r.random((60, 3)) * 100))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id bigint, cx double, cy double, cz double")
+    far = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate([[-500, 0, 0], [2, 2, 2], [50, 50, 400], [5, 5, 5]])], "id bigint, cx double, cy double, cz double")
+    for dims in (["cx", "cy", "cz"], ["cx"]):
+        p = xyz[:, : len(dims)]
+
+        def dist(a):
+            return np.sqrt(sum((a[:, None, c] - p[None, :, c]) ** 2 for c in range(len(dims))))  # noqa: B023
+
+        d = dist(p)
+        np.fill_diagonal(d, -1)
+        want = {(i, int(j), k) for i in range(len(p)) for k, j in enumerate(np.lexsort((np.arange(len(p)), d[i]))[:7])}
+        assert {(e["target_id"], e["source_id"], e["rank"]) for e in neighbors.knn(df, 7, dims, broadcast_bytes=0).collect()} == want
+        q = np.array([[x[c] for c in dims] for x in far.orderBy("id").collect()])
+        want = {(i, int(j), k) for i in range(4) for k, j in enumerate(np.lexsort((np.arange(len(p)), dist(q)[i]))[:7])}
+        assert {(e["target_id"], e["source_id"], e["rank"]) for e in neighbors.knn(df, 7, dims, targets=far, broadcast_bytes=0).collect()} == want
+
+
 @pytest.mark.parametrize("penalty,gamma", [("scad", 3.7), ("mcp", 3.0)])
 def test_exact_minimum(penalty, gamma):
     b = np.linspace(-6, 6, 240001)
