@@ -170,6 +170,7 @@ def permutation_moran(weights: DataFrame, values: DataFrame, permutations: int =
     the id, so they depend on nothing else.  A location's permuted values
     travel as arrays, so edges are shuffled once for all permutations.
     """
+    weights = weights.persist()  # read for the sum, the observed statistics and the permuted ones
     z = values.select(F.col(key).alias("i"), F.col(value).cast("double").alias("z"))
     mean, m2, n = z.agg(F.avg("z"), F.var_pop("z"), F.count(F.lit(1))).first()
     s0 = weights.agg(F.sum("v")).first()[0]

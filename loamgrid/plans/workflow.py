@@ -154,7 +154,7 @@ class Fit:
                 yield f.assign(p_value=p)
 
         kind = "location bigint, coefficient string, estimate double, standard_error double, selected boolean, statistic double, p_value double"
-        tested = long.mapInPandas(tails, kind).withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))
+        tested = long.mapInPandas(tails, kind).withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value"))).persist()
         out = p_adjust(tested, "p_value", ["coefficient"] if scope == "coefficient" else [], adjust)
         return out.withColumn("significant", F.col("p_adjusted") < alpha)
 
