@@ -290,3 +290,31 @@ def test_process_model_query_fits_all_locations(spark):
     got = queries.QUERIES["process_model"](spark, "/root/testdata/sf0.01")
     ids = queries.points(spark, "/root/testdata/sf0.01").select(F.col("id").alias("target_id"))
     assert got.count() == ids.count() > 400 and ids.join(got, "target_id", "left_anti").isEmpty()
+
+
+def test_process_model_takes_few_steps(spark, monkeypatch):
+    from loamgrid import queries
+    from loamgrid.operators import multigrid
+
+    monkeypatch.setattr(multigrid, "DENSE", 60)
+    p = queries.points(spark, "/root/testdata/sf0.01")
+    e = neighbors.knn(p, 15, ["cx", "cy"]).persist()
+    lap = advanced.graph_laplacian(e).persist()
+    src = p.select(F.col("id").alias("i"), F.sin(F.col("id") / 4).alias("v"))
+    few = advanced.process_model(p, "y", ["x1", "x2"], e, lap, src, lap, max_iterations=60)
+    assert few["converged"]
+    # as another operator it is solved without the multigrid cycle
+    many = advanced.process_model(p, "y", ["x1", "x2"], e, lap.withColumn("v", F.col("v") * 1.0), src, lap)
+    assert many["converged"] and np.isclose(few["objective"], many["objective"], rtol=1e-9)
+    a, b = (np.array([[*r["coef"], r["process"]] for r in m["local"].orderBy("target_id").collect()]) for m in (few, many))
+    assert np.abs(a - b).max() < 1e-6
+
+
+def test_process_model_of_an_unlinked_place(spark):
+    rows = [(i, float(i % 7), float(i % 5), float(i), 0.5 * i) for i in range(40)]
+    p = spark.createDataFrame(rows, "id long, cx double, cy double, x1 double, y double").withColumn("x2", F.sin("x1"))
+    e = neighbors.knn(p, 8, ["cx", "cy"]).filter("target_id <> 3 and source_id <> 3").persist()
+    lap = advanced.graph_laplacian(e).persist()
+    m = advanced.process_model(p, "y", ["x1", "x2"], e, lap, p.select(F.col("id").alias("i"), F.lit(0.0).alias("v")), lap)
+    got = {r["target_id"]: r for r in m["local"].collect()}
+    assert m["converged"] and len(got) == 40 and abs(got[3]["fitted"]) < 1e-9 and abs(got[3]["coef"][1]) == 0
