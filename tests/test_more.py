@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid import api
+from loamgrid import api, queries
 from loamgrid.functions import formula
 from loamgrid.operators import neighbors, solvers, statistics, surfaces
 from loamgrid.operators.solvers import Spec
@@ -228,3 +228,21 @@ def test_permuted_places(spark, monkeypatch):
     many = statistics._slots(z, 300, range(0, 4), 1).collect()
     assert {(r["perm"], r["i"], r["slot"]) for r in one} == {(r["perm"], r["i"], r["slot"]) for r in many}
     assert all(sorted(r["slot"] for r in many if r["perm"] == p) == list(range(1, 301)) for p in range(4))
+
+
+def test_radius_summary_lists_no_pairs(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, *xy) for i, xy in enumerate([*r.random((300, 2)).tolist(), *(r.random((200, 2)) * 0.01 + 0.4).tolist(), *[[0.1, 0.9]] * 50, [5.0, 5.0]])]
+    df = spark.createDataFrame([*rows, (600, None, 0.5), (601, float("nan"), 0.5), (300, *rows[300][1:])], "id long, cx double, cy double")
+    for radius in (0.004, 0.1, 3.0):
+        want = neighbors.radius_join(df, radius, ["cx", "cy"]).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("furthest"))
+        got = neighbors.radius_summary(df, radius, ["cx", "cy"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(neighbors, "BOX_POINTS", 40)
+        assert sorted(map(tuple, neighbors.radius_summary(df, 3.0, ["cx", "cy"]).collect())) == sorted(map(tuple, want.collect()))
+    assert neighbors.radius_summary(df.filter("id < 0"), 0.1, ["cx", "cy"]).count() == 0
+    # 20,000 places within the radius of each other: 400 million pairs
+    dense = spark.range(20_000).select("id", (F.col("id") * 37 % 1009 / 1e5).alias("cx"), (F.col("id") * 53 % 997 / 1e5).alias("cy"))
+    assert neighbors.radius_summary(dense, 0.05, ["cx", "cy"]).filter("n = 20000 and furthest > 0.007").count() == 20_000
+    assert "Join" not in queries.QUERIES["radius_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
